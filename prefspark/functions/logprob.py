@@ -72,12 +72,15 @@ def label_mask(labels: Column) -> Column:
 
 def logits_to_logps(logits: Column, labels: Column, temperature: float = 1.0) -> Column:
     """Log-probability of every next label; ignored labels read id 0."""
+    steps = F.greatest(F.size(labels) - 1, F.lit(0))
     following = F.transform(
-        F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))),
+        F.slice(labels, F.lit(2), steps),
         lambda y: F.when(y == fixed.IGNORE_LABEL, F.lit(0)).otherwise(y),
     )
-    return F.transform(
-        following, lambda y, t: log_softmax_at(F.get(logits, t), y, temperature)
+    return F.zip_with(
+        F.slice(logits, F.lit(1), steps),
+        following,
+        lambda row, y: log_softmax_at(row, y, temperature),
     )
 
 

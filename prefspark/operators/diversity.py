@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors
+from ..functions.binding import bind
 
 # Up to this width, one SUM per dimension beats the vector aggregate.
 COLUMN_SUMS = 512
@@ -34,29 +35,20 @@ def diversity(df: DataFrame, sample: str, vector: str, width: int | None = None)
         .withColumn("_norm", vectors.floored_norm(F.col("_square")))
     )
     own = F.col("_square") / (F.col("_norm") * F.col("_norm"))
-    counted = [
-        F.count("_v").alias("n_outputs"),
-        F.sum(own).alias("_own"),
-    ]
+    counted = [F.count("_v").alias("n_outputs"), F.sum(own).alias("_own")]
     if 0 < width <= COLUMN_SUMS:
-        parts = [f"_s{i}" for i in range(width)]
-        flat = rows.select(
-            sample,
-            "_v",
-            "_square",
-            "_norm",
-            *[(F.get("_v", F.lit(i)) / F.col("_norm")).alias(p) for i, p in enumerate(parts)],
+        units = [f"get(_v, {i}) / _norm AS _s{i}" for i in range(width)]
+        flat = rows.selectExpr(f"`{sample}`", "_v", "_square", "_norm", *units)
+        sums = flat.groupBy(sample).agg(
+            *counted, *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(width)]
         )
-        sums = flat.groupBy(sample).agg(*counted, *[F.sum(p).alias(p) for p in parts])
-        squared = sum((F.col(p) * F.col(p) for p in parts), F.lit(0.0))
+        total = F.array(*[f"_s{i}" for i in range(width)])
     else:
-        units = F.transform("_v", lambda x: x / F.col("_norm"))
-        sums = (
-            rows.withColumn("_u", units)
-            .groupBy(sample)
-            .agg(*counted, vector_to_array(Summarizer.sum(array_to_vector("_u"))).alias("_sum"))
-        )
-        squared = vectors.squared(F.col("_sum"))
+        unit = bind(F.col("_norm"), lambda norm: F.transform("_v", lambda x: x / norm))
+        summed = vector_to_array(Summarizer.sum(array_to_vector("_u")))
+        sums = rows.withColumn("_u", unit).groupBy(sample).agg(*counted, summed.alias("_sum"))
+        total = F.col("_sum")
+    squared = vectors.squared(total)
     return sums.select(
         sample,
         "n_outputs",

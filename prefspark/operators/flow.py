@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, logprob
+from ..functions.binding import bind
 
 
 def log_rewards(alpha: float) -> Column:
@@ -22,55 +23,61 @@ def log_rewards(alpha: float) -> Column:
         logprob.double_array(F.col("ref_eos_logp_gamma")),
         lambda r, e: r + e,
     )
-    at = F.col("_last")
-    score = F.when(F.col("side") == "chosen", F.lit(fixed.CHOSEN_SCORE)).otherwise(
-        F.lit(fixed.REJECTED_SCORE)
-    )
-    return F.transform(
-        base, lambda x, t: F.when(t == at - 1, x + score * F.lit(float(alpha))).otherwise(x)
-    )
+    score = F.lit(float(alpha)) * F.when(
+        F.col("side") == "chosen", F.lit(fixed.CHOSEN_SCORE)
+    ).otherwise(F.lit(fixed.REJECTED_SCORE))
+
+    def scored(values: Column, last: Column) -> Column:
+        changed = F.concat(
+            F.slice(values, F.lit(1), last - 1),
+            F.array(F.get(values, last - 1) + score),
+            F.slice(values, last + 1, F.size(values)),
+        )
+        return F.when(last > 0, changed).otherwise(values)
+
+    last = logprob.last_true(F.col("mask"))
+    return bind(base, lambda values: bind(last, lambda at: scored(values, at)))
+
+
+def _residual_loss(flow: Column, policy: Column, mask: Column) -> Column:
+    """Sum over masked t of (flow[t] - flow[t+1] + policy[t])^2."""
+    steps = F.greatest(F.size(flow) - 1, F.lit(0))
+
+    def but_last(values: Column) -> Column:
+        return F.slice(values, F.lit(1), steps)
+
+    falls = F.zip_with(but_last(flow), F.slice(flow, F.lit(2), steps), lambda a, b: a - b)
+    gaps = F.zip_with(falls, but_last(policy), lambda d, p: d + p)
+    kept = F.zip_with(gaps, but_last(mask), lambda g, m: F.when(m, g).otherwise(F.lit(0.0)))
+    return F.aggregate(kept, F.lit(0.0), lambda a, x: a + x * x)
 
 
 def flow_scores(sequences: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Per sequence: residual loss, reward per counted token, divergence.
 
     The residual at t compares the flow at t and t+1; a sequence's own last
-    position has no successor, whatever padding its batch would add.
+    position has no successor, whatever padding its batch would add.  Arrays
+    enter the lambdas as arguments only, so a row costs time linear in its length.
     """
-    rewarded = sequences.withColumn("_last", logprob.last_true(F.col("mask"))).withColumn(
-        "_reward", log_rewards(alpha)
-    )
-    flows = rewarded.withColumns(
+    rewarded = sequences.withColumns(
         {
-            "_flow": F.zip_with(
-                "_reward", logprob.double_array(F.col("policy_eos_logp")), lambda r, q: r - q
-            ),
+            "_reward": log_rewards(alpha),
             "_pi": logprob.masked(F.col("policy_logp"), F.col("mask")),
+            "_rho": logprob.masked(F.col("ref_logp"), F.col("mask")),
         }
     )
-    steps = F.slice("_flow", F.lit(1), F.greatest(F.size("_flow") - 1, F.lit(0)))
-    residuals = F.transform(
-        steps,
-        lambda f, t: F.when(
-            F.get("mask", t), f - F.get("_flow", t + 1) + F.get("_pi", t)
-        ).otherwise(F.lit(0.0)),
+    flow = F.zip_with(
+        "_reward", logprob.double_array(F.col("policy_eos_logp")), lambda r, q: r - q
     )
-    return flows.select(
+    loss = bind(flow, lambda f: _residual_loss(f, F.col("_pi"), F.col("mask")))
+    return rewarded.select(
         "pair_id",
         "side",
-        F.aggregate(residuals, F.lit(0.0), lambda a, x: a + x * x).alias("residual_loss"),
+        loss.alias("residual_loss"),
         F.try_divide(logprob.total(F.col("_reward")), logprob.count_true(F.col("mask"))).alias(
             "reward"
         ),
-        F.aggregate(
-            F.zip_with(
-                "_pi",
-                logprob.masked(F.col("ref_logp"), F.col("mask")),
-                lambda p, r: p - r,
-            ),
-            F.lit(0.0),
-            lambda a, x: a + x,
-        ).alias("kl"),
+        logprob.total(F.zip_with("_pi", "_rho", lambda p, r: p - r)).alias("kl"),
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import chat, tokens
+from ..functions.binding import bind
 
 
 def spans(turns: DataFrame) -> DataFrame:
@@ -129,12 +130,12 @@ def _gather(turns: DataFrame, keep: int | None = None) -> DataFrame:
         F.size("answers") >= 2
     )
     last = F.element_at("answers", -1)
-    context = F.filter("said", lambda m: m["turn"] < F.col("last_turn"))
+    context = bind(
+        last["turn"], lambda end: F.filter(F.col("said"), lambda m: m["turn"] < end)
+    )
     if keep is not None:
         context = tokens.keep_last(context, keep)
-    return rows.withColumns(
-        {"last_turn": last["turn"], "chosen": F.struct(last["text"].alias("text"))}
-    ).select(
+    return rows.select(
         F.col("conv_id").alias("row_idx"),
         F.transform(
             context,
@@ -143,6 +144,6 @@ def _gather(turns: DataFrame, keep: int | None = None) -> DataFrame:
                 m["text"].alias("text"),
             ),
         ).alias("context"),
-        "chosen",
+        F.struct(last["text"].alias("text")).alias("chosen"),
         F.struct(F.element_at("answers", 1)["text"].alias("text")).alias("rejected"),
     )

@@ -299,7 +299,9 @@ def load_split(spark, sf):
 @query
 def rows_by_id(spark, sf):
     labelled = tables.table(spark, sf, "labels").where("quality = 0").select("doc_id")
-    docs = corpora.scan_columns(spark, f"{sf}/documents.parquet", ["doc_id", "lang"])
+    docs = corpora.scan_columns(
+        spark, f"{sf}/documents.parquet", schemas.TABLES["documents"], ["doc_id", "lang"]
+    )
     return corpora.get_rows(docs, "doc_id", labelled)
 
 
@@ -611,9 +613,8 @@ def stream_eval_stats(spark, sf):
 
 @query
 def stream_train_metrics(spark, sf):
-    schema = tables.table(spark, sf, "events").schema
     stream = streams.read_stream(
-        spark, sf, schema, "parquet", pathGlobFilter="events.parquet"
+        spark, sf, schemas.TABLES["events"], "parquet", pathGlobFilter="events.parquet"
     ).withColumnRenamed("event_type", "metric")
     means = streams.stream_train_metrics(stream, "6 hours", "10 minutes")
     return rounded(streams.appended(spark, means, "train-metrics"), "value")

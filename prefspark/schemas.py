@@ -23,3 +23,15 @@ TRAIN_LOG = (
     "run string, epoch int, batch bigint, rank int, split string, metric string, "
     "value double, n_examples bigint, ts timestamp"
 )
+
+# Test tables, as far as the derivations read them.
+TABLES = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+        "value double, props string"
+    ),
+}

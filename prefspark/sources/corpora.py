@@ -25,9 +25,9 @@ def load_preferences(
     return spark.read.schema(schema).format(fmt).load(path).where(F.col("split") == split)
 
 
-def scan_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def scan_columns(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
     """Parquet scan of the given columns only."""
-    return spark.read.parquet(path).select(*columns)
+    return spark.read.schema(schema).parquet(path).select(*columns)
 
 
 def dataset_len(df: DataFrame) -> int:

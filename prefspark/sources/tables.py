@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import schemas
 from ..functions import chat, rand, tokens
+from ..functions.binding import bind
 from ..operators import turns as turn_ops
 from ..operators.grouping import generation_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(schemas.TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hh_raw(spark: SparkSession, sf_dir: str, keep_messages: int = 385) -> DataFrame:
@@ -104,13 +106,22 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token log-probabilities per sequence; the first third is the prompt."""
-    pairs = answer_pairs(spark, sf_dir).withColumn("n", F.size(tokens.words(F.col("text"))))
-    seq = F.concat_ws(":", "pair_id", "side")
+    pairs = answer_pairs(spark, sf_dir).select(
+        "pair_id",
+        "side",
+        F.concat_ws(":", "pair_id", "side").alias("seq"),
+        F.size(tokens.words(F.col("text"))).alias("n"),
+    )
     places = F.sequence(F.lit(0), F.col("n") - 1)
 
     def scores(kind: str) -> Column:
-        return F.transform(places, lambda t: -4.0 * rand.unit(seq, t, kind)).alias(kind)
+        drawn = bind(
+            F.col("seq"),
+            lambda seq: F.transform(places, lambda t: -4.0 * rand.unit(seq, t, kind)),
+        )
+        return drawn.alias(kind)
 
+    mask = bind(F.col("n"), lambda n: F.transform(places, lambda t: t * 3 >= n))
     return pairs.where(F.col("n") > 0).select(
         "pair_id",
         "side",
@@ -118,7 +129,7 @@ def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         scores("ref_logp"),
         scores("policy_eos_logp"),
         scores("ref_eos_logp_gamma"),
-        F.transform(places, lambda t: t * 3 >= F.col("n")).alias("mask"),
+        mask.alias("mask"),
     )
 
 
