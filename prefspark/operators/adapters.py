@@ -22,6 +22,11 @@ def adapt(df: DataFrame, name: str) -> DataFrame:
     return _ADAPTERS[name](df)
 
 
+def key_columns(df: DataFrame) -> list[str]:
+    """The columns that identify an example and, once assigned, its batch."""
+    return [c for c in ("row_idx", "batch_id") if c in df.columns]
+
+
 def _context(task: str) -> Column:
     if task == "hh":
         return chat.map_roles(F.col("context"))
@@ -37,14 +42,15 @@ def _answer(task: str, side: str) -> Column:
 
 def to_unpaired(df: DataFrame, task: str) -> DataFrame:
     """``chosen``: the conversation ending in the chosen answer."""
-    return df.select("row_idx", F.concat(_context(task), _answer(task, "chosen")).alias("chosen"))
+    chosen = F.concat(_context(task), _answer(task, "chosen"))
+    return df.select(*key_columns(df), chosen.alias("chosen"))
 
 
 def to_paired(df: DataFrame, task: str) -> DataFrame:
     """``chosen`` and ``rejected``: same conversation, two endings."""
     context = _context(task)
     return df.select(
-        "row_idx",
+        *key_columns(df),
         F.concat(context, _answer(task, "chosen")).alias("chosen"),
         F.concat(context, _answer(task, "rejected")).alias("rejected"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import chat, fixed, tokens
+from .adapters import key_columns
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
 
@@ -39,7 +40,7 @@ def split_examples(df: DataFrame, sides: list[str]) -> DataFrame:
     if "rejected" in sides:
         answers["rejected"] = chat.tail_after(F.col("rejected"), history)
     return df.select(
-        "row_idx",
+        *key_columns(df),
         history.alias("history"),
         chat.response_of(F.col("chosen"))["content"].alias("reference_response"),
         *[answers[s].alias(f"{s}_answer") for s in sides],
@@ -76,7 +77,7 @@ def encode(
     budget = F.lit(max_length) - F.size("prompt_ids")
     cut = ids.withColumns({f"{s}_ids": tokens.keep_first(F.col(f"_{s}_ids"), budget) for s in sides})
     return cut.select(
-        "row_idx",
+        *key_columns(cut),
         "history",
         "reference_response",
         "prompt_ids",

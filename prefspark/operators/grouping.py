@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from .heavy import join_on, split_heavy
 from .numbering import row_numbers
 
 LIST_LIMIT = 4096
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equi-join condition that also matches NULL keys, as grouping does."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def large_keys(df: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows and their first ``order``; None if none.
-
-    Runs one aggregate over the key and order columns alone.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
-    large = sizes.where(F.col("_n") > limit).select(*keys, "_first")
-    return None if large.isEmpty() else large
-
-
 def _gather(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
     pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     return df.groupBy(*by).agg(
@@ -35,36 +19,27 @@ def _gather(df: DataFrame, by: list[str], order: str, value: str, name: str) ->
 
 
 def ordered_lists(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    value: str,
-    name: str,
-    limit: int = LIST_LIMIT,
-    large: DataFrame | None = None,
-) -> DataFrame:
+    df: DataFrame, keys: list[str], order: str, value: str, name: str, limit: int = LIST_LIMIT
+) -> tuple[DataFrame, bool]:
     """``keys, part, first_<order>, <name>``: values of each key in ``order``.
 
-    A key outside ``large`` gives one row, part 0.  A key in ``large`` (see
-    ``large_keys``) gives parts of ``limit`` values each, in order, so nothing
-    is dropped and no row or task holds more than ``limit`` values of one key.
-    ``order`` must be a unique number.
+    A key with up to ``limit`` rows gives one row, part 0.  A larger key gives
+    parts of ``limit`` values each, in order, so nothing is dropped and no row
+    or task holds more than ``limit`` values of one key.  ``order`` must be a
+    unique number.  Also tells whether any key may have several parts.
     """
     by = [*keys, "part"]
-    needed = df.select(*keys, order, value)
-    if large is None:
-        whole = needed.withColumns({"part": F.lit(0), "_first": F.col(order)})
-        return _gather(whole, by, order, value, name)
-    rest = needed.join(large, same_keys(needed, large, keys), "left_anti")
-    rest = rest.withColumns({"part": F.lit(0), "_first": F.col(order)})
-    hot = needed.join(large, same_keys(needed, large, keys)).select(
-        *[needed[c] for c in needed.columns], large["_first"]
-    )
-    numbered = row_numbers(hot, order, group=keys, name="_no")
-    sliced = numbered.withColumn(
+    ordinary, heavy = split_heavy(df.select(*keys, order, value), keys, limit)
+    ordinary = ordinary.withColumns({"part": F.lit(0), "_first": F.col(order)})
+    if heavy is None:
+        return _gather(ordinary, by, order, value, name), False
+    firsts = heavy.groupBy(*keys).agg(F.min(order).alias("_first"))
+    numbered = row_numbers(heavy, order, group=keys, name="_no")
+    numbered = numbered.withColumn(
         "part", F.floor((F.col("_no") - 1) / F.lit(limit)).cast("int")
     ).drop("_no")
-    return _gather(rest.unionByName(sliced), by, order, value, name)
+    parts = ordinary.unionByName(join_on(numbered, firsts, keys))
+    return _gather(parts, by, order, value, name), True
 
 
 def group_references(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -73,8 +48,7 @@ def group_references(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     Texts are in first-seen order, and ``row_idx`` (the prompt's first row) is
     the prompt's id; every part of a prompt carries it.
     """
-    large = large_keys(df, ["prompt"], "row_idx", limit)
-    lists = ordered_lists(df, ["prompt"], "row_idx", "chosen", "references", limit, large)
+    lists, _ = ordered_lists(df, ["prompt"], "row_idx", "chosen", "references", limit)
     return lists.select(F.col("first_row_idx").alias("row_idx"), "part", "prompt", "references")
 
 
@@ -86,11 +60,9 @@ def generation_records(prompts: DataFrame, outputs: DataFrame, limit: int = LIST
     A prompt without outputs keeps an empty list.  Output lists above ``limit``
     continue in further parts.
     """
-    large = large_keys(outputs, ["sample_id"], "output_idx", limit)
-    lists = ordered_lists(
-        outputs, ["sample_id"], "output_idx", "output", "outputs", limit, large
-    ).select("sample_id", "part", "outputs")
-    if large is None:
+    lists, several = ordered_lists(outputs, ["sample_id"], "output_idx", "output", "outputs", limit)
+    lists = lists.select("sample_id", "part", "outputs")
+    if not several:
         records = prompts.join(lists, ["sample_id", "part"], "left")
     else:
         heads = prompts.where("part = 0").select("sample_id", "history", "prompt")

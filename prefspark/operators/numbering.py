@@ -16,10 +16,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rand import digest
 from ..session import shuffle_partitions
+from .heavy import join_on
 
 # Most equal-depth cuts taken from the key's quantile sketch.
 MAX_CUTS = 1024
 
+# Cells per shuffle partition: several, so that hashing cells to partitions
+# leaves no partition with much more than its share.
+CELLS_PER_PARTITION = 8
+
+
+def _wanted_cells(df: DataFrame) -> int:
+    return CELLS_PER_PARTITION * shuffle_partitions(df.sparkSession)
+
 
 def cells_by_value(df: DataFrame, key: str) -> DataFrame:
     """Add ``_cell``, non-decreasing in the numeric ``key``.
@@ -29,7 +38,7 @@ def cells_by_value(df: DataFrame, key: str) -> DataFrame:
     in one cell.  Between two cuts, equal-width steps bring the number of cells
     up to the shuffle width.
     """
-    wanted = 2 * shuffle_partitions(df.sparkSession)
+    wanted = _wanted_cells(df)
     cuts = min(wanted, MAX_CUTS)
     probabilities = [i / cuts for i in range(cuts + 1)]
     marks = df.select(F.col(key).cast("double").alias("k")).approxQuantile(
@@ -57,7 +66,7 @@ def cells_by_value(df: DataFrame, key: str) -> DataFrame:
 
 def cells_by_digest(df: DataFrame, hex_key: str) -> DataFrame:
     """Add ``_cell`` for an md5 key: its leading bits are already uniform."""
-    wanted = min(2 * shuffle_partitions(df.sparkSession), 65536)
+    wanted = min(_wanted_cells(df), 65536)
     lead = F.conv(F.substring(F.col(hex_key), 1, 4), 16, 10).cast("bigint")
     return df.withColumn("_cell", F.floor(lead * wanted / 65536).cast("int"))
 
@@ -79,7 +88,7 @@ def _with_offsets(celled: DataFrame, offsets: DataFrame, group: list[str]) -> Da
     if not group:
         # One row per cell: bounded by cells_by_*, whatever the table's size.
         return celled.join(F.broadcast(offsets), "_cell")
-    return celled.join(offsets, [*group, "_cell"])
+    return join_on(celled, offsets, [*group, "_cell"])
 
 
 def _number(celled: DataFrame, order: list[str], group: list[str], name: str) -> DataFrame:
@@ -140,13 +149,28 @@ def running_stats(df: DataFrame, value: str, key: str) -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: str, how_many: Column) -> DataFrame:
-    """The first ``how_many`` rows by ``key``; only the key column is numbered.
+    """The first ``how_many`` rows by the unique numeric ``key``.
 
-    The cut-off key is found on a column-pruned table and then filters the full
-    one in its scan, so the rows themselves are not shuffled.
+    Cell counts tell which one cell holds the cut; only that cell's keys are
+    numbered.  The cut-off key then filters the table in its scan, so neither
+    the rows nor the other keys are shuffled.
     """
-    numbered = row_numbers(df.select(key), key)
-    cut = numbered.where(F.col("row_no") <= how_many).agg(F.max(key)).scalar()
+    celled = cells_by_value(df.select(key), key)
+    totals = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = totals.withColumn("_end", F.sum("_n").over(upto))
+    # At most one row: the cell in which the cut lies.
+    holder = ends.where(
+        (F.col("_end") >= how_many) & (F.col("_end") - F.col("_n") < how_many)
+    ).select("_cell", (F.col("_end") - F.col("_n")).alias("_before"))
+    inside = celled.join(F.broadcast(holder), "_cell")
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy(key))
+    cut = (
+        inside.withColumn("_place", F.col("_before") + place)
+        .where(F.col("_place") <= how_many)
+        .agg(F.max(key))
+        .scalar()
+    )
     return df.where(F.col(key) <= cut)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import chat, tokens
 from ..functions.binding import bind
+from .heavy import split_heavy
 
 
 def spans(turns: DataFrame) -> DataFrame:
@@ -84,26 +85,19 @@ def example_rows(turns: DataFrame, keep_messages: int, long_conversation: int =
     Conversations of up to ``long_conversation`` turns are gathered whole;
     longer ones are reduced to their last ``keep_messages`` messages first.
     """
-    long_ids = (
-        turns.groupBy("conv_id")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .where(F.col("size") > long_conversation)
-        .select("conv_id")
-    )
-    if long_ids.isEmpty():
-        return _gather(turns)
-    short = turns.join(long_ids, "conv_id", "left_anti")
-    reduced = _reduce(turns, long_ids, keep_messages)
+    short, long = split_heavy(turns, ["conv_id"], long_conversation)
+    if long is None:
+        return _gather(short)
+    reduced = _reduce(long, keep_messages)
     return _gather(short).unionByName(_gather(reduced, keep_messages))
 
 
-def _reduce(turns: DataFrame, long_ids: DataFrame, keep: int) -> DataFrame:
+def _reduce(long_turns: DataFrame, keep: int) -> DataFrame:
     """First and last answer and the ``keep`` messages before the last answer.
 
     Ranking happens per (conversation, slice of turns) before it happens per
     conversation, so a conversation of any size is spread over many tasks.
     """
-    long_turns = turns.join(long_ids, "conv_id", "left_semi")
     marked = long_turns.join(spans(long_turns), "conv_id").where(F.col("turn") <= F.col("last_turn"))
     spread = marked.withColumn("_slice", F.pmod(F.xxhash64("turn"), F.lit(256))).repartition(
         "conv_id", "_slice"
@@ -125,9 +119,13 @@ def _reduce(turns: DataFrame, long_ids: DataFrame, keep: int) -> DataFrame:
 
 def _gather(turns: DataFrame, keep: int | None = None) -> DataFrame:
     said = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    rows = turns.groupBy("conv_id").agg(said.alias("said"))
-    rows = rows.withColumn("answers", F.filter("said", lambda m: m["role"] == "assistant")).where(
-        F.size("answers") >= 2
+    # Counted apart from the lists, so that counting examples reads no text.
+    n_answers = F.count(F.when(F.col("role") == "assistant", 1))
+    rows = (
+        turns.groupBy("conv_id")
+        .agg(said.alias("said"), n_answers.alias("n_answers"))
+        .where(F.col("n_answers") >= 2)
+        .withColumn("answers", F.filter("said", lambda m: m["role"] == "assistant"))
     )
     last = F.element_at("answers", -1)
     context = bind(

@@ -18,17 +18,20 @@ def training_batches(
     seed=None,
     loader=None,
 ) -> DataFrame:
-    """Raw rows to padded, labelled batches (shuffled when a seed is given)."""
+    """Raw rows to padded, labelled batches (shuffled when a seed is given).
+
+    Batches are assigned on the raw rows, where counting reads the key alone.
+    """
     sides = ["chosen", "rejected"] if paired else ["chosen"]
-    examples = adapters.adapt(raw, f"{task}_{'paired' if paired else 'unpaired'}")
+    batched = numbering.assign_batches(raw, batch_size, "row_idx", seed)
+    examples = adapters.adapt(batched, f"{task}_{'paired' if paired else 'unpaired'}")
     encoded = encoding.encode(examples, sides, max_prompt_length, max_length, loader=loader)
-    labelled = encoding.build_labels(encoded, sides)
-    batched = numbering.assign_batches(labelled, batch_size, "row_idx", seed)
-    return encoding.pad_batches(batched, sides, pad_id)
+    return encoding.pad_batches(encoding.build_labels(encoded, sides), sides, pad_id)
 
 
 def prompt_batches(
-    examples: DataFrame,
+    raw: DataFrame,
+    task: str,
     batch_size: int = 16,
     max_prompt_length: int = 384,
     max_length: int = 768,
@@ -36,16 +39,18 @@ def prompt_batches(
     loader=None,
 ) -> DataFrame:
     """Prompts alone, padded on the left, in order."""
+    batched = numbering.assign_batches(raw, batch_size, "row_idx")
+    examples = adapters.adapt(batched, f"{task}_unpaired")
     encoded = encoding.encode(examples, [], max_prompt_length, max_length, loader=loader)
     prompts = encoded.select(
         "row_idx",
+        "batch_id",
         "history",
         "reference_response",
         F.col("prompt_ids").alias("prompt_input_ids"),
         F.col("prompt_mask").alias("prompt_attention_mask"),
     )
-    batched = numbering.assign_batches(prompts, batch_size, "row_idx")
-    return encoding.pad_batches(batched, ["prompt"], pad_id, side="left")
+    return encoding.pad_batches(prompts, ["prompt"], pad_id, side="left")
 
 
 def generate_records(raw: DataFrame, task: str, loader, **sampling) -> DataFrame:

@@ -232,9 +232,10 @@ ORACLES["shuffled_batches"] = """
 SELECT event_id, (row_number() OVER (ORDER BY md5('3|' || event_id), event_id) - 1) // 16 AS batch_id
 FROM events"""
 ORACLES["running_eval_stats"] = """
-SELECT event_id, count(*) OVER w AS seen, round(avg(value) OVER w, 6) AS running_mean,
-       round(stddev_samp(value) OVER w / sqrt(count(*) OVER w), 6) AS running_std_err
-FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
+WITH c AS (SELECT event_id, round(value * 100) AS cents FROM events)
+SELECT event_id, count(*) OVER w AS seen, sum(cents) OVER w / count(*) OVER w AS running_mean,
+       round(stddev_samp(cents) OVER w / sqrt(count(*) OVER w), 6) AS running_std_err
+FROM c WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
 
 # --- generation records ----------------------------------------------------
 
@@ -518,8 +519,9 @@ SELECT 'r0' AS run, event_id // 5000 AS epoch,
 FROM events GROUP BY 2"""
 # Windows that end at or before the final watermark have been written.
 ORACLES["stream_train_metrics"] = """
+WITH c AS (SELECT ts, event_type, round(value * 100) AS cents FROM events)
 SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type AS metric,
-       round(avg(value), 6) AS value, count(*) AS n
-FROM events GROUP BY 1, 2
+       sum(cents) / count(*) AS cents, count(*) AS n
+FROM c GROUP BY 1, 2
 HAVING time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours'
-       <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"""
+       <= (SELECT max(ts) - INTERVAL '10 minutes' FROM c)"""

@@ -220,7 +220,8 @@ def batch_pad_right(spark, sf):
 def batch_pad_left(spark, sf):
     raw = tables.hh_raw(spark, sf, keep_messages=PROMPT_LENGTH + 1)
     batches = flows.prompt_batches(
-        adapters.adapt(raw, "hh_unpaired"),
+        raw,
+        "hh",
         max_prompt_length=PROMPT_LENGTH,
         max_length=LENGTH,
         pad_id=1,
@@ -275,11 +276,15 @@ def shuffled_batches(spark, sf):
 
 @query
 def running_eval_stats(spark, sf):
-    events = tables.table(spark, sf, "events").select("event_id", "value")
-    stats = numbering.running_stats(events, "value", "event_id")
+    """Over whole cents, whose sums are exact in any order."""
+    events = tables.table(spark, sf, "events").select(
+        "event_id", F.round(F.col("value") * 100).alias("cents")
+    )
+    stats = numbering.running_stats(events, "cents", "event_id")
     return rounded(
-        stats.select("event_id", F.col("seen").cast("bigint").alias("seen"), "running_mean", "running_std_err"),
-        "running_mean",
+        stats.select(
+            "event_id", F.col("seen").cast("bigint").alias("seen"), "running_mean", "running_std_err"
+        ),
         "running_std_err",
     )
 
@@ -613,8 +618,9 @@ def stream_eval_stats(spark, sf):
 
 @query
 def stream_train_metrics(spark, sf):
+    """Window means of whole cents, whose sums are exact in any order."""
     stream = streams.read_stream(
         spark, sf, schemas.TABLES["events"], "parquet", pathGlobFilter="events.parquet"
-    ).withColumnRenamed("event_type", "metric")
+    ).select("ts", F.col("event_type").alias("metric"), F.round(F.col("value") * 100).alias("value"))
     means = streams.stream_train_metrics(stream, "6 hours", "10 minutes")
-    return rounded(streams.appended(spark, means, "train-metrics"), "value")
+    return streams.appended(spark, means, "train-metrics").withColumnRenamed("value", "cents")
