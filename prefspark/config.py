@@ -1,0 +1,57 @@
+"""Default parameters in one place, as frozen keyword sets.
+
+``GENERATION.kwargs()`` and the like can be passed on to the operators.
+"""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass
+
+
+class _Keywords:
+    def kwargs(self) -> dict:
+        return asdict(self)
+
+
+@dataclass(frozen=True)
+class Encoding(_Keywords):
+    max_prompt_length: int = 384
+    max_length: int = 768
+
+
+@dataclass(frozen=True)
+class Sampling(_Keywords):
+    n_samples: int = 1
+    temperature: float = 1.0
+    top_p: float = 0.95
+    seed: int = 0
+
+
+@dataclass(frozen=True)
+class Preference(_Keywords):
+    loss_type: str = "sigmoid"
+    beta: float = 0.1
+    label_smoothing: float = 0.0
+
+
+@dataclass(frozen=True)
+class Flow(_Keywords):
+    alpha: float = 0.1
+
+
+@dataclass(frozen=True)
+class Comparison(_Keywords):
+    task: str = "hh"
+    mode: str | None = None
+    n: int = 1
+    samples: int = 300
+    seed: int = 0
+
+
+ENCODING = Encoding()
+GENERATION = Sampling()
+PREFERENCE = Preference()
+FLOW = Flow()
+COMPARISON = Comparison()
+BATCH_SIZE = 16
+LOG_EVERY = 1

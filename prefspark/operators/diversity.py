@@ -13,7 +13,8 @@ from ..functions.binding import bind
 COLUMN_SUMS = 512
 
 
-def _width(df: DataFrame, vector: str) -> int:
+def vector_width(df: DataFrame, vector: str) -> int:
+    """Width of a stored vector column, from its first row."""
     first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).head()
     return first[0] if first else 0
 
@@ -25,9 +26,10 @@ def diversity(df: DataFrame, sample: str, vector: str, width: int | None = None)
     unit vectors u, so no pairs are formed: one aggregate with map-side partial
     sums, linear in the rows, and a sample of any size costs its shuffle peers
     one partial row per task.  Below two outputs the result is NULL.
+
+    With a known ``width`` every dimension is a plain SUM; without it a vector
+    aggregate works for any width.
     """
-    if width is None:
-        width = _width(df, vector)
     v = F.col(vector).cast("array<double>")
     rows = (
         df.select(sample, v.alias("_v"))
@@ -36,7 +38,7 @@ def diversity(df: DataFrame, sample: str, vector: str, width: int | None = None)
     )
     own = F.col("_square") / (F.col("_norm") * F.col("_norm"))
     counted = [F.count("_v").alias("n_outputs"), F.sum(own).alias("_own")]
-    if 0 < width <= COLUMN_SUMS:
+    if width and width <= COLUMN_SUMS:
         units = [f"get(_v, {i}) / _norm AS _s{i}" for i in range(width)]
         flat = rows.selectExpr(f"`{sample}`", "_v", "_square", "_norm", *units)
         sums = flat.groupBy(sample).agg(

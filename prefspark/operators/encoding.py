@@ -33,6 +33,47 @@ def token_ids(text: Column, loader: Callable[[], Tokenizer] | None = None, vocab
     return run(text)
 
 
+def tokenize(
+    df: DataFrame,
+    columns: dict[str, str],
+    loader: Callable[[], Tokenizer] | None = None,
+    vocab_size: int = 50_000,
+) -> DataFrame:
+    """Add id lists: ``columns`` maps a text column to the name of its ids."""
+    return df.withColumns(
+        {name: token_ids(F.col(text), loader, vocab_size) for text, name in columns.items()}
+    )
+
+
+def truncate(
+    df: DataFrame, sides: list[str], max_prompt_length: int = 384, max_length: int = 768
+) -> DataFrame:
+    """Cut ``prompt_ids`` from the left and every ``<side>_ids`` from the right.
+
+    All sides of an example share the budget ``max_length - kept prompt``.
+    """
+    if not 1 <= max_prompt_length <= max_length:
+        raise ValueError("need 1 <= max_prompt_length <= max_length")
+    kept = df.withColumn("prompt_ids", tokens.keep_last(F.col("prompt_ids"), max_prompt_length))
+    budget = F.lit(max_length) - F.size("prompt_ids")
+    return kept.withColumns(
+        {f"{s}_ids": tokens.keep_first(F.col(f"{s}_ids"), budget) for s in sides}
+    )
+
+
+def encode_prompts(
+    prompts: DataFrame,
+    context_length: int,
+    loader: Callable[[], Tokenizer] | None = None,
+    vocab_size: int = 50_000,
+) -> DataFrame:
+    """Add ``prompt_ids``: the last ``context_length`` ids of the prompt text."""
+    if context_length < 1:
+        raise ValueError("context_length must be positive")
+    ids = tokenize(prompts, {"prompt": "prompt_ids"}, loader, vocab_size)
+    return ids.withColumn("prompt_ids", tokens.keep_last(F.col("prompt_ids"), context_length))
+
+
 def split_examples(df: DataFrame, sides: list[str]) -> DataFrame:
     """``history`` and the answer messages of every side."""
     history = chat.history_of(F.col("chosen"))
@@ -57,25 +98,18 @@ def encode(
     vocab_size: int = 50_000,
     **marks,
 ) -> DataFrame:
-    """Prompt and answer ids: prompt cut from the left, answers from the right.
+    """Examples to truncated prompt and answer ids with their masks.
 
-    All sides of an example share the budget ``max_length - kept prompt``.
     ``sides=[]`` encodes the prompt alone (generation).
     """
-    if not 1 <= max_prompt_length <= max_length:
-        raise ValueError("need 1 <= max_prompt_length <= max_length")
     split = split_examples(df, sides)
     prompt = chat.render(F.col("history"), template, add_generation_prompt=True, **marks)
     texts = split.withColumns(
         {"_prompt": prompt}
         | {f"_{s}": chat.render(F.col(f"{s}_answer"), template, **marks) for s in sides}
     )
-    ids = texts.withColumns(
-        {"prompt_ids": tokens.keep_last(token_ids(F.col("_prompt"), loader, vocab_size), max_prompt_length)}
-        | {f"_{s}_ids": token_ids(F.col(f"_{s}"), loader, vocab_size) for s in sides}
-    )
-    budget = F.lit(max_length) - F.size("prompt_ids")
-    cut = ids.withColumns({f"{s}_ids": tokens.keep_first(F.col(f"_{s}_ids"), budget) for s in sides})
+    names = {"_prompt": "prompt_ids"} | {f"_{s}": f"{s}_ids" for s in sides}
+    cut = truncate(tokenize(texts, names, loader, vocab_size), sides, max_prompt_length, max_length)
     return cut.select(
         *key_columns(cut),
         "history",

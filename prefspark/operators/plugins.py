@@ -34,9 +34,11 @@ def generate(
     temperature: float = 1.0,
     top_p: float = 0.95,
     seed: int = 0,
+    column: str = "prompt",
 ) -> DataFrame:
     """``sample_id, output_idx, output`` from the user's generator.
 
+    ``column`` is what the model reads: the prompt text or ``prompt_ids``.
     ``output_idx`` is ``sample_id * n_samples + i`` and so unique.
     """
 
@@ -44,7 +46,7 @@ def generate(
         model = loader()
         for batch in batches:
             texts = model(
-                batch["prompt"].tolist(),
+                batch[column].tolist(),
                 n=n_samples,
                 temperature=temperature,
                 top_p=top_p,
@@ -60,7 +62,7 @@ def generate(
             )
 
     heads = prompts.where("part = 0") if "part" in prompts.columns else prompts
-    return heads.select("sample_id", "prompt").mapInPandas(
+    return heads.select("sample_id", column).mapInPandas(
         run, "sample_id bigint, output_idx bigint, output string"
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import adapters, diversity, encoding, grouping, judging, numbering, plugins
+from ..session import materialize
 
 
 def training_batches(
@@ -54,10 +55,13 @@ def prompt_batches(
 
 
 def generate_records(raw: DataFrame, task: str, loader, **sampling) -> DataFrame:
-    """Prompt-only rows through the user's generator to hand-over records."""
+    """Prompt-only rows through the user's generator to hand-over records.
+
+    The generator runs once: its texts are stored before they are joined back.
+    """
     source = grouping.group_references(raw) if task == "tldr" else raw
     prompts = adapters.adapt(source, f"{task}_prompt_only")
-    outputs = plugins.generate(prompts, loader, **sampling)
+    outputs = materialize(plugins.generate(prompts, loader, **sampling), "outputs")
     return grouping.generation_records(prompts, outputs)
 
 

@@ -214,6 +214,12 @@ SELECT row_idx, batch_id, reference_response,
        {_spaced(_fill('1', 'longest - len(p)') + ' || p')} AS prompt_input_ids,
        {_spaced(_fill('0', 'longest - len(p)') + ' || ' + _fill('1', 'len(p)'))} AS prompt_attention_mask
 FROM w"""
+ORACLES["generation_prompt_ids"] = f"""WITH {_TLDR},
+p AS (
+  SELECT min(row_idx) AS sample_id,
+         {_ids("'<|im_start|>user' || chr(10) || prompt || '<|im_end|><|im_start|>assistant' || chr(10)")} AS ids
+  FROM t GROUP BY prompt)
+SELECT sample_id, {_spaced('ids[greatest(len(ids) - 255, 1):]')} AS prompt_ids FROM p"""
 ORACLES["tokenizer_plugin"] = f"""
 SELECT doc_id, {_spaced("list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w))")} AS ids
 FROM documents"""

@@ -54,7 +54,8 @@ def joined(column: str) -> Column:
 
 
 def _diversity(spark: SparkSession, sf: str) -> DataFrame:
-    return div.diversity(tables.table(spark, sf, "embeddings"), "label", "embedding")
+    rows = tables.table(spark, sf, "embeddings")
+    return div.diversity(rows, "label", "embedding", div.vector_width(rows, "embedding"))
 
 
 @query
@@ -235,6 +236,15 @@ def batch_pad_left(spark, sf):
     )
 
 
+@query
+def generation_prompt_ids(spark, sf):
+    """Prompts cut from the left to the generator's context."""
+    grouped = grouping.group_references(tables.tldr_raw(spark, sf))
+    prompts = adapters.adapt(grouped, "tldr_prompt_only")
+    ids = encoding.encode_prompts(prompts, context_length=256)
+    return ids.select("sample_id", joined("prompt_ids"))
+
+
 @query
 def tokenizer_plugin(spark, sf):
     """A user tokenizer in place of the default: one id per blank-separated word."""
@@ -243,8 +253,8 @@ def tokenizer_plugin(spark, sf):
         return lambda texts: [[len(w) for w in t.split(" ") if w] for t in texts]
 
     docs = tables.table(spark, sf, "documents")
-    ids = encoding.token_ids(F.col("text"), loader)
-    return docs.select("doc_id", ids.alias("ids")).select("doc_id", joined("ids"))
+    ids = encoding.tokenize(docs.select("doc_id", "text"), {"text": "ids"}, loader)
+    return ids.select("doc_id", joined("ids"))
 
 
 # --- sampling and order ----------------------------------------------------
@@ -529,7 +539,7 @@ def embed_outputs_diversity(spark, sf):
         return lambda texts: [[t.count(c) for c in "aeioutnrs"] for t in texts]
 
     outputs = plugins.embed(tables.answers(spark, sf), "output", loader)
-    return rounded(div.diversity(outputs, "sample_id", "embedding", width=9), "diversity")
+    return rounded(div.diversity(outputs, "sample_id", "embedding"), "diversity")
 
 
 @query
