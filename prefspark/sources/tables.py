@@ -106,7 +106,9 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token log-probabilities per sequence; the first third is the prompt."""
-    pairs = answer_pairs(spark, sf_dir).select(
+    # A text with any non-blank character has a token; counting pairs reads no tokens.
+    spoken = answer_pairs(spark, sf_dir).where(F.col("text").rlike(r"[^ \t\n\r\f]"))
+    pairs = spoken.select(
         "pair_id",
         "side",
         F.concat_ws(":", "pair_id", "side").alias("seq"),
@@ -122,7 +124,7 @@ def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         return drawn.alias(kind)
 
     mask = bind(F.col("n"), lambda n: F.transform(places, lambda t: t * 3 >= n))
-    return pairs.where(F.col("n") > 0).select(
+    return pairs.select(
         "pair_id",
         "side",
         scores("policy_logp"),
