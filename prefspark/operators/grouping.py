@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .heavy import join_on, split_heavy
+from .heavy import salted_join, split_heavy
 from .numbering import row_numbers
 
 LIST_LIMIT = 4096
@@ -20,26 +20,26 @@ def _gather(df: DataFrame, by: list[str], order: str, value: str, name: str) ->
 
 def ordered_lists(
     df: DataFrame, keys: list[str], order: str, value: str, name: str, limit: int = LIST_LIMIT
-) -> tuple[DataFrame, bool]:
+) -> DataFrame:
     """``keys, part, first_<order>, <name>``: values of each key in ``order``.
 
     A key with up to ``limit`` rows gives one row, part 0.  A larger key gives
     parts of ``limit`` values each, in order, so nothing is dropped and no row
     or task holds more than ``limit`` values of one key.  ``order`` must be a
-    unique number.  Also tells whether any key may have several parts.
+    unique number.
     """
     by = [*keys, "part"]
-    ordinary, heavy = split_heavy(df.select(*keys, order, value), keys, limit)
+    ordinary, heavy = split_heavy(df.select(*keys, order, value), keys, limit, order)
     ordinary = ordinary.withColumns({"part": F.lit(0), "_first": F.col(order)})
     if heavy is None:
-        return _gather(ordinary, by, order, value, name), False
+        return _gather(ordinary, by, order, value, name)
     firsts = heavy.groupBy(*keys).agg(F.min(order).alias("_first"))
     numbered = row_numbers(heavy, order, group=keys, name="_no")
-    numbered = numbered.withColumn(
+    sliced = salted_join(numbered, firsts, keys, "_no").withColumn(
         "part", F.floor((F.col("_no") - 1) / F.lit(limit)).cast("int")
-    ).drop("_no")
-    parts = ordinary.unionByName(join_on(numbered, firsts, keys))
-    return _gather(parts, by, order, value, name), True
+    )
+    parts = ordinary.unionByName(sliced.drop("_no"))
+    return _gather(parts, by, order, value, name)
 
 
 def group_references(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -48,7 +48,7 @@ def group_references(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     Texts are in first-seen order, and ``row_idx`` (the prompt's first row) is
     the prompt's id; every part of a prompt carries it.
     """
-    lists, _ = ordered_lists(df, ["prompt"], "row_idx", "chosen", "references", limit)
+    lists = ordered_lists(df, ["prompt"], "row_idx", "chosen", "references", limit)
     return lists.select(F.col("first_row_idx").alias("row_idx"), "part", "prompt", "references")
 
 
@@ -58,19 +58,11 @@ def generation_records(prompts: DataFrame, outputs: DataFrame, limit: int = LIST
     ``prompts``: ``sample_id, part, history, prompt, references``;
     ``outputs``: ``sample_id, output_idx, output`` (``output_idx`` unique).
     A prompt without outputs keeps an empty list.  Output lists above ``limit``
-    continue in further parts.
+    continue in further parts, which hold no history or prompt text again.
     """
-    lists, several = ordered_lists(outputs, ["sample_id"], "output_idx", "output", "outputs", limit)
+    lists = ordered_lists(outputs, ["sample_id"], "output_idx", "output", "outputs", limit)
     lists = lists.select("sample_id", "part", "outputs")
-    if not several:
-        records = prompts.join(lists, ["sample_id", "part"], "left")
-    else:
-        heads = prompts.where("part = 0").select("sample_id", "history", "prompt")
-        records = (
-            prompts.select("sample_id", "part", "references")
-            .join(lists, ["sample_id", "part"], "full_outer")
-            .join(heads, "sample_id")
-        )
+    records = prompts.join(lists, ["sample_id", "part"], "full_outer")
     no_text = F.array().cast("array<string>")
     return records.select(
         "sample_id",

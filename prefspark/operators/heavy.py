@@ -1,7 +1,13 @@
-"""Find and set apart keys that hold too many rows for one task."""
+"""Keys that hold too many rows for one task: find, set apart, join.
+
+Adaptive execution splits a skewed join only where both sides come straight
+from a shuffle; a side that was just aggregated by the same key does not.
+Joins of rows with a summary of their own key therefore spread heavy keys here.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +15,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 # A table of this many 8-byte hashes is broadcast; a larger one is joined.
 BROADCAST_ROWS = 500_000
 
+# Slices of a heavy key.  A heavy key has thousands of rows, so this many
+# copies of its one summary row are few beside them.
+SALTS = 64
+
+
+def _salted(df: DataFrame, spread: str) -> DataFrame:
+    """Add the slice of a row, fixed by its ``spread`` column."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+
+
+def _all_salts(per_key: DataFrame) -> DataFrame:
+    return per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner equi-join that also matches NULL keys, as grouping does.
@@ -22,7 +41,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
 
 
-def split_heavy(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+def salted_join(left: DataFrame, per_key: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Rows of heavy keys with their key's one row, each key over many tasks."""
+    return join_on(_salted(left, spread), _all_salts(per_key), [*keys, "_salt"]).drop("_salt")
+
+
+def split_heavy(
+    df: DataFrame, keys: list[str], limit: int, spread: str
+) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of keys above ``limit`` (None if none).
 
     Keys are counted by their 64-bit hash, so the count shuffles a few bytes per
@@ -39,10 +65,27 @@ def split_heavy(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame,
     found = heavy.limit(BROADCAST_ROWS + 1).count()
     if found == 0:
         return df, None
-    if found <= BROADCAST_ROWS:
-        heavy = F.broadcast(heavy)
     tagged = df.withColumn("_hash", hashed)
+    if found <= BROADCAST_ROWS:
+        heavy, on = F.broadcast(heavy), ["_hash"]
+    else:
+        tagged, heavy, on = _salted(tagged, spread), _all_salts(heavy), ["_hash", "_salt"]
     return (
-        tagged.join(heavy, "_hash", "left_anti").drop("_hash"),
-        tagged.join(heavy, "_hash", "left_semi").drop("_hash"),
+        tagged.join(heavy, on, "left_anti").drop(*on),
+        tagged.join(heavy, on, "left_semi").drop(*on),
     )
+
+
+def with_summary(
+    df: DataFrame,
+    keys: list[str],
+    summarize: Callable[[DataFrame], DataFrame],
+    spread: str,
+    limit: int,
+) -> DataFrame:
+    """Rows joined with ``summarize(rows)``, which has at most one row per key."""
+    ordinary, heavy = split_heavy(df, keys, limit, spread)
+    joined = join_on(ordinary, summarize(ordinary), keys)
+    if heavy is None:
+        return joined
+    return joined.unionByName(salted_join(heavy, summarize(heavy), keys, spread))

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import chat, tokens
 from ..functions.binding import bind
-from .heavy import split_heavy
+from .heavy import salted_join, split_heavy, with_summary
+
+# Turns above which a conversation is not handled by one task.
+LONG_CONVERSATION = 4096
 
 
 def spans(turns: DataFrame) -> DataFrame:
@@ -28,16 +31,24 @@ def spans(turns: DataFrame) -> DataFrame:
     )
 
 
+def with_spans(turns: DataFrame, needed: int) -> DataFrame:
+    """Turns of conversations with ``needed`` answers, with the conversation's spans."""
+    enough = F.col("answers") >= needed
+    return with_summary(
+        turns, ["conv_id"], lambda t: spans(t).where(enough), "turn", LONG_CONVERSATION
+    )
+
+
 def messages(turns: DataFrame, kind: str) -> DataFrame:
     """Long form of the ``hh`` adapters: ``row_idx, side, pos, role, content, opens``.
 
     ``pos`` is the turn number, so messages need no renumbering; ``opens`` marks
     the conversation's first message.  Kinds: ``paired`` (two answers needed),
-    ``unpaired``, ``prompt`` (history only).  The last assistant turn is the
-    chosen answer, the first one the rejected answer.
+    ``unpaired``, ``prompt`` (sides ``history`` and ``reference``).  The last
+    assistant turn is the chosen answer, the first one the rejected answer.
     """
     needed = 2 if kind == "paired" else 1
-    marked = turns.join(spans(turns).where(F.col("answers") >= needed), "conv_id")
+    marked = with_spans(turns, needed)
     turn, first, last = F.col("turn"), F.col("first_turn"), F.col("last_turn")
 
     def place(side: str, pos):
@@ -52,7 +63,10 @@ def messages(turns: DataFrame, kind: str) -> DataFrame:
     elif kind == "unpaired":
         places = [F.when(turn <= last, place("chosen", turn))]
     elif kind == "prompt":
-        places = [F.when(turn < last, place("history", turn))]
+        places = [
+            F.when(turn < last, place("history", turn)),
+            F.when(turn == last, place("reference", turn)),
+        ]
     else:
         raise ValueError(f"unknown kind {kind!r}")
     return marked.select(
@@ -76,7 +90,7 @@ def _raw_role(role: Column) -> Column:
     return F.when(role == "user", "human").otherwise(role)
 
 
-def example_rows(turns: DataFrame, keep_messages: int, long_conversation: int = 4096) -> DataFrame:
+def example_rows(turns: DataFrame, keep_messages: int, long_conversation: int = LONG_CONVERSATION) -> DataFrame:
     """``hh`` raw rows (``row_idx, context, chosen, rejected``), two answers needed.
 
     Encoding keeps the last ``max_prompt_length`` tokens of a prompt and every
@@ -85,7 +99,7 @@ def example_rows(turns: DataFrame, keep_messages: int, long_conversation: int =
     Conversations of up to ``long_conversation`` turns are gathered whole;
     longer ones are reduced to their last ``keep_messages`` messages first.
     """
-    short, long = split_heavy(turns, ["conv_id"], long_conversation)
+    short, long = split_heavy(turns, ["conv_id"], long_conversation, "turn")
     if long is None:
         return _gather(short)
     reduced = _reduce(long, keep_messages)
@@ -98,7 +112,8 @@ def _reduce(long_turns: DataFrame, keep: int) -> DataFrame:
     Ranking happens per (conversation, slice of turns) before it happens per
     conversation, so a conversation of any size is spread over many tasks.
     """
-    marked = long_turns.join(spans(long_turns), "conv_id").where(F.col("turn") <= F.col("last_turn"))
+    spanned = salted_join(long_turns, spans(long_turns), ["conv_id"], "turn")
+    marked = spanned.where(F.col("turn") <= F.col("last_turn"))
     spread = marked.withColumn("_slice", F.pmod(F.xxhash64("turn"), F.lit(256))).repartition(
         "conv_id", "_slice"
     )

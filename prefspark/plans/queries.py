@@ -98,21 +98,7 @@ QUERIES["hh_paired"] = _turn_messages("paired", ("row_idx", "side", "pos", "role
 QUERIES["hh_unpaired"] = _turn_messages("unpaired", ("row_idx", "side", "pos", "role", "content"))
 
 
-@query
-def hh_prompt_only(spark, sf):
-    talk = tables.table(spark, sf, "conversations")
-    history = turns.messages(talk, "prompt").drop("opens")
-    answers = turns.spans(talk).join(
-        talk.withColumnRenamed("turn", "last_turn"), ["conv_id", "last_turn"]
-    )
-    reference = answers.select(
-        F.col("conv_id").alias("row_idx"),
-        F.lit("reference").alias("side"),
-        F.col("last_turn").alias("pos"),
-        F.lit("assistant").alias("role"),
-        F.col("text").alias("content"),
-    )
-    return history.unionByName(reference)
+QUERIES["hh_prompt_only"] = _turn_messages("prompt", ("row_idx", "side", "pos", "role", "content"))
 
 
 @query

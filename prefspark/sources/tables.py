@@ -92,7 +92,7 @@ def completions(requests: DataFrame, task: str) -> DataFrame:
 def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pair_id, side, text``: last (chosen) and first (rejected) answers."""
     talk = table(spark, sf_dir, "conversations")
-    marked = talk.join(turn_ops.spans(talk).where(F.col("answers") >= 2), "conv_id")
+    marked = turn_ops.with_spans(talk, 2)
     sides = F.array(
         F.when(F.col("turn") == F.col("last_turn"), "chosen"),
         F.when(F.col("turn") == F.col("first_turn"), "rejected"),

@@ -50,13 +50,24 @@ def _run(writer: DataStreamWriter) -> None:
     query.awaitTermination()
 
 
-def latest_state(spark: SparkSession, result: DataFrame, name: str) -> DataFrame:
+def _places(spark: SparkSession, name: str, path: str | None, checkpoint: str | None) -> tuple[str, str]:
+    return path or scratch_path(spark, name), checkpoint or scratch_path(spark, f"{name}-checkpoint")
+
+
+def latest_state(
+    spark: SparkSession,
+    result: DataFrame,
+    name: str,
+    path: str | None = None,
+    checkpoint: str | None = None,
+) -> DataFrame:
     """Run a complete-mode aggregate over all available input; its last state.
 
     Every micro-batch overwrites its own folder, so a repeated batch after a
-    failure changes nothing.
+    failure changes nothing.  A later run with the same ``path`` and
+    ``checkpoint`` goes on where the last one stopped.
     """
-    out, place = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    out, place = _places(spark, name, path, checkpoint)
 
     def save(state: DataFrame, batch: int) -> None:
         state.write.mode("overwrite").parquet(f"{out}/batch={batch}")
@@ -66,9 +77,15 @@ def latest_state(spark: SparkSession, result: DataFrame, name: str) -> DataFrame
     return states.where(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
 
 
-def appended(spark: SparkSession, result: DataFrame, name: str) -> DataFrame:
+def appended(
+    spark: SparkSession,
+    result: DataFrame,
+    name: str,
+    path: str | None = None,
+    checkpoint: str | None = None,
+) -> DataFrame:
     """Run an append-mode query over all available input into a Parquet table."""
-    out, place = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    out, place = _places(spark, name, path, checkpoint)
     _run(
         result.writeStream.outputMode("append")
         .format("parquet")
@@ -76,5 +93,3 @@ def appended(spark: SparkSession, result: DataFrame, name: str) -> DataFrame:
         .option("checkpointLocation", place)
     )
     return spark.read.schema(result.schema).parquet(out)
-
-

@@ -98,6 +98,18 @@ def test_stream_eval_stats_equals_batch(spark, tmp_path):
     assert {r["run"] for r in got} == {"a", "b"}
 
 
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    path, out, place = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    rows = lambda lo, hi: spark.createDataFrame(
+        [("a", i, [[1.0, float(i)], [1.0, 0.0]]) for i in range(lo, hi)], schemas.EMBEDDED
+    )
+    for lo, hi in ((0, 5), (5, 9)):
+        rows(lo, hi).write.mode("append").json(path)
+        stream = streams.read_stream(spark, path, schemas.EMBEDDED)
+        state = streams.latest_state(spark, streams.stream_eval_stats(stream), "s", out, place)
+        assert state.head()["n"] == hi
+
+
 def test_stream_drops_late_rows(spark, tmp_path):
     path = tmp_path / "log"
     schema = "ts timestamp, metric string, value double"
