@@ -30,18 +30,34 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "prefsp
 _local_scratch: list[str] = []
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table or a streaming checkpoint.
+def scratch_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    It lies in the folder the cluster shares (``spark.checkpoint.dir``).  Only
-    where that is unset, as in local tests, a temporary folder stands in.
+    Where it is unset, a local session gets a temporary folder of its own; on a
+    cluster that is an error, as executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local_scratch:
             _local_scratch.append(tempfile.mkdtemp(prefix="prefspark-"))
         base = _local_scratch[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table or a streaming checkpoint."""
+    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch_path`` named, in whatever store it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

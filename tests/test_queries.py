@@ -6,8 +6,8 @@ import pytest
 import __spark_entry__ as entry_point
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+SQL = entry_point.ORACLES
+QUERIES = entry_point.QUERIES
 
 
 @pytest.fixture(scope="module")
