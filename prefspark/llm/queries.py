@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import bpe, exact_dedup, langid, line_dedup, packing, quality_rules
+from prefspark.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, quality_rules, toxicity
 from prefspark.llm.common import documents, sha256
 
 
@@ -24,10 +24,23 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    scored = toxicity.toxicity(docs, labels.where(~out))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return scored.select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"), "n_entries")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
@@ -44,7 +57,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_exact_dedup, op6_best_fit_packing, op8_bpe, op9_language_id)
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_ngram_jaccard, op4_exact_dedup, op5_toxicity, op6_best_fit_packing, op8_bpe, op9_language_id)
 }
 
 ORACLES: dict[str, str] = {
@@ -110,6 +123,26 @@ m AS (SELECT l.doc_id, l.i, l.line, gone.i IS NOT NULL AS removed FROM l LEFT JO
 SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN removed THEN 1 ELSE 0 END)::BIGINT AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '')) AS kept_sha256
 FROM m GROUP BY 1
+""",
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+t AS (SELECT words, min(doc_id) AS node, count(*) AS n_copies FROM w WHERE len(words) > 0 GROUP BY 1),
+s AS (
+  SELECT DISTINCT node, array_to_string(words[i + 1:i + least(5, len(words))], ' ') AS gram
+  FROM (SELECT node, words, unnest(range(greatest(1, len(words) - 4))) AS i FROM t)
+),
+n AS (SELECT node, count(*) AS size FROM s GROUP BY 1),
+pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.node <> b.node GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM pairs JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE 100 * shared >= 80 * (x.size + y.size - shared)
+),
+reach AS (SELECT a AS node, b AS other FROM link UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a),
+class AS (SELECT node, least(node, min(other)) AS class_id FROM reach GROUP BY 1),
+degree AS (SELECT a AS node, count(*) AS n_links FROM link GROUP BY 1)
+SELECT w.doc_id, coalesce(class_id, t.node, w.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 1)::BIGINT AS n_copies
+FROM w LEFT JOIN t ON t.words = w.words LEFT JOIN class ON class.node = t.node LEFT JOIN degree ON degree.node = t.node
 """,
     "op4_exact_dedup": """
 WITH d AS (
