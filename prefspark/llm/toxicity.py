@@ -5,8 +5,8 @@ have and clean ones lack, chosen greedily so that together they cover the toxic
 texts.  A trie of it, intersected with Levenshtein automata, finds its entries in
 a text exactly and misspelled.  Each way of matching an entry gets a weight from
 all training rows, and a match in a quoting context counts by what quoted
-matches turned out to mean there.  A logistic curve over a text's evidence,
-fitted on a bounded sample, gives the score.
+matches turned out to mean there.  The share of toxic training rows and a text's
+summed evidence give the score as odds.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from prefspark.llm.bpe import in_slices
@@ -28,10 +26,10 @@ from prefspark.llm.common import id_and_text, stored
 STEM_LENGTHS = (4, 16)
 #: Candidates and entries of the lexicon: bounds of the model, not of the data it learns from.
 CANDIDATES, ENTRIES = 4000, 500
-#: Toxic training texts from which the cover is chosen, and labelled rows that fit the curve.
-COVER_ROWS, CURVE_ROWS = 20_000, 20_000
+#: Toxic training texts from which the cover is chosen.
+COVER_ROWS = 20_000
 #: A beginning is this much likelier in toxic texts.
-LIFT = 20.0
+LIFT = 8.0
 #: Entries of so many letters may be misspelled by one edit, or by two.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Misspelled beginnings of longer words are looked for from this length on.
@@ -42,6 +40,8 @@ QUOTES = re.compile(
     r"[\"“”„«»‹›]|\b(said|says|wrote|writes|called|quote[sd]?|quoted|word|term|sagte|schrieb|zitat|dijo|escribió|cita|dit|écrit|citation)\b"
 )
 EXACT, MISSPELLED, MISSPELLED_STEM = 0, 1, 2
+#: Matches of an entry in a text are told apart up to so many.
+TIMES = 4
 REMEMBERED = 600_000
 
 _WORDS = re.compile(r"\w+").findall
@@ -138,22 +138,24 @@ class Lexicon:
         self.seen[word] = result = tuple(found.items())
         return result
 
-    def matches(self, text: str) -> set[tuple[int, int, bool]]:
-        """(entry, way, quoted) of a text; quoted when every such match has a quoting context."""
+    def matches(self, text: str) -> dict[tuple[int, int], list[int]]:
+        """(entry, way) -> [occurrences, those of them in a quoting context]."""
         low = text.lower()
         words = _WORDS(low)
         hit = {w: m for w in set(words) if (m := self.find(w))}
         if not hit:
-            return set()
+            return {}
         spans = [m.span() for m in re.finditer(r"\w+", low)]
-        plain: set[tuple[int, int]] = set()
-        quoted: set[tuple[int, int]] = set()
+        found: dict[tuple[int, int], list[int]] = {}
         for i, word in enumerate(words):
             if word in hit:
                 a, b = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
-                marks = len(QUOTES.findall(low[max(0, a - 1) : b + 1]))
-                (quoted if marks else plain).update(hit[word])
-        return {(k, way, False) for k, way in plain} | {(k, way, True) for k, way in quoted - plain}
+                quoted = QUOTES.search(low[max(0, a - 1) : b + 1]) is not None
+                for match in hit[word]:
+                    cell = found.setdefault(match, [0, 0])
+                    cell[0] += 1
+                    cell[1] += quoted
+        return found
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
 def greedy_cover(held: list[list[str]]) -> list[str]:
     """Entries that cover the texts, most new texts first, longest on ties.
 
-    Then those that are half as frequent as the usual entry and not the
+    Then those that are a quarter as frequent as the usual entry and not the
     beginning of, or begun by, one already chosen.
     """
     where: dict[str, set[int]] = {}
@@ -238,7 +240,7 @@ def greedy_cover(held: list[list[str]]) -> list[str]:
         usual = sorted(support[s] for s in chosen)[len(chosen) // 2]
         nested = lambda s: any(s.startswith(c) or c.startswith(s) for c in chosen)
         for stem in sorted(support, key=lambda s: (-support[s], -len(s), s)):
-            if 2 * support[stem] < usual or len(chosen) >= ENTRIES:
+            if 4 * support[stem] < usual or len(chosen) >= ENTRIES:
                 break
             if not nested(stem):
                 chosen.append(stem)
@@ -246,50 +248,60 @@ def greedy_cover(held: list[list[str]]) -> list[str]:
 
 
 def find_matches(texts: DataFrame, entries: list[str]) -> DataFrame:
-    """(doc_id, entry, way, quoted) of every whole text."""
+    """(doc_id, entry, way, n, quoted) of every whole text; quoted: the share in a quoting context."""
     words = texts.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(words.value)
         for batch in batches:
             for part in in_slices(batch):
-                out = [(i, *m) for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for m in sorted(lexicon.matches(text))]
-                columns = list(zip(*out)) or [[]] * 4
-                types = pa.int64(), pa.int32(), pa.int32(), pa.bool_()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "entry", "way", "quoted"])
+                out = [
+                    (doc, entry, way, n, quoted / n)
+                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+                    for (entry, way), (n, quoted) in sorted(lexicon.matches(text).items())
+                ]
+                columns = list(zip(*out)) or [[]] * 5
+                types = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "entry", "way", "n", "quoted"])
 
-    return texts.mapInArrow(run, "doc_id long, entry int, way int, quoted boolean")
+    return texts.mapInArrow(run, "doc_id long, entry int, way int, n long, quoted double")
 
 
-def weigh(matches: DataFrame, labels: DataFrame) -> tuple[dict[tuple[int, int], float], float]:
-    """Log-odds of each (entry, way) from all labelled training rows, and the factor of quoted matches.
+def weigh(matches: DataFrame, labels: DataFrame) -> tuple[dict[tuple[int, int, int], float], float]:
+    """Log-odds of each (entry, way, times) from all labelled training rows, and the factor of quoted matches.
 
+    More matches never weigh less than fewer.
     Ways that training texts hardly show lean on the entry's exact matches, the
-    less the more often clean texts have them.  At most three rows per entry are
-    collected.
+    less the more often clean texts have them.  What is collected is a few rows
+    per entry.
     """
     n = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    hits = matches.join(labels, "doc_id").groupBy("entry", "way", "quoted")
+    hits = matches.join(labels, "doc_id").groupBy("entry", "way", F.least("n", F.lit(TIMES)).alias("times"), (F.col("quoted") > 0.5).alias("is_quoted"))
     rows = hits.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
-    seen: dict[tuple[int, int], list[float]] = {}
-    quoted = [0, 0]
+    seen: dict[tuple[int, int, int], list[int]] = {}
+    context = {True: [0, 0], False: [0, 0]}
     for r in rows:
-        cell = seen.setdefault((r["entry"], r["way"]), [0, 0])
+        cell = seen.setdefault((r["entry"], r["way"], r["times"]), [0, 0])
         cell[0] += r["toxic"]
         cell[1] += r["clean"]
-        if r["quoted"] and r["way"] == EXACT:
-            quoted[0] += r["toxic"]
-            quoted[1] += r["clean"]
+        if r["way"] == EXACT:
+            context[r["is_quoted"]][0] += r["toxic"]
+            context[r["is_quoted"]][1] += r["clean"]
     toxic, clean = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-    odds = lambda t, c: float(np.log((t + 0.05) / (toxic + 1)) - np.log((c + 0.05) / (clean + 1)))
+    odds = lambda t, c: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
     weights = {}
-    for entry in {e for e, _ in seen}:
-        weights[entry, EXACT] = exact = max(0.0, odds(*seen.get((entry, EXACT), (0, 0))))
-        for way, share in ((MISSPELLED, 0.9), (MISSPELLED_STEM, 0.6)):
-            t, c = seen.get((entry, way), (0, 0))
-            rare = 1 / (1 + 1000 * c / clean) if c else 1.0
-            weights[entry, way] = max(0.0, min(share * exact, odds(t, c) if t + c >= 20 else share * exact * rare))
-    return weights, (quoted[0] + 1) / (quoted[0] + quoted[1] + 2)
+    for entry in {e for e, _, _ in seen}:
+        exact = 0.0
+        for times in range(1, TIMES + 1):
+            t, c = seen.get((entry, EXACT, times), (0, 0))
+            exact = max(exact, odds(t, c)) if t else exact
+            weights[entry, EXACT, times] = exact
+            for way, share in ((MISSPELLED, 0.9), (MISSPELLED_STEM, 0.6)):
+                t, c = seen.get((entry, way, times), (0, 0))
+                rare = 1 / (1 + 1000 * c / clean) if c else 1.0
+                weights[entry, way, times] = max(0.0, min(share * exact, odds(t, c) if t + c >= 20 else share * exact * rare))
+    precision = lambda t, c: (t + 1) / (t + c + 2)
+    return weights, min(1.0, precision(*context[True]) / precision(*context[False]))
 
 
 def toxicity(
@@ -315,11 +327,12 @@ def toxicity(
         return texts.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_entries"))
     matches = stored(find_matches(texts, entries).distinct(), "lexicon-matches")
     training = texts.select("doc_id").join(marks, "doc_id").distinct()
-    weights, quoted = weigh(matches, training)
-    table = spark.createDataFrame([(e, w, v) for (e, w), v in sorted(weights.items())], "entry int, way int, weight double")
-    worth = F.col("weight") * F.when(F.col("quoted"), F.lit(quoted)).otherwise(F.lit(1.0))
+    weights, quoting = weigh(matches, training)
+    table = spark.createDataFrame([(*k, v) for k, v in sorted(weights.items())], "entry int, way int, times long, weight double")
+    counted = matches.withColumn("times", F.least("n", F.lit(TIMES)))
+    worth = F.col("weight") * (1 - F.col("quoted") * F.lit(1 - quoting))
     evidence = (
-        matches.join(F.broadcast(table), ["entry", "way"])
+        counted.join(F.broadcast(table), ["entry", "way", "times"])
         .groupBy("doc_id", "entry")
         .agg(F.max(worth).alias("worth"))
         .where("worth > 0")
@@ -328,10 +341,9 @@ def toxicity(
     )
     evidence = stored(evidence, "toxic-evidence")
     amount = F.coalesce("evidence", F.lit(0.0))
-    sample = training.join(evidence, "doc_id", "left").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-    fit = LogisticRegression(labelCol="toxic", regParam=0.003).fit(sample.select(F.col("toxic").cast("double"), array_to_vector(F.array(amount)).alias("features")))
+    toxic = training.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
+    logit = amount + F.lit(float(np.log((toxic["toxic"] + 0.5) / (toxic["n"] - toxic["toxic"] + 0.5))))
     found = evidence.withColumnRenamed("doc_id", "found_id")
-    curve = F.lit(float(fit.intercept)) + F.lit(float(fit.coefficients[0])) * amount
     return texts.select("doc_id").join(found, F.col("doc_id") == F.col("found_id"), "left").select(
-        "doc_id", (1 / (1 + F.exp(-curve))).alias("score"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries")
+        "doc_id", (1 / (1 + F.exp(-logit))).alias("score"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries")
     )
