@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, quality_rules, toxicity
+from prefspark.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, quality_rules, secrets, toxicity
 from prefspark.llm.common import documents, sha256
 
 
@@ -45,6 +45,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", "start", "length", sha256(F.col("value")).alias("value_sha256"), "keyed", "probability", "is_secret")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), vocabulary())
 
@@ -57,7 +62,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_ngram_jaccard, op4_exact_dedup, op5_toxicity, op6_best_fit_packing, op8_bpe, op9_language_id)
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_ngram_jaccard, op4_exact_dedup, op5_toxicity, op6_best_fit_packing, op7_secret_scan, op8_bpe, op9_language_id)
 }
 
 ORACLES: dict[str, str] = {
