@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, quality_rules, secrets, toxicity
+from prefspark.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, quality_rules, secrets, suffix_dedup, toxicity
 from prefspark.llm.common import documents, sha256
 
 
@@ -61,8 +61,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, filters).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_ngram_jaccard, op4_exact_dedup, op5_toxicity, op6_best_fit_packing, op7_secret_scan, op8_bpe, op9_language_id)
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_ngram_jaccard, op4_exact_dedup, op5_toxicity, op6_best_fit_packing, op7_secret_scan, op8_bpe, op9_language_id, op10_suffix_dedup)
 }
 
 ORACLES: dict[str, str] = {
