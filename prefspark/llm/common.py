@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from prefspark.session import scratch_path
@@ -10,6 +11,11 @@ from prefspark.session import scratch_path
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def vocabulary() -> str:
+    """The byte-level BPE vocabulary file that the registered queries use."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

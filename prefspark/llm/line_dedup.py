@@ -71,6 +71,12 @@ def without_runs(text: Column, runs: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def removal_runs(texts: DataFrame) -> DataFrame:
+    """run_id, runs: the line intervals that each document loses; documents that lose none are not listed."""
+    windows = stored(line_windows(texts), "line-windows")
+    return merged_runs(later_windows(windows)).withColumnRenamed("doc_id", "run_id")
+
+
 def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text (cleaned), n_lines, n_removed.
 
@@ -80,8 +86,7 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     overlap, so a line repeated over and over loses what any later window covers.
     """
     texts = id_and_text(df, id_col, text_col)
-    windows = stored(line_windows(texts), "line-windows")
-    runs = merged_runs(later_windows(windows)).withColumnRenamed("doc_id", "run_id")
+    runs = removal_runs(texts)
     both = texts.join(runs, texts["doc_id"].eqNullSafe(runs["run_id"]), "left")
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)
     n_lines = F.size(_lines(F.col("text")))
@@ -91,3 +96,12 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def with_clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with later occurrences of lines taken out of its texts; all rows and columns stay."""
+    runs = removal_runs(id_and_text(df, id_col, text_col)).select(F.col("run_id").alias("_run_id"), F.col("runs").alias("_runs"))
+    both = df.join(runs, df[id_col].cast("long").eqNullSafe(F.col("_run_id")), "left")
+    text = F.col(f"`{text_col}`")
+    clean = F.when(F.col("_runs").isNull(), text).otherwise(without_runs(text, F.col("_runs")))
+    return both.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prefspark.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, quality_rules, secrets, suffix_dedup, toxicity
-from prefspark.llm.common import documents, sha256
-
-
-def vocabulary() -> str:
-    return public_tokenizers.path("byte_bpe_50k.json")
+from prefspark.llm.common import documents, sha256, vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_ngram_jaccard, op4_exact_dedup, op5_toxicity, op6_best_fit_packing, op7_secret_scan, op8_bpe, op9_language_id, op10_suffix_dedup)
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": rf"""
