@@ -99,9 +99,11 @@ def anchors(texts: DataFrame) -> DataFrame:
             if not found:
                 continue
             anchor, doc, place = (np.concatenate(x) for x in zip(*found))
+            if not len(anchor):
+                continue
             order = np.lexsort((doc, anchor))
             anchor, doc, place = anchor[order], doc[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             last = np.append(first[1:], len(anchor)) - 1
             shared = doc[first] != doc[last]
             known = np.repeat(shared, last - first + 1)

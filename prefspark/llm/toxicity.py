@@ -195,7 +195,7 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
         .select(F.explode(F.transform(lengths, lambda k: F.substring("word", F.lit(1), k))).alias("stem"), "toxic", "clean")
         .groupBy("stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= max(3, n[1] // 500)) & (F.col("toxic") / n[1] >= LIFT * (F.col("clean") + 0.5) / n[0]))
+        .where((F.col("toxic") >= max(3, n[1] // 500)) & (F.col("toxic") / n[1] >= LIFT * (F.col("clean") + 3) / n[0]))
     )
     candidates = [r["stem"] for r in stems.orderBy(F.desc("toxic"), F.desc(F.char_length("stem")), "stem").limit(CANDIDATES).collect()]
     if not candidates:
@@ -288,7 +288,7 @@ def weigh(matches: DataFrame, labels: DataFrame) -> tuple[dict[tuple[int, int, i
             context[r["is_quoted"]][0] += r["toxic"]
             context[r["is_quoted"]][1] += r["clean"]
     toxic, clean = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-    odds = lambda t, c: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
+    odds = lambda t, c: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 1.5) / (clean + 1)))
     weights = {}
     for entry in {e for e, _, _ in seen}:
         exact = 0.0
