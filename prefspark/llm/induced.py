@@ -19,15 +19,12 @@ import numpy as np
 
 #: Tuples that queues hold in memory before chunks are written out.
 MEMORY_ITEMS = 8 << 20
-#: Ranges of symbols that a queue tells apart.
-RANGES = 2048
-
 
 class TupleQueue:
     """A priority queue of positions by symbol value; equal values keep the order of arrival."""
 
-    def __init__(self, top: int, folder: str, memory_items: int = MEMORY_ITEMS):
-        self.width = max(1, -(-(top + 1) // RANGES))
+    def __init__(self, top: int, folder: str, memory_items: int, ranges: int):
+        self.width = max(1, -(-(top + 1) // ranges))
         self.chunks: dict[int, list] = {}
         self.folder, self.memory_items = folder, memory_items
         self.held, self.files = 0, 0
@@ -81,7 +78,8 @@ def induce(symbols: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, folder: s
     a symbol at least as large, and among equal symbols comes before the seeds.
     """
     value = 2 * symbols + ~wanted
-    queue = TupleQueue(int(value.max()), folder, memory_items)
+    # As many ranges as a range has tuples: few rounds, and few tuples that overtake others in one.
+    queue = TupleQueue(int(value.max()), folder, memory_items, max(16, int(len(symbols) ** 0.5)))
     queue.push(value[seeds], seeds)
     out = []
     while (taken := queue.take()) is not None:
