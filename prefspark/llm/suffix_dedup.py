@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from prefspark.llm.bpe import in_slices
 from prefspark.llm.common import id_and_text, stored
 from prefspark.llm.induced import MEMORY_ITEMS, sorted_windows
-from prefspark.llm.line_dedup import merged_runs
+from prefspark.llm.ngram_join import runs_of_equal
+from prefspark.session import shuffle_partitions
 
 LENGTH = 50
 ANCHOR = 20
@@ -80,92 +81,120 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return anchor[at], owner[at], inside[at] - (ends - sizes)[owner[at]], np.minimum(left, RUN)
 
 
-def anchors(texts: DataFrame) -> DataFrame:
-    """(deal, anchor, doc_id, place): every run; place packs the first window and their number.
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Integer columns of one length, compressed: offsets from the least, byte by byte."""
+    parts = [len(columns[0]).to_bytes(4, "little")]
+    for column in columns:
+        least = int(column.min())
+        rest = (column - least).astype("<u8").view(np.uint8).reshape(-1, 8)
+        width = max(1, (int(rest.view("<u8").max()).bit_length() + 7) // 8)
+        parts += [least.to_bytes(8, "little", signed=True), bytes([width]), rest[:, :width].T.tobytes()]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_columns(data: bytes, n_columns: int) -> list[np.ndarray]:
+    raw = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+    rows, at, out = int.from_bytes(raw[:4], "little"), 4, []
+    for _ in range(n_columns):
+        least, width = int.from_bytes(raw[at : at + 8], "little", signed=True), raw[at + 8]
+        planes = np.frombuffer(raw, np.uint8, rows * width, at + 9).reshape(width, rows)
+        value = np.zeros((rows, 8), np.uint8)
+        value[:, :width] = planes.T
+        out.append(value.view("<u8").reshape(-1).astype(np.int64) + least)
+        at += 9 + rows * width
+    return out
+
+
+def anchors(texts: DataFrame, bucket_bits: int) -> DataFrame:
+    """(bucket, data): every run as packed (anchor step, doc_id, first window, windows), by leading anchor bits.
 
     Runs whose anchor lies in two documents of the same batch are known to
-    repeat: they are dealt out by a key of their own, and one beacon (place -1)
-    tells the others.  So an anchor that much of the corpus shares adds one row
-    per batch to a task, not one per document.
+    repeat: they come in buckets of their own, below 0, dealt out evenly, and one
+    run of no windows tells the anchor's bucket.  So an anchor that much of the
+    corpus shares adds one run per batch to a bucket, not one per document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for turn, batch in enumerate(batches):
             found = []
             for part in in_slices(batch, 2 << 20):
                 docs = part.column(0).to_numpy()
                 anchor, owner, start, count = anchor_runs([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
-                found.append((anchor.view(np.int64), docs[owner], start << 8 | count))
-            if not found:
-                continue
-            anchor, doc, place = (np.concatenate(x) for x in zip(*found))
+                found.append((anchor, docs[owner], start, count))
+            anchor, doc, start, count = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
             if not len(anchor):
                 continue
             order = np.lexsort((doc, anchor))
-            anchor, doc, place = anchor[order], doc[order], place[order]
+            anchor, doc, start, count = anchor[order], doc[order], start[order], count[order]
             first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             last = np.append(first[1:], len(anchor)) - 1
             shared = doc[first] != doc[last]
             known = np.repeat(shared, last - first + 1)
-            deal = np.where(known, _mix(anchor.view(np.uint64) + place.view(np.uint64) * _M + doc.view(np.uint64)).view(np.int64), anchor)
-            beacons = anchor[first[shared]]
-            columns = (
-                np.concatenate([deal, beacons]),
-                np.concatenate([anchor, beacons]),
-                np.concatenate([doc, doc[first[shared]]]),
-                np.concatenate([np.where(known, place | 1 << 62, place), np.full(len(beacons), -1)]),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["deal", "anchor", "doc_id", "place"])
-
-    return texts.mapInArrow(run, "deal long, anchor long, doc_id long, place long")
-
-
-def repeated_runs(runs: DataFrame) -> DataFrame:
-    """The runs whose anchor lies in two documents or more: doc_id, anchor, place."""
+            out = []
+            for rows, columns in ((~known, 1), (known, -1)):
+                if columns < 0:  # evenly, a few thousand runs each
+                    spots = np.flatnonzero(rows)
+                    pieces = [spots[k : k + 4096] for k in range(0, len(spots), 4096)]
+                    numbers = [-1 - (hash((turn, int(doc[p[0]]), k)) % (1 << bucket_bits)) for k, p in enumerate(pieces)]
+                else:
+                    spots = np.union1d(np.flatnonzero(rows), first[shared])
+                    bucket = (anchor[spots] >> np.uint64(64 - bucket_bits)).astype(np.int64)
+                    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+                    pieces = np.split(spots, cuts)
+                    numbers = bucket[np.concatenate([[0], cuts])].tolist() if len(spots) else []
+                for number, piece in zip(numbers, pieces):
+                    if len(piece):
+                        told = np.where(known[piece], 0, count[piece]) if columns > 0 else count[piece]
+                        steps = np.diff(anchor[piece], prepend=np.uint64(0)).view(np.int64)
+                        lead, steps = int(steps[0]), np.concatenate([[0], steps[1:]])
+                        out.append((number, lead, pack_columns([steps, doc[piece], start[piece], told])))
+            columns = list(zip(*out))
+            types = pa.int64(), pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "lead", "data"])
+
+    return texts.mapInArrow(run, "bucket long, lead long, data binary")
+
+
+def repeated_runs(packed: DataFrame) -> DataFrame:
+    """The runs whose anchor lies in two documents or more: doc_id, anchor, start, windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last key's rows: they may go on in the next batch
-        for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(4)]
-            if held is not None:
-                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-            if len(columns[0]):
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))
-                yield _shared([c[:cut] for c in columns])
-                held = [c[cut:] for c in columns]
-        if held is not None:
-            yield _shared(held)
-
-    return runs.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "doc_id long, anchor long, place long")
-
-
-def _shared(columns: list[np.ndarray]) -> pa.RecordBatch:
-    deal, anchor, doc, place = columns
-    if len(deal):
-        first = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]]))
-        size = np.diff(np.append(first, len(deal)))
-        # A beacon, a run known to repeat, or two documents.
-        keep = (np.minimum.reduceat(place, first) < 0) | (place[first] >= 1 << 62)
-        keep |= np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        mask = np.repeat(keep, size) & (place >= 0)
-        anchor, doc, place = anchor[mask], doc[mask], place[mask] & ((1 << 62) - 1)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, anchor, place)], names=["doc_id", "anchor", "place"])
+        for table in runs_of_equal(batches, 0):
+            buckets = table.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                parts = []
+                for lead, data in zip(table.column(1)[a:b].to_pylist(), table.column(2)[a:b].to_pylist()):
+                    steps, doc, start, count = unpack_columns(data, 4)
+                    parts.append((np.cumsum(steps) + lead, doc, start, count))
+                anchor, doc, start, count = (np.concatenate(x) for x in zip(*parts))
+                if buckets[a] >= 0:
+                    order = np.argsort(anchor, kind="stable")
+                    anchor, doc, start, count = anchor[order], doc[order], start[order], count[order]
+                    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+                    keep = (np.minimum.reduceat(count, first) == 0) | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
+                    mask = np.repeat(keep, np.diff(np.append(first, len(anchor)))) & (count > 0)
+                    anchor, doc, start, count = anchor[mask], doc[mask], start[mask], count[mask]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, anchor, start, count)], names=["doc_id", "anchor", "start", "windows"])
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, anchor long, start long, windows long")
 
 
 def cut_out(texts: DataFrame, places: DataFrame) -> DataFrame:
     """(piece, anchor, doc_id, start, content): the bytes of each run's windows; piece is their digest."""
-    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    joined = texts.join(listed, "doc_id").select("doc_id", "text", F.col("places.anchor").alias("anchors"), F.col("places.place").alias("starts"))
+    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places"))
+    columns = [F.col(f"places.{c}").alias(f"{c}s") for c in ("anchor", "start", "windows")]
+    joined = texts.join(listed, "doc_id").select("doc_id", "text", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, 4 << 20):
                 out = []
-                for doc, text, anchors_, starts in zip(*(part.column(k).to_pylist() for k in range(4))):
+                for doc, text, *runs in zip(*(part.column(k).to_pylist() for k in range(5))):
                     data = text.encode("utf-8", "surrogatepass")
-                    for anchor, place in zip(anchors_, starts):
-                        start = place >> 8
-                        content = data[start : start + (place & 255) + LENGTH - 1]
+                    for anchor, start, windows in zip(*runs):
+                        content = data[start : start + windows + LENGTH - 1]
                         out.append((hashlib.md5(content).digest(), anchor, doc, start, content))
                 columns = list(zip(*out)) or [[]] * 5
                 types = pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
@@ -198,9 +227,7 @@ def first_documents(contents: list[bytes], first: np.ndarray, memory_items: int
 
 def removed_windows(pieces: DataFrame, shard_bytes: int = SHARD_BYTES, memory_items: int = MEMORY_ITEMS) -> DataFrame:
     """(doc_id, start, end): byte intervals covered by windows of an earlier document; end is the last byte."""
-    contents = stored(
-        pieces.groupBy("piece").agg(F.min("doc_id").alias("first"), F.first("anchor").alias("anchor"), F.first("content").alias("content")), "contents"
-    )
+    contents = stored(pieces.groupBy("content", "anchor").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "contents")
     total = contents.agg(F.sum(F.octet_length("content") + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
@@ -208,17 +235,31 @@ def removed_windows(pieces: DataFrame, shard_bytes: int = SHARD_BYTES, memory_it
         whole = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
         if whole is None:
             return
-        found = first_documents(whole.column("content").to_pylist(), whole.column("first").to_numpy(), memory_items)
-        content, start, end, least = zip(*found)
-        piece = whole.column("piece").take(pa.array(content)).combine_chunks()
-        yield pa.RecordBatch.from_arrays([piece, pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(least, pa.int64())], names=["piece", "from", "to", "least"])
-
-    sorted_ = contents.repartition(shards, "anchor").select("piece", "first", "content").mapInArrow(run, "piece binary, from long, to long, least long")
-    verdicts = stored(sorted_, "verdicts")
+        texts, first, n = whole.column(0).to_pylist(), whole.column(1).to_numpy(), whole.column(2).to_numpy()
+        # What only its own first document holds removes nothing.
+        found = [x for x in first_documents(texts, first, memory_items) if x[3] < first[x[0]] or n[x[0]] > 1]
+        digests = {k: hashlib.md5(texts[k]).digest() for k in {x[0] for x in found}}
+        columns = list(zip(*found)) or [[]] * 4
+        arrays = [pa.array([digests[k] for k in columns[0]], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["piece", "from", "to", "least"])
+
+    dealt = contents.repartition(shards, "anchor").select("content", "first", "n")
+    verdicts = stored(dealt.mapInArrow(run, "piece binary, from long, to long, least long"), "verdicts")
     hits = pieces.select("piece", "doc_id", "start").join(verdicts, "piece").where("least < doc_id")
     return hits.select("doc_id", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + LENGTH - 1).alias("end"))
 
 
+def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Intervals in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(zip(starts, ends)):
+        if out and start <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
 
@@ -229,10 +270,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     texts = id_and_text(df, id_col, text_col)
     known = texts.where("doc_id IS NOT NULL")
-    places = stored(repeated_runs(anchors(known)), "repeated-runs")
+    # Sixteen buckets a partition, so that a task holds a small part of one at a time.
+    bucket_bits = max(8, (16 * shuffle_partitions(df.sparkSession)).bit_length())
+    places = stored(repeated_runs(anchors(known, bucket_bits)), "repeated-runs")
     pieces = stored(cut_out(known, places), "pieces")
     covers = removed_windows(pieces, shard_bytes)
-    runs = stored(merged_runs(covers).select(F.col("doc_id").alias("run_id"), F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends")), "removed-runs")
+    runs = covers.groupBy(F.col("doc_id").alias("run_id")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = stored(runs.select("run_id", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends")), "removed-runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +284,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out = []
                 for doc, text, starts, ends in zip(*(part.column(k).to_pylist() for k in range(4))):
                     data = text.encode("utf-8", "surrogatepass")
-                    spans = list(zip(starts or [], ends or []))
+                    spans = merged(starts or [], ends or [])
                     cuts = [0, *(x for a, b in spans for x in (a, b + 1)), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
                     out.append((doc, len(data), len(data) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
