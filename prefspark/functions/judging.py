@@ -8,17 +8,21 @@ from . import fixed
 
 
 def judge_prompt(history: Column, first: Column, second: Column, task: str, mode: str | None) -> Column:
-    """Question to the judge about answers A (first) and B (second)."""
+    """Question to the judge about answers A (first) and B (second).
+
+    Without a message to quote, the query is empty.
+    """
     if (task, mode if task == "tldr" else None) not in fixed.JUDGE_WORDING:
         raise ValueError(f"no judge wording for task {task!r}, mode {mode!r}")
     opening, before_a, before_b, closing = fixed.JUDGE_WORDING[
         (task, mode if task == "tldr" else None)
     ]
     if task == "hh":
-        last = F.element_at(history, -1)
+        last = F.try_element_at(history, F.lit(-1))
         query = F.concat(F.upper(last["role"]), F.lit(": "), last["content"], F.lit("\n"))
     else:
-        query = F.element_at(history, 1)["content"]
+        query = F.try_element_at(history, F.lit(1))["content"]
+    query = F.coalesce(query, F.lit(""))
     return F.concat(
         F.lit(opening), query, F.lit(before_a), first, F.lit(before_b), second, F.lit(closing)
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import fixed
@@ -71,17 +70,27 @@ def label_mask(labels: Column) -> Column:
 
 
 def logits_to_logps(logits: Column, labels: Column, temperature: float = 1.0) -> Column:
-    """Log-probability of every next label; ignored labels read id 0."""
+    """Log-probability of every next label; ignored labels read id 0.
+
+    Unequal lengths of logits and labels, and labels outside the vocabulary, are errors.
+    """
     steps = F.greatest(F.size(labels) - 1, F.lit(0))
     following = F.transform(
         F.slice(labels, F.lit(2), steps),
         lambda y: F.when(y == fixed.IGNORE_LABEL, F.lit(0)).otherwise(y),
     )
-    return F.zip_with(
-        F.slice(logits, F.lit(1), steps),
-        following,
-        lambda row, y: log_softmax_at(row, y, temperature),
+
+    def score(row: Column, y: Column) -> Column:
+        outside = F.raise_error(F.concat(F.lit("label outside the vocabulary: "), y.cast("string")))
+        return F.when((y < 0) | (y >= F.size(row)), outside.cast("double")).otherwise(
+            log_softmax_at(row, y, temperature)
+        )
+
+    uneven = F.raise_error(
+        F.concat(F.size(logits).cast("string"), F.lit(" rows of logits, labels: "), F.size(labels).cast("string"))
     )
+    scores = F.zip_with(F.slice(logits, F.lit(1), steps), following, score)
+    return F.when(F.size(logits) != F.size(labels), uneven.cast("array<double>")).otherwise(scores)
 
 
 def log_sigmoid(x: Column) -> Column:
@@ -89,18 +98,35 @@ def log_sigmoid(x: Column) -> Column:
     return -(F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))))
 
 
+#: Terms of the series and of the continued fraction, and where one gives way to the other.
+_TERMS, _TAIL = 90, 3.0
+_LOG_ROOT_2PI = 0.5 * math.log(2.0 * math.pi)
+
+
 def neg_log_normal_cdf(z: Column) -> Column:
     """-ln Phi(z), +inf where Phi underflows.
 
-    Spark has no error function; this is one ``erfc`` per pair, in Arrow batches.
+    With phi the density and a = |z|: near 0, Phi(a) = 1/2 + phi(a) times the sum of
+    a^(2k+1) / (1 3 5 ... (2k+1)); further out, Phi(-a) = phi(a) / (a + 1/(a + 2/(a + ...))).
     """
 
-    @F.pandas_udf("double")
-    def run(batch: pd.Series) -> pd.Series:
-        def one(value: float) -> float:
-            tail = 0.5 * math.erfc(-value / math.sqrt(2.0))
-            return -math.log(tail) if tail > 0.0 else math.inf
-
-        return batch.map(one, na_action="ignore")
-
-    return run(z)
+    def lower_tail(a: Column) -> Column:
+        """-ln Phi(-a) for a >= 0."""
+        log_density = a * a / F.lit(2.0) + F.lit(_LOG_ROOT_2PI)
+        start = F.struct(F.lit(0.0).alias("s"), a.alias("t"))
+        series = F.aggregate(
+            F.sequence(F.lit(1), F.lit(_TERMS)),
+            start,
+            lambda acc, k: F.struct((acc["s"] + acc["t"]).alias("s"), (acc["t"] * a * a / (2 * k + 1)).alias("t")),
+            lambda acc: acc["s"],
+        )
+        near = -F.ln(F.lit(0.5) - F.exp(-log_density) * series)
+        fraction = F.aggregate(
+            F.sequence(F.lit(_TERMS), F.lit(1), F.lit(-1)), a, lambda acc, k: a + k / acc
+        )
+        return F.when(a < _TAIL, near).otherwise(log_density + F.ln(fraction))
+
+    below = bind(F.abs(z), lower_tail)
+    # Half of the least positive double: what Phi itself could not hold.
+    lost = F.when(below > F.lit(-math.log(5e-324) + math.log(2.0)), F.lit(math.inf)).otherwise(below)
+    return F.when(z <= 0, lost).otherwise(-F.log1p(-F.exp(-below)))

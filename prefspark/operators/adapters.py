@@ -70,6 +70,7 @@ def to_prompt_only(df: DataFrame, task: str, template: str = "chatml", **marks)
         part.cast("int").alias("part"),
         chat.render(history, template, add_generation_prompt=True, **marks).alias("prompt"),
         history.alias("history"),
+        *[F.col(c) for c in ("references_from",) if c in df.columns],
         references.alias("references"),
     )
 

@@ -9,17 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import vectors
 from ..functions.binding import bind
 
-# Up to this width, one SUM per dimension beats the vector aggregate.
-COLUMN_SUMS = 512
 
-
-def vector_width(df: DataFrame, vector: str) -> int:
-    """Width of a stored vector column, from its first row."""
-    first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).head()
-    return first[0] if first else 0
-
-
-def diversity(df: DataFrame, sample: str, vector: str, width: int | None = None) -> DataFrame:
+def diversity(df: DataFrame, sample: str, vector: str) -> DataFrame:
     """``sample, n_outputs, diversity`` from one row per output.
 
     The mean cosine over all pairs follows from |sum u|^2 and sum |u|^2 of the
@@ -27,30 +18,24 @@ def diversity(df: DataFrame, sample: str, vector: str, width: int | None = None)
     sums, linear in the rows, and a sample of any size costs its shuffle peers
     one partial row per task.  Below two outputs the result is NULL.
 
-    With a known ``width`` every dimension is a plain SUM; without it a vector
-    aggregate works for any width.
+    A NULL vector is no output: it is skipped, and a sample that has nothing
+    else is not returned.  Vectors of different widths in a sample are an error.
     """
     v = F.col(vector).cast("array<double>")
     rows = (
-        df.select(sample, v.alias("_v"))
+        df.where(F.col(vector).isNotNull())
+        .select(sample, v.alias("_v"))
         .withColumn("_square", vectors.squared(F.col("_v")))
         .withColumn("_norm", vectors.floored_norm(F.col("_square")))
     )
     own = F.col("_square") / (F.col("_norm") * F.col("_norm"))
-    counted = [F.count("_v").alias("n_outputs"), F.sum(own).alias("_own")]
-    if width and width <= COLUMN_SUMS:
-        units = [f"get(_v, {i}) / _norm AS _s{i}" for i in range(width)]
-        flat = rows.selectExpr(f"`{sample}`", "_v", "_square", "_norm", *units)
-        sums = flat.groupBy(sample).agg(
-            *counted, *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(width)]
-        )
-        total = F.array(*[f"_s{i}" for i in range(width)])
-    else:
-        unit = bind(F.col("_norm"), lambda norm: F.transform("_v", lambda x: x / norm))
-        summed = vector_to_array(Summarizer.sum(array_to_vector("_u")))
-        sums = rows.withColumn("_u", unit).groupBy(sample).agg(*counted, summed.alias("_sum"))
-        total = F.col("_sum")
-    squared = vectors.squared(total)
+    unit = bind(F.col("_norm"), lambda norm: F.transform("_v", lambda x: x / norm))
+    sums = rows.withColumn("_u", unit).groupBy(sample).agg(
+        F.count("_v").alias("n_outputs"),
+        F.sum(own).alias("_own"),
+        vector_to_array(Summarizer.sum(array_to_vector("_u"))).alias("_sum"),
+    )
+    squared = vectors.squared(F.col("_sum"))
     return sums.select(
         sample,
         "n_outputs",

@@ -21,7 +21,9 @@ def _gather(df: DataFrame, by: list[str], order: str, value: str, name: str) ->
 def ordered_lists(
     df: DataFrame, keys: list[str], order: str, value: str, name: str, limit: int = LIST_LIMIT
 ) -> DataFrame:
-    """``keys, part, first_<order>, <name>``: values of each key in ``order``.
+    """``keys, part, first_<order>, <name>_from, <name>``: values of each key in ``order``.
+
+    ``<name>_from`` is the place of the part's first value in the key's whole list.
 
     A key with up to ``limit`` rows gives one row, part 0.  A larger key gives
     parts of ``limit`` values each, in order, so nothing is dropped and no row
@@ -31,15 +33,16 @@ def ordered_lists(
     by = [*keys, "part"]
     ordinary, heavy = split_heavy(df.select(*keys, order, value), keys, limit, order)
     ordinary = ordinary.withColumns({"part": F.lit(0), "_first": F.col(order)})
+    place = (F.col("part").cast("bigint") * limit).alias(f"{name}_from")
     if heavy is None:
-        return _gather(ordinary, by, order, value, name)
+        return _gather(ordinary, by, order, value, name).select("*", place)
     firsts = heavy.groupBy(*keys).agg(F.min(order).alias("_first"))
     numbered = row_numbers(heavy, order, group=keys, name="_no")
     sliced = salted_join(numbered, firsts, keys, "_no").withColumn(
         "part", F.floor((F.col("_no") - 1) / F.lit(limit)).cast("int")
     )
     parts = ordinary.unionByName(sliced.drop("_no"))
-    return _gather(parts, by, order, value, name)
+    return _gather(parts, by, order, value, name).select("*", place)
 
 
 def group_references(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -49,7 +52,9 @@ def group_references(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     the prompt's id; every part of a prompt carries it.
     """
     lists = ordered_lists(df, ["prompt"], "row_idx", "chosen", "references", limit)
-    return lists.select(F.col("first_row_idx").alias("row_idx"), "part", "prompt", "references")
+    return lists.select(
+        F.col("first_row_idx").alias("row_idx"), "part", "prompt", "references_from", "references"
+    )
 
 
 def generation_records(prompts: DataFrame, outputs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -61,7 +66,9 @@ def generation_records(prompts: DataFrame, outputs: DataFrame, limit: int = LIST
     continue in further parts, which hold no history or prompt text again.
     """
     lists = ordered_lists(outputs, ["sample_id"], "output_idx", "output", "outputs", limit)
-    lists = lists.select("sample_id", "part", "outputs")
+    lists = lists.select("sample_id", "part", "outputs_from", "outputs")
+    if "references_from" not in prompts.columns:
+        prompts = prompts.withColumn("references_from", F.lit(0).cast("bigint"))
     records = prompts.join(lists, ["sample_id", "part"], "full_outer")
     no_text = F.array().cast("array<string>")
     return records.select(
@@ -69,6 +76,8 @@ def generation_records(prompts: DataFrame, outputs: DataFrame, limit: int = LIST
         F.col("part").cast("int").alias("part"),
         "history",
         "prompt",
+        F.coalesce("outputs_from", F.lit(0).cast("bigint")).alias("outputs_from"),
+        F.coalesce("references_from", F.lit(0).cast("bigint")).alias("references_from"),
         F.coalesce("outputs", no_text).alias("outputs"),
         F.coalesce("references", no_text).alias("references"),
     )

@@ -10,23 +10,30 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..session import shuffle_partitions
 
 # A table of this many 8-byte hashes is broadcast; a larger one is joined.
 BROADCAST_ROWS = 500_000
 
-# Slices of a heavy key.  A heavy key has thousands of rows, so this many
-# copies of its one summary row are few beside them.
-SALTS = 64
+
+def _salts(spark: SparkSession) -> int:
+    """Slices of a heavy key: as many as the shuffle has partitions.
+
+    A heavy key has thousands of rows, so this many copies of its one summary
+    row are few beside them, and however large it is all tasks share it.
+    """
+    return shuffle_partitions(spark)
 
 
 def _salted(df: DataFrame, spread: str) -> DataFrame:
     """Add the slice of a row, fixed by its ``spread`` column."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_salts(df.sparkSession))).cast("int"))
 
 
 def _all_salts(per_key: DataFrame) -> DataFrame:
-    return per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_salts(per_key.sparkSession) - 1))))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

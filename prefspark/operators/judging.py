@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import judging, rand
-from .numbering import first_shuffled
+from .numbering import first_shuffled, running_sums, shuffled_numbers
 
 
 def _tagged(seed, what: str, *parts) -> Column:
@@ -17,8 +17,9 @@ def judge_requests(
 ) -> DataFrame:
     """One question per sample and slot: a generated answer against a reference.
 
-    Per sample one reference and ``n`` outputs are drawn by seeded digest, and
-    each answer's A/B position is drawn on its own.  Every record first keeps
+    Per sample one reference and ``n`` outputs are drawn by seeded digest of
+    their place in the sample's whole lists, so how records cut the lists changes
+    no draw; each answer's A/B position is drawn on its own.  Every record first keeps
     only its own best draws, inside the row; the exchange then sees at most
     ``n`` outputs and one reference per record.  Samples without a reference
     give no request.
@@ -26,16 +27,18 @@ def judge_requests(
     sid = F.col("sample_id")
 
     def draw(column: str, what: str) -> Column:
+        start = F.col(f"{column}_from") if f"{column}_from" in records.columns else F.lit(0)
         return F.transform(
             column,
             lambda x, i: F.struct(
-                _tagged(seed, what, sid, F.col("part"), i).alias("h"), x.alias("text")
+                _tagged(seed, what, sid, F.coalesce(start, F.lit(0)) + i).alias("h"), x.alias("text")
             ),
         )
 
+    first_part = F.col("part") == 0 if "part" in records.columns else F.lit(True)
     drawn = records.select(
         sid,
-        F.when(F.col("part") == 0, F.col("history")).alias("history"),
+        F.when(first_part, F.col("history")).alias("history"),
         F.slice(F.array_sort(draw("outputs", "out")), 1, n).alias("outs"),
         F.array_min(draw("references", "ref")).alias("ref"),
     )
@@ -71,8 +74,13 @@ def judge_requests(
 
 
 def votes(requests: DataFrame, completions: DataFrame, task: str) -> DataFrame:
-    """Requests with their completion's verdict letter and vote."""
-    joined = requests.join(completions, "request_id", "left")
+    """Requests with their completion's verdict letter and vote.
+
+    A request that was answered more than once keeps its least completion, so a
+    repeated hand-over changes nothing.
+    """
+    once = completions.groupBy("request_id").agg(F.min("completion").alias("completion"))
+    joined = requests.join(once, "request_id", "left")
     letter = F.coalesce(judging.verdict(F.col("completion"), task), F.lit(""))
     return joined.withColumn("verdict", letter).withColumn(
         "win", judging.vote(F.col("verdict"), F.col("response_is_a"))
@@ -128,6 +136,25 @@ def win_summary(valid: DataFrame) -> DataFrame:
     )
 
 
+def running_win_stats(valid: DataFrame, seed: int = 0) -> DataFrame:
+    """Win statistics over the slots as samples arrive in seeded random order.
+
+    ``sample_id, row_no`` and the mean, standard error, least and greatest of the
+    slots' win rates over the samples so far.
+    """
+    order = shuffled_numbers(valid.select("sample_id"), "sample_id", seed)
+    numbered = valid.select("sample_id", "wins").join(order, "sample_id")
+    slots = numbered.select("sample_id", "row_no", F.posexplode("wins").alias("slot", "win"))
+    summed = running_sums(slots, "row_no", {"won": F.col("win").cast("int")}, ["slot"])
+    rate = F.col("won") / F.col("row_no")
+    return summed.groupBy("sample_id", "row_no").agg(
+        F.avg(rate).alias("mean"),
+        (F.stddev_pop(rate) / F.sqrt(F.count(rate))).alias("std_err"),
+        F.min(rate).alias("min"),
+        F.max(rate).alias("max"),
+    )
+
+
 def comparison_records(valid: DataFrame) -> DataFrame:
     """Rows to write: what was compared and who won."""
     return valid.select(

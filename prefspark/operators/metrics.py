@@ -90,25 +90,33 @@ def examples_seen(log: DataFrame) -> DataFrame:
 
 
 def throughput(log: DataFrame) -> DataFrame:
-    """Examples per second of every batch, from its first and last time stamp."""
+    """Examples per second of every batch, from its first and last time stamp.
+
+    A batch with one time stamp is measured from the end of the batch before it
+    in its run; NULL only where there is none, or no time passed.  Batches are
+    numbered in a run without gaps, so the batch before is found by its number.
+    """
     spans = log.groupBy("run", "epoch", "batch").agg(
         F.min(F.col("ts").cast("timestamp")).alias("_start"),
         F.max(F.col("ts").cast("timestamp")).alias("_end"),
     )
-    seconds = (F.unix_micros("_end") - F.unix_micros("_start")) / F.lit(1e6)
+    ended = spans.groupBy("run", (F.col("batch") + 1).alias("batch")).agg(F.max("_end").alias("_before"))
+    start = F.when(F.col("_start") < F.col("_end"), F.col("_start")).otherwise(F.col("_before"))
+    seconds = (F.unix_micros("_end") - F.unix_micros(start)) / F.lit(1e6)
     return (
         count_examples(log)
         .join(spans, ["run", "epoch", "batch"])
+        .join(ended, ["run", "batch"], "left")
         .select(
             "run",
             "epoch",
             "batch",
             "n_examples",
-            F.try_divide(F.col("n_examples"), seconds).alias("examples_per_sec"),
+            F.try_divide(F.col("n_examples"), F.when(seconds > 0, seconds)).alias("examples_per_sec"),
         )
     )
 
 
 def metrics_wide(log: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row per run and epoch with the known metrics as columns."""
-    return log.groupBy("run", "epoch").pivot("metric", metrics).agg(F.avg("value"))
+    """One row per run, epoch and batch (the step it was logged at) with the known metrics as columns."""
+    return log.groupBy("run", "epoch", "batch").pivot("metric", metrics).agg(F.avg("value"))

@@ -18,9 +18,6 @@ from ..functions.rand import digest
 from ..session import shuffle_partitions
 from .heavy import join_on
 
-# Most equal-depth cuts taken from the key's quantile sketch.
-MAX_CUTS = 1024
-
 # Cells per shuffle partition: several, so that hashing cells to partitions
 # leaves no partition with much more than its share.
 CELLS_PER_PARTITION = 8
@@ -34,12 +31,11 @@ def cells_by_value(df: DataFrame, key: str) -> DataFrame:
     """Add ``_cell``, non-decreasing in the numeric ``key``.
 
     Equal-depth cuts come from a quantile sketch of the key column alone (a job
-    that reads only that column), so clustered or outlying keys cannot pile up
-    in one cell.  Between two cuts, equal-width steps bring the number of cells
-    up to the shuffle width.
+    that reads only that column), one per cell, so clustered or outlying keys
+    cannot pile up in one cell, however many cells the shuffle width asks for.
     """
     wanted = _wanted_cells(df)
-    cuts = min(wanted, MAX_CUTS)
+    cuts = wanted
     probabilities = [i / cuts for i in range(cuts + 1)]
     marks = df.select(F.col(key).cast("double").alias("k")).approxQuantile(
         "k", probabilities, 1 / (2 * cuts)
@@ -51,17 +47,7 @@ def cells_by_value(df: DataFrame, key: str) -> DataFrame:
         bucketed = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(keyed)
     else:
         bucketed = keyed.withColumn("_bucket", F.lit(0))
-    steps = math.ceil(wanted / cuts)
-    if steps == 1:
-        return bucketed.withColumn("_cell", F.col("_bucket").cast("int")).drop("_key", "_bucket")
-    lows = F.array(*[F.lit(float(x)) for x in marks[:-1] or marks])
-    highs = F.array(*[F.lit(float(x)) for x in marks[1:] or marks])
-    at = F.col("_bucket").cast("int")
-    share = F.try_divide(F.col("_key") - F.get(lows, at), F.get(highs, at) - F.get(lows, at))
-    step = F.least(F.lit(steps - 1), F.greatest(F.lit(0), F.floor(share * steps)))
-    return bucketed.withColumn(
-        "_cell", (at * steps + F.coalesce(step, F.lit(0))).cast("int")
-    ).drop("_key", "_bucket")
+    return bucketed.withColumn("_cell", F.col("_bucket").cast("int")).drop("_key", "_bucket")
 
 
 def cells_by_digest(df: DataFrame, hex_key: str) -> DataFrame:
@@ -135,17 +121,23 @@ def running_sums(
 
 
 def running_stats(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Mean and standard error of ``value`` as rows arrive in ``key`` order."""
+    """Mean and standard error of ``value`` as rows arrive in ``key`` order.
+
+    Sums are taken of the distance to the mean of all rows, so a large common
+    offset costs no digits.  NULL values are not counted.
+    """
     x = F.col(value).cast("double")
-    summed = running_sums(df, key, {"seen": F.lit(1), "sum_x": x, "sum_xx": x * x})
-    n, s, q = F.col("seen"), F.col("sum_x"), F.col("sum_xx")
-    spread = F.greatest(q - s * s / n, F.lit(0.0))
+    centre = F.coalesce(df.select(F.avg(x)).scalar(), F.lit(0.0))
+    known, d = x.isNotNull().cast("bigint"), x - centre
+    summed = running_sums(df, key, {"seen": known, "sum_d": F.coalesce(d, F.lit(0.0)), "sum_dd": F.coalesce(d * d, F.lit(0.0))})
+    n, s, q = F.col("seen"), F.col("sum_d"), F.col("sum_dd")
+    spread = F.greatest(q - F.try_divide(s * s, n), F.lit(0.0))
     return summed.withColumns(
         {
-            "running_mean": s / n,
-            "running_std_err": F.sqrt(F.try_divide(spread, n - 1)) / F.sqrt(n),
+            "running_mean": centre + F.try_divide(s, n),
+            "running_std_err": F.try_divide(F.sqrt(F.try_divide(spread, n - 1)), F.sqrt(n)),
         }
-    ).drop("sum_x", "sum_xx")
+    ).drop("sum_d", "sum_dd")
 
 
 def first_rows(df: DataFrame, key: str, how_many: Column) -> DataFrame:
@@ -186,12 +178,12 @@ def take_proportion(df: DataFrame, proportion: float, key: str) -> DataFrame:
 def first_shuffled(df: DataFrame, key: str, seed, how_many: int) -> DataFrame:
     """The first ``how_many`` rows of a seeded random order (a sampling operator).
 
-    A small report is a top-k; a large one is cut by global row number, so
-    that it never gathers in one task.
+    The rows come unordered.  They are cut by global row number, whatever their
+    number, so a sample never gathers in one task.
     """
-    if how_many <= 10_000:
-        return df.orderBy(digest(seed, F.col(key)), key).limit(how_many)
-    return shuffled_numbers(df, key, seed).where(F.col("row_no") <= how_many).drop("row_no")
+    numbered = shuffled_numbers(df.select(key), key, seed)
+    chosen = numbered.where(F.col("row_no") <= how_many).select(key)
+    return df.join(chosen, key, "left_semi")
 
 
 def assign_batches(

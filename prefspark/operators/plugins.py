@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,14 +16,24 @@ from pyspark.sql import DataFrame, functions as F
 def embed(
     df: DataFrame, text: str, loader: Callable[[], Callable[[list[str]], list]], name: str = "embedding"
 ) -> DataFrame:
-    """Add the vector of a text column; other columns never enter Python."""
+    """Add the vector of a text column; other columns never enter Python.
+
+    All vectors of a batch have one width.  A NULL text has a NULL vector and
+    does not reach the model.
+    """
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loader()
         for batch in batches:
-            vectors = model(batch.fillna("").tolist())
-            yield pd.Series([[float(x) for x in v] for v in vectors], dtype=object)
+            known = batch.notna().to_numpy()
+            vectors = np.asarray(model(batch[known].tolist()), dtype=np.float64) if known.any() else np.empty((0, 0))
+            if len(vectors) != known.sum():
+                raise ValueError(f"{len(vectors)} vectors for {known.sum()} texts")
+            out = np.full(len(batch), None, dtype=object)
+            for i, vector in zip(np.flatnonzero(known), vectors):
+                out[i] = vector
+            yield pd.Series(out)
 
     return df.withColumn(name, run(F.col(text)))
 
@@ -39,7 +50,8 @@ def generate(
     """``sample_id, output_idx, output`` from the user's generator.
 
     ``column`` is what the model reads: the prompt text or ``prompt_ids``.
-    ``output_idx`` is ``sample_id * n_samples + i`` and so unique.
+    ``output_idx`` counts a sample's texts from 0; a model that returns another
+    number of texts than ``n_samples`` per prompt is an error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,9 +64,11 @@ def generate(
                 top_p=top_p,
                 seed=seed,
             )
+            if len(texts) != len(batch) or any(len(outs) != n_samples for outs in texts):
+                raise ValueError(f"the generator must return {n_samples} texts for each prompt")
             yield pd.DataFrame(
                 [
-                    (sid, sid * n_samples + i, text)
+                    (sid, i, text)
                     for sid, outs in zip(batch["sample_id"], texts)
                     for i, text in enumerate(outs)
                 ],

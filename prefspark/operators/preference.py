@@ -55,7 +55,9 @@ def pair_scores(sequences: DataFrame, loss_type: str = "sigmoid") -> DataFrame:
     """One row per pair from one row per (pair, side).
 
     A conditional aggregate instead of a self-join: one shuffle of four numbers.
-    Long-normalized scores for the squared-margin loss, sums otherwise.
+    Long-normalized scores for the squared-margin loss, sums otherwise.  Two
+    rows for one side of a pair are an error; a pair without one of its sides has
+    NULL scores there (see ``incomplete_pairs``).
     """
     how = "mean" if loss_type == "ipo" else "sum"
     scored = sequences.select(
@@ -66,13 +68,24 @@ def pair_scores(sequences: DataFrame, loss_type: str = "sigmoid") -> DataFrame:
     )
 
     def pick(column: str, side: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(column))).alias(f"{column}_{side}")
+        rows = F.count(F.when(F.col("side") == side, 1))
+        twice = F.raise_error(F.concat(F.lit(f"two {side} rows of pair "), F.first("pair_id").cast("string")))
+        value = F.max(F.when(F.col("side") == side, F.col(column)))
+        return F.when(rows > 1, twice.cast("double")).otherwise(value).alias(f"{column}_{side}")
 
     return scored.groupBy("pair_id").agg(
         *[pick(c, s) for c in ("policy", "ref") for s in ("chosen", "rejected")]
     )
 
 
+def incomplete_pairs(sequences: DataFrame) -> DataFrame:
+    """``pair_id, missing``: pairs that lack their chosen or rejected row."""
+    has = lambda side: F.max((F.col("side") == side).cast("int")) == 1
+    sides = sequences.groupBy("pair_id").agg(has("chosen").alias("c"), has("rejected").alias("r"))
+    missing = F.when(~F.col("c"), "chosen").when(~F.col("r"), "rejected")
+    return sides.select("pair_id", missing.alias("missing")).where(F.col("missing").isNotNull())
+
+
 def margin() -> Column:
     return (F.col("policy_chosen") - F.col("policy_rejected")) - (
         F.col("ref_chosen") - F.col("ref_rejected")

@@ -2,18 +2,21 @@
 
 Whole conversations stay one row per message here: a conversation may hold any
 share of the table, so it is never gathered.  Where an example row is wanted
-(encoding), only messages that can still matter after truncation are gathered.
+(encoding), the messages that can still matter after truncation are gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
 
-from ..functions import chat, tokens
-from ..functions.binding import bind
-from .heavy import salted_join, split_heavy, with_summary
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Turns above which a conversation is not handled by one task.
+from ..functions import chat
+from . import encoding
+from .heavy import with_summary
+from .numbering import running_sums
+
+# Turns above which a conversation's join is spread over tasks; the rows are the same.
 LONG_CONVERSATION = 4096
 
 
@@ -90,73 +93,49 @@ def _raw_role(role: Column) -> Column:
     return F.when(role == "user", "human").otherwise(role)
 
 
-def example_rows(turns: DataFrame, keep_messages: int, long_conversation: int = LONG_CONVERSATION) -> DataFrame:
-    """``hh`` raw rows (``row_idx, context, chosen, rejected``), two answers needed.
-
-    Encoding keeps the last ``max_prompt_length`` tokens of a prompt and every
-    chat message renders to at least one token, so with ``keep_messages`` above
-    that length the encoded row is the same as from the whole conversation.
-    Conversations of up to ``long_conversation`` turns are gathered whole;
-    longer ones are reduced to their last ``keep_messages`` messages first.
-    """
-    short, long = split_heavy(turns, ["conv_id"], long_conversation, "turn")
-    if long is None:
-        return _gather(short)
-    reduced = _reduce(long, keep_messages)
-    return _gather(short).unionByName(_gather(reduced, keep_messages))
-
-
-def _reduce(long_turns: DataFrame, keep: int) -> DataFrame:
-    """First and last answer and the ``keep`` messages before the last answer.
-
-    Ranking happens per (conversation, slice of turns) before it happens per
-    conversation, so a conversation of any size is spread over many tasks.
+def example_rows(
+    turns: DataFrame,
+    max_prompt_length: int | None = None,
+    needed: int = 2,
+    loader: Callable | None = None,
+    vocab_size: int = 50_000,
+    template: str = "chatml",
+) -> DataFrame:
+    """``hh`` raw rows (``row_idx, context, chosen, rejected``) of conversations with ``needed`` answers.
+
+    ``context`` holds the messages before the last answer.  With a
+    ``max_prompt_length`` it holds, for every conversation alike, those that the
+    last so many tokens of the prompt can reach: each message's tokens are
+    counted with the tokenizer in its own row, and a message stays while those
+    after it are fewer.  One token per message is not counted, as texts may fuse
+    where they meet.  Whole conversations of any length are ``messages``.
     """
-    spanned = salted_join(long_turns, spans(long_turns), ["conv_id"], "turn")
-    marked = spanned.where(F.col("turn") <= F.col("last_turn"))
-    spread = marked.withColumn("_slice", F.pmod(F.xxhash64("turn"), F.lit(256))).repartition(
-        "conv_id", "_slice"
+    marked = with_spans(turns, needed).where(F.col("turn") <= F.col("last_turn"))
+    if max_prompt_length is None:
+        return _gather(marked)
+    message = chat.message(chat.map_role(_raw_role(F.col("role"))), F.col("text"))
+    ids = encoding.token_ids(chat.render(F.array(message), template), loader, vocab_size)
+    before = F.col("turn") < F.col("last_turn")
+    sized = marked.select(
+        "conv_id", (-F.col("turn")).alias("back"), F.when(before, F.greatest(F.size(ids) - 1, F.lit(0))).otherwise(0).alias("n")
     )
-    newest = F.col("turn").desc()
-    part = spread.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("conv_id", "_slice").orderBy(newest))
-    ).where(F.col("_n") <= keep + 1)
-    tail = part.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("conv_id").orderBy(newest))
-    ).where(F.col("_n") <= keep + 1)
-    opening = marked.where(F.col("turn") == F.col("first_turn"))
-    kept = ["conv_id", "turn", "role", "text"]
-    # The first answer may also be among the last messages: keep it once.
-    return tail.select(*kept).unionByName(
-        opening.join(tail.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").select(*kept)
+    upto = running_sums(sized, "back", {"upto": F.col("n")}, ["conv_id"])
+    reached = upto.where(F.col("upto") - F.col("n") < max_prompt_length).select("conv_id", (-F.col("back")).alias("turn"))
+    kept = marked.join(reached, ["conv_id", "turn"], "left_semi")
+    # The first answer is the rejected one; it may lie before all that is reached.
+    opening = marked.where(F.col("turn") == F.col("first_turn")).join(reached, ["conv_id", "turn"], "left_anti")
+    return _gather(kept.withColumn("shown", F.lit(True)).unionByName(opening.withColumn("shown", F.lit(False))))
+
+
+def _gather(turns: DataFrame) -> DataFrame:
+    shown = F.col("shown") if "shown" in turns.columns else F.lit(True)
+    turn, last = F.col("turn"), F.col("last_turn")
+    context = F.sort_array(
+        F.collect_list(F.when(shown & (turn < last), F.struct("turn", _raw_role(F.col("role")).alias("role"), "text")))
     )
-
-
-def _gather(turns: DataFrame, keep: int | None = None) -> DataFrame:
-    said = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    # Counted apart from the lists, so that counting examples reads no text.
-    n_answers = F.count(F.when(F.col("role") == "assistant", 1))
-    rows = (
-        turns.groupBy("conv_id")
-        .agg(said.alias("said"), n_answers.alias("n_answers"))
-        .where(F.col("n_answers") >= 2)
-        .withColumn("answers", F.filter("said", lambda m: m["role"] == "assistant"))
-    )
-    last = F.element_at("answers", -1)
-    context = bind(
-        last["turn"], lambda end: F.filter(F.col("said"), lambda m: m["turn"] < end)
-    )
-    if keep is not None:
-        context = tokens.keep_last(context, keep)
-    return rows.select(
-        F.col("conv_id").alias("row_idx"),
-        F.transform(
-            context,
-            lambda m: F.struct(
-                _raw_role(m["role"]).alias("role"),
-                m["text"].alias("text"),
-            ),
-        ).alias("context"),
-        F.struct(last["text"].alias("text")).alias("chosen"),
-        F.struct(F.element_at("answers", 1)["text"].alias("text")).alias("rejected"),
+    pick = lambda at: F.struct(F.max(F.when(turn == F.col(at), F.col("text"))).alias("text"))
+    return turns.groupBy(F.col("conv_id").alias("row_idx")).agg(
+        F.transform(context, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("context"),
+        pick("last_turn").alias("chosen"),
+        pick("first_turn").alias("rejected"),
     )

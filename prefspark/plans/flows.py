@@ -54,22 +54,31 @@ def prompt_batches(
     return encoding.pad_batches(prompts, ["prompt"], pad_id, side="left")
 
 
-def generate_records(raw: DataFrame, task: str, loader, **sampling) -> DataFrame:
+def generate_records(
+    raw: DataFrame, task: str, loader, context_length: int | None = None, stop: str | None = None, tokenizer=None, **sampling
+) -> DataFrame:
     """Prompt-only rows through the user's generator to hand-over records.
 
+    With a ``context_length`` the generator reads the last so many ids of each
+    prompt instead of its text; a text ends before the first ``stop`` mark in it.
     The generator runs once: its texts are stored before they are joined back.
     """
     source = grouping.group_references(raw) if task == "tldr" else raw
     prompts = adapters.adapt(source, f"{task}_prompt_only")
-    outputs = materialize(plugins.generate(prompts, loader, **sampling), "outputs")
-    return grouping.generation_records(prompts, outputs)
+    column = "prompt"
+    asked = prompts
+    if context_length is not None:
+        asked, column = encoding.encode_prompts(prompts, context_length, tokenizer), "prompt_ids"
+    outputs = plugins.generate(asked, loader, column=column, **sampling)
+    if stop is not None:
+        outputs = outputs.withColumn("output", F.substring_index("output", stop, 1))
+    return grouping.generation_records(prompts, materialize(outputs, "outputs"))
 
 
 def output_rows(records: DataFrame) -> DataFrame:
     """One row per generated text of the hand-over records."""
-    return records.select(
-        "sample_id", "part", F.posexplode("outputs").alias("output_idx", "output")
-    )
+    each = records.select("sample_id", "outputs_from", F.posexplode("outputs").alias("at", "output"))
+    return each.select("sample_id", (F.col("outputs_from") + F.col("at")).alias("output_idx"), "output")
 
 
 def diversity_report(records: DataFrame, loader) -> DataFrame:
@@ -89,8 +98,10 @@ def win_rate_report(
 ) -> DataFrame:
     """Win rate over the first ``samples`` valid comparisons.
 
-    ``completions`` maps the request table to a completion table.
+    ``completions`` maps the request table to a completion table.  Requests and
+    completions are stored, so a judge is asked once, whatever is retried.
     """
-    requests = judging.judge_requests(records, task, mode, n, seed)
-    valid = judging.verdicts(requests, completions(requests), task, n)
+    requests = materialize(judging.judge_requests(records, task, mode, n, seed), "requests")
+    answered = materialize(completions(requests), "completions")
+    valid = judging.verdicts(requests, answered, task, n)
     return judging.win_summary(judging.sample_comparisons(valid, samples, seed))

@@ -95,6 +95,20 @@ ORACLES["hh_prompt_only"] = f"""WITH {_ASSISTANT}
 SELECT conv_id AS row_idx, CASE WHEN turn = l THEN 'reference' ELSE 'history' END AS side,
        turn AS pos, role, text AS content
 FROM m WHERE turn <= l"""
+for _name in ("hh_paired", "hh_unpaired"):
+    ORACLES[f"{_name}_examples"] = f"""
+SELECT row_idx, side, row_number() OVER (PARTITION BY row_idx, side ORDER BY pos) - 1 AS pos, role, content
+FROM ({ORACLES[_name]})"""
+ORACLES["hh_prompt_only_examples"] = f"""WITH {_ASSISTANT},
+r AS (
+  SELECT *, CASE WHEN role = 'assistant' AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1
+                 THEN text || '<|im_end|>'
+                 ELSE '<|im_start|>' || role || chr(10) || text || '<|im_end|>' END AS rendered FROM m)
+SELECT conv_id AS sample_id,
+       coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (turn < l), '') || '<|im_start|>assistant' || chr(10) AS prompt,
+       coalesce(string_agg(role || ': ' || text, ' | ' ORDER BY turn) FILTER (turn < l), '') AS history,
+       max(text) FILTER (turn = l) AS "references"
+FROM r GROUP BY conv_id"""
 ORACLES["hh_chatml_messages"] = f"""WITH {_ASSISTANT}
 SELECT conv_id AS row_idx, turn AS pos,
        CASE WHEN role = 'assistant' AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1
@@ -120,6 +134,12 @@ def _tldr_side(side: str) -> str:
 
 ORACLES["tldr_paired"] = f"WITH {_TLDR} {_tldr_side('chosen')} UNION ALL {_tldr_side('rejected')}"
 ORACLES["tldr_unpaired"] = f"WITH {_TLDR} {_tldr_side('chosen')}"
+ORACLES["registered_adapter"] = f"""WITH {_TLDR}
+SELECT row_idx, CASE side WHEN 'chosen' THEN 'rejected' ELSE 'chosen' END AS side, pos, role, content
+FROM ({_tldr_side('chosen')} UNION ALL {_tldr_side('rejected')})"""
+ORACLES["picked_template"] = f"""WITH {_TLDR}
+SELECT row_idx, '<s>[INST]' || prompt || '[/INST]' || chosen || '</s>' AS trained,
+       '<|im_start|>user' || chr(10) || prompt || '<|im_end|><|im_start|>assistant' || chr(10) AS generating FROM t"""
 ORACLES["tldr_grouped_prompts"] = f"""WITH {_TLDR}
 SELECT min(row_idx) AS sample_id, 0::BIGINT AS part,
        '<|im_start|>user' || chr(10) || prompt || '<|im_end|><|im_start|>assistant' || chr(10) AS prompt,
@@ -198,16 +218,25 @@ def _side_columns(name: str, ids: str) -> str:
 
 ORACLES["labels"] = f"""WITH {_examples(2)}
 SELECT row_idx, {_side_columns('chosen', 'c')}, {_side_columns('rejected', 'r')} FROM e"""
+
+
+def _padded_columns(name: str, ids: str) -> str:
+    rest = f"padded_length - len(p) - len({ids})"
+    return (
+        f"{_spaced(f'p || {ids} || ' + _fill('1', rest))} AS {name}_input_ids, "
+        f"{_spaced(_fill('1', f'len(p) + len({ids})') + ' || ' + _fill('0', rest))} AS {name}_attention_mask, "
+        f"{_spaced(_fill('-100', 'len(p)') + f' || {ids} || ' + _fill('-100', rest))} AS {name}_labels"
+    )
+
+
 ORACLES["batch_pad_right"] = f"""WITH {_examples(2)},
 b AS (SELECT *, (row_number() OVER (ORDER BY row_idx) - 1) // 16 AS batch_id FROM e),
 w AS (SELECT *, max(len(p) + greatest(len(c), len(r))) OVER (PARTITION BY batch_id) AS padded_length FROM b)
 SELECT row_idx, batch_id, padded_length,
-       {_spaced('p || c || ' + _fill('1', 'padded_length - len(p) - len(c)'))} AS chosen_input_ids,
-       {_spaced(_fill('-100', 'len(p)') + ' || c || ' + _fill('-100', 'padded_length - len(p) - len(c)'))} AS chosen_labels,
-       {_spaced('p || r || ' + _fill('1', 'padded_length - len(p) - len(r)'))} AS rejected_input_ids,
-       {_spaced(_fill('1', 'len(p) + len(r)') + ' || ' + _fill('0', 'padded_length - len(p) - len(r)'))} AS rejected_attention_mask
+       {_padded_columns('chosen', 'c')},
+       {_padded_columns('rejected', 'r')}
 FROM w"""
-ORACLES["batch_pad_left"] = f"""WITH {_examples(2)},
+ORACLES["batch_pad_left"] = f"""WITH {_examples(1)},
 b AS (SELECT *, (row_number() OVER (ORDER BY row_idx) - 1) // 16 AS batch_id FROM e),
 w AS (SELECT *, max(len(p)) OVER (PARTITION BY batch_id) AS longest FROM b)
 SELECT row_idx, batch_id, reference_response,
@@ -220,6 +249,12 @@ p AS (
          {_ids("'<|im_start|>user' || chr(10) || prompt || '<|im_end|><|im_start|>assistant' || chr(10)")} AS ids
   FROM t GROUP BY prompt)
 SELECT sample_id, {_spaced('ids[greatest(len(ids) - 255, 1):]')} AS prompt_ids FROM p"""
+ORACLES["generate_in_context"] = f"""WITH {_TLDR},
+p AS (
+  SELECT min(row_idx) AS sample_id,
+         least(256, len({_ids("'<|im_start|>user' || chr(10) || prompt || '<|im_end|><|im_start|>assistant' || chr(10)")})) AS n
+  FROM t GROUP BY prompt)
+SELECT sample_id, n || ' ids, sample 0 | ' || n || ' ids, sample 1' AS outputs FROM p"""
 ORACLES["tokenizer_plugin"] = f"""
 SELECT doc_id, {_spaced("list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w))")} AS ids
 FROM documents"""
@@ -238,9 +273,9 @@ ORACLES["shuffled_batches"] = """
 SELECT event_id, (row_number() OVER (ORDER BY md5('3|' || event_id), event_id) - 1) // 16 AS batch_id
 FROM events"""
 ORACLES["running_eval_stats"] = """
-WITH c AS (SELECT event_id, round(value * 100) AS cents FROM events)
-SELECT event_id, count(*) OVER w AS seen, sum(cents) OVER w / count(*) OVER w AS running_mean,
-       round(stddev_samp(cents) OVER w / sqrt(count(*) OVER w), 6) AS running_std_err
+WITH c AS (SELECT event_id, value / 3 AS value FROM events)
+SELECT event_id, count(value) OVER w AS seen, round(avg(value) OVER w, 6) AS running_mean,
+       round(stddev_samp(value) OVER w / sqrt(count(value) OVER w), 6) AS running_std_err
 FROM c WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
 
 # --- generation records ----------------------------------------------------
@@ -301,7 +336,7 @@ FROM lp WHERE counted GROUP BY pair_id, side"""
 ORACLES["policy_reference_join"] = f"""WITH {_TOKENS}
 SELECT pair_id, side, round(sum(pi), 6) AS policy, round(sum(rho), 6) AS ref
 FROM lp WHERE counted GROUP BY pair_id, side"""
-ORACLES["sft_nll"] = f"""WITH {_TOKENS},
+ORACLES["sft_nll"] = f"""WITH {_TOKENS.replace("n >= 2", "n >= 1")},
 b AS (
   SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch_id
   FROM z WHERE side = 'chosen' AND n > 0)
@@ -327,6 +362,8 @@ SELECT pair_id, round(margin_logit, 6) AS margin_logit,
        round(-{_log_sigmoid('0.1::DOUBLE * margin_logit')} * 0.9::DOUBLE
              - {_log_sigmoid('-0.1::DOUBLE * margin_logit')} * 0.1::DOUBLE, 6) AS loss
 FROM zz"""
+ORACLES["registered_loss"] = f"""WITH {_pairs('sum')}
+SELECT pair_id, 'dpo' AS score_name, round(greatest(0.0::DOUBLE, 1 - 0.1::DOUBLE * margin_logit), 6) AS loss FROM zz"""
 ORACLES["dpo_ipo"] = f"""WITH {_pairs('avg')}
 SELECT pair_id, round(margin_logit, 6) AS margin_logit,
        round(pow(margin_logit - 5, 2), 6) AS loss FROM zz"""
@@ -394,17 +431,17 @@ FROM fs"""
 # --- judged win rate -------------------------------------------------------
 
 
-def _asked(task: str, mode: str | None, n: int) -> str:
+def _asked(task: str, mode: str | None, n: int, records: str = _GENERATED) -> str:
     opening, before_a, before_b, closing = (_lit(w) for w in fixed.JUDGE_WORDING[(task, mode)])
     query = "'USER: ' || question || chr(10)" if task == "hh" else "question"
-    return f"""{_GENERATED},
+    return f"""{records},
 o AS (
   SELECT sample_id, question, reference, unnest(outputs) AS response,
          unnest(range(len(outputs))) AS idx
   FROM g WHERE reference IS NOT NULL),
 sl AS (
   SELECT *, row_number() OVER (
-      PARTITION BY sample_id ORDER BY md5(concat_ws('|', '0', 'out', sample_id, 0, idx))) AS slot
+      PARTITION BY sample_id ORDER BY md5(concat_ws('|', '0', 'out', sample_id, idx))) AS slot
   FROM o),
 rq AS (
   SELECT sample_id, slot, sample_id || '|' || slot AS request_id, response, reference, question,
@@ -425,8 +462,8 @@ for _name, _args in (
 SELECT sample_id, slot, request_id, is_a::BIGINT AS response_is_a, judge_prompt FROM pt"""
 
 
-def _judged(n: int) -> str:
-    return f"""{_asked('hh', None, n)},
+def _judged(n: int, records: str = _GENERATED) -> str:
+    return f"""{_asked('hh', None, n, records)},
 cm AS (
   SELECT *, CASE WHEN {_u('request_id')} < 0.45::DOUBLE THEN 'More helpful: A'
                  WHEN {_u('request_id')} < 0.9::DOUBLE THEN 'More helpful: B'
@@ -455,6 +492,25 @@ w AS (SELECT unnest(wins) AS win, unnest(range(2)) AS slot FROM top),
 sr AS (SELECT slot, avg(win::INT) AS rate FROM w GROUP BY slot)
 SELECT round(avg(rate), 6) AS mean, round(stddev_pop(rate) / sqrt(count(*)), 6) AS std_err,
        round(min(rate), 6) AS "min", round(max(rate), 6) AS "max" FROM sr"""
+ORACLES["running_win_stats"] = f"""WITH {_judged(2)},
+o2 AS (SELECT sample_id, wins, row_number() OVER (ORDER BY md5('0|' || sample_id), sample_id) AS row_no FROM ok),
+w AS (SELECT sample_id, row_no, unnest(wins) AS win, unnest(range(2)) AS slot FROM o2),
+sr AS (SELECT sample_id, row_no, sum(win::INT) OVER (PARTITION BY slot ORDER BY row_no) / row_no AS rate FROM w)
+SELECT sample_id, row_no, round(avg(rate), 6) AS mean, round(stddev_pop(rate) / sqrt(count(*)), 6) AS std_err,
+       round(min(rate), 6) AS "min", round(max(rate), 6) AS "max" FROM sr GROUP BY sample_id, row_no"""
+_FOREIGN = _GENERATED.rstrip().removesuffix(")") + """),
+dg AS (
+  SELECT * EXCLUDE (sample_id), md5(concat_ws('|',
+           '<|im_start|>user' || chr(10) || question || '<|im_end|><|im_start|>assistant' || chr(10),
+           coalesce(array_to_string(outputs, '|'), ''), coalesce(reference, ''))) AS texts FROM g),
+g2 AS (
+  SELECT *, ('0x' || substr(md5(concat_ws('|', texts, row_number() OVER (PARTITION BY texts) - 1)), 1, 15))::BIGINT AS sample_id
+  FROM dg)
+"""
+ORACLES["foreign_records_win_rate"] = f"""WITH {_judged(1, _FOREIGN).replace("FROM g WHERE", "FROM g2 WHERE")},
+w AS (SELECT unnest(wins) AS win FROM ok)
+SELECT round(avg(win::INT), 6) AS mean, 0.0::DOUBLE AS std_err, round(avg(win::INT), 6) AS "min",
+       round(avg(win::INT), 6) AS "max", 1::BIGINT AS rejected_lines FROM w"""
 ORACLES["comparison_records"] = f"""WITH {_judged(1)}
 SELECT sample_id, reference AS reference_response, array_to_string(wins::VARCHAR[], ',') AS wins FROM ok"""
 ORACLES["embed_outputs_diversity"] = """
@@ -511,23 +567,21 @@ SELECT epoch, batch, n_examples,
        row_number() OVER (ORDER BY batch) AS update_steps
 FROM ct"""
 ORACLES["throughput"] = f"""WITH {_COUNTS},
-sp AS (SELECT batch, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM lg GROUP BY batch)
+st AS (SELECT batch, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS z FROM lg GROUP BY batch),
+sp AS (SELECT batch, CASE WHEN a < z THEN z - a ELSE z - lag(z) OVER (ORDER BY batch) END AS us FROM st)
 SELECT batch, n_examples,
-       round(CASE WHEN us <> 0 THEN n_examples / (us / 1e6::DOUBLE) END, 6) AS examples_per_sec
+       round(CASE WHEN us > 0 THEN n_examples / (us / 1e6::DOUBLE) END, 6) AS examples_per_sec
 FROM ct JOIN sp USING (batch)"""
 ORACLES["metrics_json"] = """
-SELECT 'r0' AS run, event_id // 5000 AS epoch,
+SELECT 'r0' AS run, event_id // 5000 AS epoch, event_id // 20 AS batch,
        round(avg(value) FILTER (event_type = 'click'), 6) AS click,
        round(avg(value) FILTER (event_type = 'error'), 6) AS error,
        round(avg(value) FILTER (event_type = 'purchase'), 6) AS purchase,
        round(avg(value) FILTER (event_type = 'signup'), 6) AS signup,
        round(avg(value) FILTER (event_type = 'view'), 6) AS view
-FROM events GROUP BY 2"""
-# Windows that end at or before the final watermark have been written.
+FROM events GROUP BY 2, 3"""
 ORACLES["stream_train_metrics"] = """
 WITH c AS (SELECT ts, event_type, round(value * 100) AS cents FROM events)
-SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type AS metric,
+SELECT 'r0' AS run, 'train' AS split, time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type AS metric,
        sum(cents) / count(*) AS cents, count(*) AS n
-FROM c GROUP BY 1, 2
-HAVING time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours'
-       <= (SELECT max(ts) - INTERVAL '10 minutes' FROM c)"""
+FROM c GROUP BY ALL"""

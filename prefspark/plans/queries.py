@@ -25,7 +25,7 @@ from ..operators import (
     preference as pref,
     turns,
 )
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import corpora, records, tables
 from ..streaming import metrics as streams
 from . import flows
@@ -55,7 +55,7 @@ def joined(column: str) -> Column:
 
 def _diversity(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.table(spark, sf, "embeddings")
-    return div.diversity(rows, "label", "embedding", div.vector_width(rows, "embedding"))
+    return div.diversity(rows, "label", "embedding")
 
 
 @query
@@ -101,6 +101,62 @@ QUERIES["hh_unpaired"] = _turn_messages("unpaired", ("row_idx", "side", "pos", "
 QUERIES["hh_prompt_only"] = _turn_messages("prompt", ("row_idx", "side", "pos", "role", "content"))
 
 
+def _example_messages(raw: DataFrame, adapter: str) -> DataFrame:
+    """The messages of adapted examples, a row each."""
+    examples = adapters.adapt(raw, adapter)
+    sides = [c for c in ("chosen", "rejected") if c in examples.columns]
+    tagged = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("messages")) for s in sides])
+    return (
+        examples.select("row_idx", F.explode(tagged).alias("e"))
+        .select("row_idx", "e.side", F.posexplode("e.messages").alias("pos", "m"))
+        .select("row_idx", "side", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content")
+    )
+
+
+@query
+def hh_paired_examples(spark, sf):
+    return _example_messages(tables.hh_raw(spark, sf), "hh_paired")
+
+
+@query
+def hh_unpaired_examples(spark, sf):
+    return _example_messages(tables.hh_raw(spark, sf, needed=1), "hh_unpaired")
+
+
+@query
+def hh_prompt_only_examples(spark, sf):
+    """Prompt with its cue, the messages it was made of, and its one reference."""
+    prompts = adapters.adapt(tables.hh_raw(spark, sf, needed=1), "hh_prompt_only")
+    said = F.transform("history", lambda m: F.concat_ws(": ", m["role"], m["content"]))
+    return prompts.select(
+        "sample_id", "prompt", F.array_join(said, " | ").alias("history"), F.array_join("references", " | ").alias("references")
+    )
+
+
+@query
+def registered_adapter(spark, sf):
+    """A user's adapter by name: both answers swapped."""
+
+    def swapped(df: DataFrame) -> DataFrame:
+        other = df.select("row_idx", "prompt", F.col("rejected").alias("chosen"), F.col("chosen").alias("rejected"))
+        return adapters.to_paired(other, "tldr")
+
+    adapters.register_adapter("tldr_swapped", swapped)
+    return _example_messages(tables.tldr_raw(spark, sf), "tldr_swapped")
+
+
+@query
+def picked_template(spark, sf):
+    """The template picked for a tokenizer with instruction marks, against one for generation."""
+    examples = adapters.adapt(tables.tldr_raw(spark, sf), "tldr_unpaired")
+    own = "{{ '[INST]' + message + '[/INST]' }}"
+    texts = {
+        "trained": chat.render(F.col("chosen"), chat.pick_template(own)),
+        "generating": chat.render(F.slice("chosen", 1, 1), chat.pick_template(own, generating=True), add_generation_prompt=True),
+    }
+    return examples.select("row_idx", *[c.alias(n) for n, c in texts.items()])
+
+
 @query
 def hh_chatml_messages(spark, sf):
     talk = turns.messages(tables.table(spark, sf, "conversations"), "unpaired")
@@ -110,16 +166,7 @@ def hh_chatml_messages(spark, sf):
 
 def _tldr(adapter: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        examples = adapters.adapt(tables.tldr_raw(spark, sf), adapter)
-        sides = [c for c in ("chosen", "rejected") if c in examples.columns]
-        tagged = F.array(
-            *[F.struct(F.lit(s).alias("side"), F.col(s).alias("messages")) for s in sides]
-        )
-        return (
-            examples.select("row_idx", F.explode(tagged).alias("e"))
-            .select("row_idx", "e.side", F.posexplode("e.messages").alias("pos", "m"))
-            .select("row_idx", "side", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content")
-        )
+        return _example_messages(tables.tldr_raw(spark, sf), adapter)
 
     return run
 
@@ -161,7 +208,7 @@ QUERIES["llama_render"] = _rendered("llama", True)
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
-    raw = tables.hh_raw(spark, sf, keep_messages=PROMPT_LENGTH + 1)
+    raw = tables.hh_raw(spark, sf, PROMPT_LENGTH)
     pairs = adapters.adapt(raw, "hh_paired")
     return encoding.encode(pairs, ["chosen", "rejected"], PROMPT_LENGTH, LENGTH)
 
@@ -188,7 +235,7 @@ def labels(spark, sf):
 
 @query
 def batch_pad_right(spark, sf):
-    raw = tables.hh_raw(spark, sf, keep_messages=PROMPT_LENGTH + 1)
+    raw = tables.hh_raw(spark, sf, PROMPT_LENGTH)
     batches = flows.training_batches(
         raw, "hh", max_prompt_length=PROMPT_LENGTH, max_length=LENGTH, pad_id=1
     )
@@ -196,16 +243,13 @@ def batch_pad_right(spark, sf):
         "row_idx",
         "batch_id",
         F.col("padded_length").cast("bigint").alias("padded_length"),
-        joined("chosen_input_ids"),
-        joined("chosen_labels"),
-        joined("rejected_input_ids"),
-        joined("rejected_attention_mask"),
+        *[joined(f"{s}_{f}") for s in ("chosen", "rejected") for f in ("input_ids", "attention_mask", "labels")],
     )
 
 
 @query
 def batch_pad_left(spark, sf):
-    raw = tables.hh_raw(spark, sf, keep_messages=PROMPT_LENGTH + 1)
+    raw = tables.hh_raw(spark, sf, PROMPT_LENGTH, needed=1)
     batches = flows.prompt_batches(
         raw,
         "hh",
@@ -272,15 +316,13 @@ def shuffled_batches(spark, sf):
 
 @query
 def running_eval_stats(spark, sf):
-    """Over whole cents, whose sums are exact in any order."""
-    events = tables.table(spark, sf, "events").select(
-        "event_id", F.round(F.col("value") * 100).alias("cents")
-    )
-    stats = numbering.running_stats(events, "cents", "event_id")
+    events = tables.table(spark, sf, "events").select("event_id", (F.col("value") / 3).alias("value"))
+    stats = numbering.running_stats(events, "value", "event_id")
     return rounded(
         stats.select(
             "event_id", F.col("seen").cast("bigint").alias("seen"), "running_mean", "running_std_err"
         ),
+        "running_mean",
         "running_std_err",
     )
 
@@ -358,7 +400,7 @@ def sequence_logp(spark, sf):
 
 @query
 def sft_nll(spark, sf):
-    chosen = tables.token_scores(spark, sf).where("side = 'chosen'")
+    chosen = tables.token_scores(spark, sf, needed=1).where("side = 'chosen'")
     batched = numbering.assign_batches(chosen.select("pair_id", "policy_logp", "mask"), 16, "pair_id")
     losses = pref.sft_nll(batched).withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
     return rounded(losses, "loss")
@@ -385,17 +427,30 @@ QUERIES["dpo_ipo"] = _loss("ipo", 0.1)
 QUERIES["dpo_normcdf"] = _loss("normcdf", 0.1)
 
 
+@query
+def registered_loss(spark, sf):
+    """A user's loss by name, beside the name its scores are logged under."""
+    pref.register_loss("hinge", lambda z, beta, smoothing: F.greatest(F.lit(0.0), 1 - beta * z))
+    scores = _scores("hinge")(spark, sf)
+    named = scores.select("pair_id", F.lit(pref.score_name("hinge")).alias("score_name"), "loss")
+    return rounded(named, "loss")
+
+
+def _batch_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch of each pair, numbered on the narrow table of keys."""
+    keys = tables.answer_pairs(spark, sf).where(F.col("text").rlike(r"[^ \t\n\r\f]")).select("pair_id").distinct()
+    return numbering.assign_batches(materialize(keys, "pair-keys"), 16, "pair_id")
+
+
 @query
 def reward_metrics(spark, sf):
-    scores = numbering.assign_batches(_scores("sigmoid")(spark, sf), 16, "pair_id")
+    scores = _scores("sigmoid")(spark, sf).join(_batch_numbers(spark, sf), "pair_id")
     return rounded(pref.batch_means(scores), *pref.METRICS)
 
 
 @query
 def reward_metrics_by_batch(spark, sf):
-    pairs = numbering.assign_batches(
-        pref.pair_scores(tables.token_scores(spark, sf)), 16, "pair_id"
-    )
+    pairs = pref.pair_scores(tables.token_scores(spark, sf)).join(_batch_numbers(spark, sf), "pair_id")
     scores = pref.preference_scores(pairs, granularity="batch")
     return rounded(scores.select("batch_id", *pref.METRICS), *pref.METRICS)
 
@@ -491,6 +546,27 @@ def win_rate(spark, sf):
     return rounded(report, "mean", "std_err", "min", "max")
 
 
+@query
+def running_win_stats(spark, sf):
+    stats = judging.running_win_stats(_valid(spark, sf, 2))
+    return rounded(stats, "mean", "std_err", "min", "max")
+
+
+@query
+def foreign_records_win_rate(spark, sf):
+    """Records without ids, their references a list or one text, and a line that is none: read and judged."""
+    path = scratch_path(spark, "foreign")
+    made = tables.generated(spark, sf)
+    one = F.to_json(F.struct("history", "prompt", "outputs", F.get("references", F.lit(0)).alias("references")))
+    many = F.to_json(F.struct("history", "prompt", "outputs", "references"))
+    lines = made.select(F.when(F.pmod("sample_id", F.lit(2)) == 0, one).otherwise(many).alias("value"))
+    lines.unionByName(spark.createDataFrame([("not a record",)], "value string")).write.text(path)
+    rows = records.read_generations(spark, path)
+    report = flows.win_rate_report(rows, lambda asked: tables.completions(asked, "hh"), n=1, samples=10**6)
+    rejected = records.rejected_lines(spark, path).count()
+    return rounded(report, "mean", "std_err", "min", "max").withColumn("rejected_lines", F.lit(rejected).cast("bigint"))
+
+
 @query
 def comparison_records(spark, sf):
     path = scratch_path(spark, "comparisons")
@@ -545,6 +621,19 @@ def generate_plugin(spark, sf):
     )
 
 
+@query
+def generate_in_context(spark, sf):
+    """A generator that reads the last 256 prompt ids; its texts end at the stop mark."""
+
+    def loader():
+        return lambda ids, n, **sampling: [[f"{len(x)} ids, sample {i}<|im_end|>more" for i in range(n)] for x in ids]
+
+    made = flows.generate_records(
+        tables.tldr_raw(spark, sf), "tldr", loader, context_length=256, stop="<|im_end|>", n_samples=2
+    )
+    return made.select("sample_id", F.array_join("outputs", " | ").alias("outputs"))
+
+
 @query
 def clean_response(spark, sf):
     docs = tables.table(spark, sf, "documents")
@@ -596,7 +685,7 @@ EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 def metrics_json(spark, sf):
     path = scratch_path(spark, "metrics")
     records.write_metrics(tables.train_log(spark, sf), path, EVENT_METRICS)
-    rows = records.read_metrics(spark, path, EVENT_METRICS)
+    rows = records.read_metrics(spark, path, EVENT_METRICS)  # a row per step
     return rounded(rows.withColumn("epoch", F.col("epoch").cast("bigint")), *EVENT_METRICS)
 
 
@@ -608,15 +697,21 @@ def stream_eval_stats(spark, sf):
     path = scratch_path(spark, "embedded")
     records.write_json(_embedded_records(spark, sf), path)
     stream = streams.read_stream(spark, path, schemas.EMBEDDED, files_per_trigger=4)
-    stats = streams.latest_state(spark, streams.stream_eval_stats(stream), "eval-stats")
+    stats = streams.latest(spark, streams.stream_eval_stats(stream), ["run"], "eval-stats")
     return rounded(stats, "mean", "std_err")
 
 
 @query
 def stream_train_metrics(spark, sf):
     """Window means of whole cents, whose sums are exact in any order."""
-    stream = streams.read_stream(
-        spark, sf, schemas.TABLES["events"], "parquet", pathGlobFilter="events.parquet"
-    ).select("ts", F.col("event_type").alias("metric"), F.round(F.col("value") * 100).alias("value"))
+    # A pattern, so that the table may be a file or a folder of files.
+    stream = streams.read_stream(spark, f"{sf}/[e]vents.parquet", schemas.TABLES["events"], "parquet").select(
+        F.lit("r0").alias("run"),
+        F.lit("train").alias("split"),
+        "ts",
+        F.col("event_type").alias("metric"),
+        F.round(F.col("value") * 100).alias("value"),
+    )
     means = streams.stream_train_metrics(stream, "6 hours", "10 minutes")
-    return streams.appended(spark, means, "train-metrics").withColumnRenamed("value", "cents")
+    keys = ["run", "split", "window_start", "metric"]
+    return streams.latest(spark, means, keys, "train-metrics").withColumnRenamed("value", "cents")

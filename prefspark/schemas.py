@@ -9,11 +9,15 @@ HH_RAW = (
 TLDR_RAW = "row_idx bigint, split string, prompt string, chosen string, rejected string"
 
 # One line per prompt.  A prompt whose lists are longer than a line may hold
-# continues with part 1, 2, ...; the parts' lists in order are the whole lists.
+# continues with part 1, 2, ...; the parts' lists in order are the whole lists,
+# and ``outputs_from`` and ``references_from`` say where in them a part's lists begin.
 GENERATED = (
     f"sample_id bigint, part int, history {MESSAGES}, prompt string, "
+    "outputs_from bigint, references_from bigint, "
     "outputs array<string>, references array<string>"
 )
+# The same line as it may come from elsewhere: ids may lack, references may be one text.
+GENERATED_LINE = GENERATED.replace("references array<string>", "references string") + ", bad string"
 COMPARISON = (
     f"generated struct<sample_id:bigint,history:{MESSAGES}>, "
     "reference struct<reference_response:string,wins:array<boolean>>"

@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hh_raw(spark: SparkSession, sf_dir: str, keep_messages: int = 385) -> DataFrame:
-    """Raw ``hh`` rows, whole enough for encoding with prompts below ``keep_messages`` tokens."""
-    return turn_ops.example_rows(table(spark, sf_dir, "conversations"), keep_messages)
+def hh_raw(spark: SparkSession, sf_dir: str, max_prompt_length: int | None = None, needed: int = 2) -> DataFrame:
+    """Raw ``hh`` rows, with the context that prompts of ``max_prompt_length`` tokens reach (None: all)."""
+    return turn_ops.example_rows(table(spark, sf_dir, "conversations"), max_prompt_length, needed)
 
 
 def tldr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +89,10 @@ def completions(requests: DataFrame, task: str) -> DataFrame:
     )
 
 
-def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answer_pairs(spark: SparkSession, sf_dir: str, needed: int = 2) -> DataFrame:
     """``pair_id, side, text``: last (chosen) and first (rejected) answers."""
     talk = table(spark, sf_dir, "conversations")
-    marked = turn_ops.with_spans(talk, 2)
+    marked = turn_ops.with_spans(talk, needed)
     sides = F.array(
         F.when(F.col("turn") == F.col("last_turn"), "chosen"),
         F.when(F.col("turn") == F.col("first_turn"), "rejected"),
@@ -104,10 +104,10 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_scores(spark: SparkSession, sf_dir: str, needed: int = 2) -> DataFrame:
     """Token log-probabilities per sequence; the first third is the prompt."""
     # A text with any non-blank character has a token; counting pairs reads no tokens.
-    spoken = answer_pairs(spark, sf_dir).where(F.col("text").rlike(r"[^ \t\n\r\f]"))
+    spoken = answer_pairs(spark, sf_dir, needed).where(F.col("text").rlike(r"[^ \t\n\r\f]"))
     pairs = spoken.select(
         "pair_id",
         "side",

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.diversity import row_diversity
-from ..session import scratch_path
+from ..session import discard, scratch_path
 
 
 def read_stream(
@@ -35,61 +34,61 @@ def stream_eval_stats(stream: DataFrame) -> DataFrame:
 def stream_train_metrics(
     stream: DataFrame, window: str = "1 hour", watermark: str = "10 minutes"
 ) -> DataFrame:
-    """Metric means per tumbling window; rows later than the watermark drop out."""
+    """Metric means per run, split and tumbling window; rows later than the watermark drop out."""
     return (
         stream.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", watermark)
-        .groupBy(F.window("ts", window).alias("w"), "metric")
+        .groupBy("run", "split", F.window("ts", window).alias("w"), "metric")
         .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "metric", "value", "n")
+        .select("run", "split", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "metric", "value", "n")
     )
 
 
-def _run(writer: DataStreamWriter) -> None:
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
-def _places(spark: SparkSession, name: str, path: str | None, checkpoint: str | None) -> tuple[str, str]:
-    return path or scratch_path(spark, name), checkpoint or scratch_path(spark, f"{name}-checkpoint")
-
-
-def latest_state(
+def latest(
     spark: SparkSession,
     result: DataFrame,
+    keys: list[str],
     name: str,
     path: str | None = None,
     checkpoint: str | None = None,
 ) -> DataFrame:
-    """Run a complete-mode aggregate over all available input; its last state.
-
-    Every micro-batch overwrites its own folder, so a repeated batch after a
-    failure changes nothing.  A later run with the same ``path`` and
-    ``checkpoint`` goes on where the last one stopped.
+    """Run a streaming aggregate over all available input; the last row of every key.
+
+    The query runs in update mode, so a window is there as soon as it has a row,
+    the last one too.  A micro-batch writes the rows it changed into a folder of
+    its own, overwriting what a failed attempt left.  Before a run, the folders
+    of earlier runs are merged into one, so there are never more than the
+    micro-batches of a run.  A later run with the same ``path`` and
+    ``checkpoint`` goes on where the last one stopped; without input the result
+    is empty.
     """
-    out, place = _places(spark, name, path, checkpoint)
-
-    def save(state: DataFrame, batch: int) -> None:
-        state.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    _run(result.writeStream.outputMode("complete").option("checkpointLocation", place).foreachBatch(save))
-    states = spark.read.parquet(out)
-    return states.where(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
-
-
-def appended(
-    spark: SparkSession,
-    result: DataFrame,
-    name: str,
-    path: str | None = None,
-    checkpoint: str | None = None,
-) -> DataFrame:
-    """Run an append-mode query over all available input into a Parquet table."""
-    out, place = _places(spark, name, path, checkpoint)
-    _run(
-        result.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", place)
-    )
-    return spark.read.schema(result.schema).parquet(out)
+    out = path or scratch_path(spark, name)
+    place = checkpoint or scratch_path(spark, f"{name}-checkpoint")
+    schema = f"{_ddl(result)}, batch bigint"
+    spark.createDataFrame([], schema).drop("batch").write.mode("overwrite").parquet(f"{out}/batch=-1")
+    stored = spark.read.schema(schema).parquet(out)
+    values = [c for c in result.columns if c not in keys]
+
+    def last_rows() -> DataFrame:
+        newest = F.max_by(F.struct(*values), "batch").alias("v")
+        return spark.read.schema(schema).parquet(out).groupBy(*keys).agg(newest).select(*keys, "v.*").select(*result.columns)
+
+    upto = stored.agg(F.max("batch")).first()[0]
+    if upto is not None:
+        merged = scratch_path(spark, f"{name}-merged")
+        last_rows().write.parquet(merged)
+        spark.read.schema(_ddl(result)).parquet(merged).write.mode("overwrite").parquet(f"{out}/batch={upto}")
+        for row in stored.where(F.col("batch") < upto).select("batch").distinct().collect():
+            discard(spark, f"{out}/batch={row['batch']}")
+        discard(spark, merged)
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    writer = result.writeStream.outputMode("update").option("checkpointLocation", place).foreachBatch(save)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return last_rows()
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)

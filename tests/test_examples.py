@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefspark import schemas
-from prefspark.operators import adapters, encoding, grouping, heavy, turns
+from prefspark.operators import adapters, encoding, grouping, heavy, plugins, turns
 from prefspark.plans import flows
 from prefspark.sources import corpora, records
 
@@ -28,23 +28,33 @@ def talk(spark):
     return spark.createDataFrame(rows, schemas.TABLES["conversations"]).repartition(5)
 
 
-def encoded(raw, k):
+def encoded(raw, k, loader=None):
     pairs = adapters.adapt(raw, "hh_paired")
-    rows = encoding.encode(pairs, ["chosen", "rejected"], k, 2 * k).drop("history").collect()
+    rows = encoding.encode(pairs, ["chosen", "rejected"], k, 2 * k, loader=loader).drop("history").collect()
     return {r["row_idx"]: r.asDict() for r in rows}
 
 
 @pytest.mark.parametrize("k", [4, 40])
-def test_reduced_conversation_encodes_the_same(talk, k):
-    whole = encoded(turns.example_rows(talk, keep_messages=k + 1), k)
-    reduced = encoded(turns.example_rows(talk, keep_messages=k + 1, long_conversation=50), k)
+@pytest.mark.parametrize("drops", [False, True])
+def test_reduced_context_encodes_the_same(talk, k, drops):
+    def few_tokens():
+        """A tokenizer that gives many messages no token."""
+        return lambda texts: [[int(w[1:]) for w in t.split() if w[0] == "w" and w[1:].isdigit() and int(w[1:]) > 60] for t in texts]
+
+    loader = few_tokens if drops else None
+    whole = encoded(turns.example_rows(talk), k, loader)
+    reduced = encoded(turns.example_rows(talk, k, loader=loader), k, loader)
     assert whole == reduced
     assert set(whole) == {0, 1, 2, 3, 4, 5, 77}
 
 
-def test_reduced_conversation_is_bounded(talk):
-    rows = turns.example_rows(talk, keep_messages=5, long_conversation=50).collect()
-    assert max(len(r["context"]) for r in rows if r["row_idx"] == 77) == 5
+def test_reduced_context_is_bounded_and_the_same_however_joins_are_spread(talk, monkeypatch):
+    results = []
+    for limit in (5, 10**9):
+        monkeypatch.setattr(turns, "LONG_CONVERSATION", limit)
+        results.append(sorted(turns.example_rows(talk, 5).collect()))
+    assert results[0] == results[1]
+    assert max(len(r["context"]) for r in results[0] if r["row_idx"] == 77) <= 5
 
 
 @pytest.mark.parametrize("long", [50, 4096])
@@ -52,7 +62,7 @@ def test_reduced_conversation_is_bounded(talk):
 def test_messages_match_array_adapters(talk, long, broadcast_rows, monkeypatch):
     monkeypatch.setattr(turns, "LONG_CONVERSATION", long)
     monkeypatch.setattr(heavy, "BROADCAST_ROWS", broadcast_rows)
-    raw = turns.example_rows(talk, keep_messages=1000)
+    raw = turns.example_rows(talk)
     arrays = adapters.adapt(raw, "hh_paired").collect()
     expected = {}
     for r in arrays:
@@ -164,7 +174,7 @@ def test_rejected_tail_may_hold_several_messages(spark):
 
 
 def test_training_batches_pad_to_longest_of_both_sides(talk):
-    raw = turns.example_rows(talk, keep_messages=41)
+    raw = turns.example_rows(talk, 40)
     rows = flows.training_batches(raw, "hh", batch_size=3, max_prompt_length=40, max_length=80, seed=1).collect()
     by_batch = {}
     for r in rows:
@@ -199,3 +209,34 @@ def test_generate_flow(spark):
     loader = lambda: lambda prompts, n, **kw: [[f"{i}:{kw['top_p']}" for i in range(n)] for _ in prompts]
     rows = flows.generate_records(df.where("prompt is not null"), "tldr", loader, n_samples=2).collect()
     assert len(rows) == 3 and all(r["outputs"] == ["0:0.95", "1:0.95"] for r in rows)
+
+
+def test_foreign_records(spark, tmp_path):
+    lines = [
+        '{"history":[{"role":"user","content":"q"}],"prompt":"p","outputs":["a","b"],"references":["r","s"]}',
+        '{"history":[{"role":"user","content":"q"}],"prompt":"p","outputs":["a"],"references":"one text"}',
+        '{"history":[{"role":"user","content":"q"}],"prompt":"p","outputs":["a"],"references":"one text"}',
+        '{"history":[],"prompt":"p","outputs":["a"],"references":"[not a list"}',
+        "no record",
+    ]
+    (tmp_path / "g.jsonl").write_text("\n".join(lines))
+    read = lambda: sorted(map(str, records.read_generations(spark, str(tmp_path)).collect()))
+    rows = records.read_generations(spark, str(tmp_path)).collect()
+    assert len({r["sample_id"] for r in rows}) == 4 and read() == read()
+    assert sorted(r["references"] for r in rows) == [["[not a list"], ["one text"], ["one text"], ["r", "s"]]
+    assert [r["line"] for r in records.rejected_lines(spark, str(tmp_path)).collect()] == ["no record"]
+
+
+def test_generator_must_return_as_many_texts_as_asked(spark):
+    df = spark.createDataFrame([(2**62, "p")], "sample_id bigint, prompt string")
+    many = lambda: lambda prompts, n, **kw: [["x"] * 3 for _ in prompts]
+    rows = plugins.generate(df, many, n_samples=3).collect()
+    assert [(r["sample_id"], r["output_idx"]) for r in rows] == [(2**62, i) for i in range(3)]
+    with pytest.raises(Exception, match="must return 2 texts"):
+        plugins.generate(df, many, n_samples=2).collect()
+
+
+def test_embedder_skips_null_texts(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "i bigint, t string")
+    rows = {r["i"]: r["embedding"] for r in plugins.embed(df, "t", lambda: lambda texts: [[len(t), 1] for t in texts]).collect()}
+    assert rows == {1: [2.0, 1.0], 2: None}

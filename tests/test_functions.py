@@ -95,6 +95,15 @@ def test_log_sigmoid(spark, x):
     assert one(spark, logprob.log_sigmoid(F.lit(x))) == pytest.approx(expected, abs=1e-12)
 
 
+def test_neg_log_normal_cdf_from_minus_30_to_30(spark):
+    values = [z / 8 for z in range(-240, 241)]
+    df = spark.createDataFrame([(v,) for v in values], "z double").select("z", logprob.neg_log_normal_cdf(F.col("z")).alias("y"))
+    for z, y in df.collect():
+        tail = 0.5 * math.erfc(abs(z) / math.sqrt(2))
+        assert y == pytest.approx(-math.log(tail) if z <= 0 else -math.log1p(-tail), rel=1e-12)
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
 def test_neg_log_normal_cdf(spark):
     values = [-50.0, -8.0, -1.0, 0.0, 1.0, 8.0, None]
     df = spark.createDataFrame([(v,) for v in values], "z double")

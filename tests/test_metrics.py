@@ -78,10 +78,21 @@ def test_throughput(spark):
     assert {r["batch"]: r["examples_per_sec"] for r in got} == {0: 4.0, 1: None}
 
 
+def test_throughput_of_batches_with_one_time_stamp(spark):
+    rows = [("r", 0, b, 0, "train", "loss", 1.0, 8, START + timedelta(seconds=s)) for b, s in enumerate((0, 2, 6))]
+    got = metrics.throughput(spark.createDataFrame(rows, schemas.TRAIN_LOG)).collect()
+    assert {r["batch"]: r["examples_per_sec"] for r in got} == {0: None, 1: 4.0, 2: 2.0}
+
+
 def test_metrics_json(spark, log, tmp_path):
     records.write_metrics(log, str(tmp_path / "m"), ["loss", "kl"])
-    rows = records.read_metrics(spark, str(tmp_path / "m"), ["loss", "kl"]).orderBy("epoch").collect()
-    assert [r["loss"] for r in rows] == [5.0, 15.0, 22.5] and rows[0]["kl"] is None
+    rows = records.read_metrics(spark, str(tmp_path / "m"), ["loss", "kl"]).orderBy("epoch", "batch").collect()
+    steps = {}
+    for r in log.where("metric = 'loss'").collect():
+        steps.setdefault((r["epoch"], r["batch"]), []).append(r["value"])
+    assert [(r["epoch"], r["batch"]) for r in rows] == sorted(steps)
+    assert [r["loss"] for r in rows] == [sum(v) / len(v) for _, v in sorted(steps.items())]
+    assert rows[0]["kl"] is None
 
 
 def test_stream_eval_stats_equals_batch(spark, tmp_path):
@@ -90,7 +101,7 @@ def test_stream_eval_stats_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, schemas.EMBEDDED)
     df.repartition(6).write.json(path)
     stream = streams.read_stream(spark, path, schemas.EMBEDDED, files_per_trigger=1)
-    got = streams.latest_state(spark, streams.stream_eval_stats(stream), "stats").collect()
+    got = streams.latest(spark, streams.stream_eval_stats(stream), ["run"], "stats").collect()
     scored = div.row_diversity(df, "vectors")
     for r in got:
         batch = div.mean_std_err(scored.where(F.col("run") == r["run"]), "diversity").head()
@@ -106,13 +117,13 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     for lo, hi in ((0, 5), (5, 9)):
         rows(lo, hi).write.mode("append").json(path)
         stream = streams.read_stream(spark, path, schemas.EMBEDDED)
-        state = streams.latest_state(spark, streams.stream_eval_stats(stream), "s", out, place)
+        state = streams.latest(spark, streams.stream_eval_stats(stream), ["run"], "s", out, place)
         assert state.head()["n"] == hi
 
 
 def test_stream_drops_late_rows(spark, tmp_path):
     path = tmp_path / "log"
-    schema = "ts timestamp, metric string, value double"
+    schema = "run string, split string, ts timestamp, metric string, value double"
     at = lambda minutes: START + timedelta(minutes=minutes)
     files = [
         [(at(1), "loss", 1.0), (at(2), "loss", 3.0)],
@@ -122,12 +133,26 @@ def test_stream_drops_late_rows(spark, tmp_path):
         [(at(400), "loss", 9.0)],
     ]
     for i, rows in enumerate(files):
-        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(path / f"f={i}"))
+        spark.createDataFrame([("r", "train", *row) for row in rows], schema).coalesce(1).write.json(str(path / f"f={i}"))
     ordered = sorted(path.glob("f=*/part-*"), key=str)
     for i, file in enumerate(ordered):
         stamp = START.timestamp() + i * 60
         os.utime(file, (stamp, stamp))
     stream = streams.read_stream(spark, str(path / "f=*"), schema, files_per_trigger=1)
-    out = streams.appended(spark, streams.stream_train_metrics(stream, "1 hour", "10 minutes"), "late")
+    means = streams.stream_train_metrics(stream, "1 hour", "10 minutes")
+    out = streams.latest(spark, means, ["run", "split", "window_start", "metric"], "late")
     got = {r["window_start"]: (r["value"], r["n"]) for r in out.collect()}
-    assert got == {START: (2.0, 2), START + timedelta(hours=3): (7.0, 3)}
+    assert got == {START: (2.0, 2), START + timedelta(hours=3): (7.0, 3), START + timedelta(hours=6): (9.0, 1)}
+
+
+def test_stream_without_input_is_empty_and_from_a_folder_whole(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stats = streams.stream_eval_stats(streams.read_stream(spark, str(tmp_path / "none"), schemas.EMBEDDED))
+    assert streams.latest(spark, stats, ["run"], "none").count() == 0
+    schema = "run string, split string, ts timestamp, metric string, value double"
+    rows = [(f"r{i % 2}", "train", START + timedelta(hours=i), "loss", float(i)) for i in range(12)]
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(str(tmp_path / "log.parquet"))
+    stream = streams.read_stream(spark, str(tmp_path / "log.parquet"), schema, "parquet")
+    means = streams.stream_train_metrics(stream, "6 hours", "10 minutes")
+    out = streams.latest(spark, means, ["run", "split", "window_start", "metric"], "folder")
+    assert sum(r["n"] for r in out.collect()) == 12 and out.select("run").distinct().count() == 2

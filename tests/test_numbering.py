@@ -25,10 +25,10 @@ KEYS = {
 }
 
 
-@pytest.mark.parametrize("cuts", [3, 1024])
+@pytest.mark.parametrize("cells", [1, 300])
 @pytest.mark.parametrize("name", KEYS)
-def test_row_numbers(spark, name, cuts, monkeypatch):
-    monkeypatch.setattr(numbering, "MAX_CUTS", cuts)
+def test_row_numbers(spark, name, cells, monkeypatch):
+    monkeypatch.setattr(numbering, "CELLS_PER_PARTITION", cells)
     got = numbering.row_numbers(frame(spark, KEYS[name]), "k").collect()
     assert {r["k"]: r["row_no"] for r in got} == {
         k: i + 1 for i, k in enumerate(sorted(KEYS[name]))
@@ -71,11 +71,19 @@ def test_seed_changes_order(spark):
     assert a != b
 
 
-def test_large_sample_matches_top_k(spark, monkeypatch):
+def test_sample_is_the_top_k_of_the_digests(spark):
     df = frame(spark, range(300))
-    small = {r["k"] for r in numbering.first_shuffled(df, "k", 0, 50).collect()}
-    numbered = numbering.shuffled_numbers(df, "k", 0).where("row_no <= 50")
-    assert {r["k"] for r in numbered.collect()} == small
+    some = {r["k"] for r in numbering.first_shuffled(df, "k", 0, 50).collect()}
+    top = df.orderBy(F.md5(F.concat(F.lit("0|"), F.col("k"))), "k").limit(50)
+    assert {r["k"] for r in top.collect()} == some
+
+
+def test_running_std_err_with_a_large_offset(spark):
+    rows = [(k, 1e9 + k % 2) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k bigint, x double").repartition(5)
+    got = {r["k"]: r["running_std_err"] for r in numbering.running_stats(df, "x", "k").collect()}
+    assert got[999] == pytest.approx(statistics.stdev(x for _, x in rows) / 1000**0.5, rel=1e-9)
+    assert got[10] == pytest.approx(statistics.stdev(x for _, x in rows[:11]) / 11**0.5, rel=1e-9)
 
 
 @pytest.mark.parametrize("n, p, kept", [(200, 0.29, 56), (200, 1.0, 200), (50, 0.01, 0), (150, 0.01, 2), (10, 0.0, 0), (7, 0.5, 4)])
