@@ -1,8 +1,8 @@
 """Toxicity by a learned lexicon, Levenshtein automata and context windows (operator 5).
 
-The lexicon is learned from labels: word beginnings that toxic training texts
-have and clean ones lack, chosen greedily so that together they cover the toxic
-texts.  A trie of it, intersected with Levenshtein automata, finds its entries in
+The lexicon is learned from a bounded number of labelled texts: word beginnings
+that toxic ones have and clean ones lack, chosen greedily so that together they
+cover the toxic texts.  A trie of it, intersected with Levenshtein automata, finds its entries in
 a text exactly and misspelled.  Each way of matching an entry gets a weight from
 all training rows, and a match in a quoting context counts by what quoted
 matches turned out to mean there.  The share of toxic training rows and a text's
@@ -26,8 +26,8 @@ from prefspark.llm.common import id_and_text, stored
 STEM_LENGTHS = (4, 16)
 #: Candidates and entries of the lexicon: bounds of the model, not of the data it learns from.
 CANDIDATES, ENTRIES = 4000, 500
-#: Toxic training texts from which the cover is chosen.
-COVER_ROWS = 20_000
+#: Labelled texts that the lexicon is learned from, and toxic ones from which its cover is chosen.
+LEARNING_ROWS, COVER_ROWS = 50_000, 20_000
 #: A beginning is this much likelier in toxic texts.
 LIFT = 8.0
 #: Entries of so many letters may be misspelled by one edit, or by two.
@@ -322,7 +322,9 @@ def toxicity(
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    entries = learn_lexicon(texts.join(marks, "doc_id").select("text", "toxic"))
+    # A bounded number of ids, so the texts need not move to meet their labels.
+    some = stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARNING_ROWS), "learning-rows")
+    entries = learn_lexicon(texts.join(F.broadcast(some), "doc_id").select("text", "toxic"))
     if not entries:
         return texts.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_entries"))
     matches = stored(find_matches(texts, entries).distinct(), "lexicon-matches")
