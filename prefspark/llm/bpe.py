@@ -27,7 +27,7 @@ from prefspark.llm.common import id_and_text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Leaves of the largest trees that step together; longer pieces have one of their own.
 WIDE = 64
-#: Pieces that a worker remembers before it starts afresh.
+#: Chunks that a worker remembers before it starts afresh with those in use.
 REMEMBERED = 800_000
 NONE = np.iinfo(np.int64).max
 
@@ -187,38 +187,42 @@ class BytePairTokenizer:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 4 bytes each) of pieces that the pattern has split."""
-        out: list[bytes] = [b""] * len(pieces)
-        by_size: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            if piece:
-                by_size.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
-        for leaves, members in by_size.items():
+        out = np.full(len(pieces), b"", object)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        classes = np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64)
+        for k in np.unique(classes[sizes > 0]).tolist():
+            members, leaves = np.flatnonzero((classes == k) & (sizes > 0)), 1 << k
             if leaves > WIDE:
-                for i in members:
+                for i in members.tolist():
                     out[i] = self._merge_alone(pieces[i])
                 continue
             step = (1 << 19) // leaves
-            for k in range(0, len(members), step):
-                part = members[k : k + step]
-                for i, ids in zip(part, self._merge_together([pieces[i] for i in part], leaves)):
-                    out[i] = ids
-        return out
+            for start in range(0, len(members), step):
+                part = members[start : start + step]
+                out[part] = self._merge_together([pieces[i] for i in part.tolist()], leaves)
+        return out.tolist()
 
     def _learn(self, keys: set[str]) -> None:
         """Encode the chunks of ``keys`` (see ``chunk_keys``) that are not remembered yet."""
+        known = self.known
+        words = {key for key in keys if key.isalpha()}  # a blank and letters: one piece
         split: dict[str, list[str]] = {}
-        for key in keys:
+        for key in keys - words:
             lead, body = (" ", key) if key[:1] not in ("\n", "\0") else (key[0].strip("\0"), key[1:])
-            if body.isalpha() and lead != "\n":
-                split[key] = [lead + body]
-            elif lead == " " and body[-1:] in ".,;|" and body[:-1].isalpha():
+            if lead == " " and body[-1:] in ".,;|" and body[:-1].isalpha():
                 split[key] = [lead + body[:-1], body[-1]]
             else:
                 split[key] = self.pieces(lead + body)
-        fresh = list({piece for pieces in split.values() for piece in pieces})
-        ids = dict(zip(fresh, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in fresh])))
-        for key, pieces in split.items():
-            self.known[key] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+        pieces = {piece for pieces in split.values() for piece in pieces}
+        blank = {piece for piece in pieces if piece[0] == " " and piece[1:].isalpha()}
+        words.update(piece[1:] for piece in blank)
+        fresh = list(words - known.keys())
+        known.update(zip(fresh, self.encode_pieces([b" " + w.encode() for w in fresh])))
+        others = list(pieces - blank)
+        ids = dict(zip(others, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in others])))
+        ids.update((piece, known[piece[1:]]) for piece in blank)
+        for key, parts in split.items():
+            known[key] = b"".join([ids[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text, as little-endian unsigned 32-bit integers."""
@@ -237,8 +241,8 @@ class BytePairTokenizer:
                 stop += 1
             fresh = wanted - self.known.keys()
             if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
-                fresh = wanted
+                # Start afresh with what is in use now: that has the frequent chunks.
+                self.known = {key: self.known[key] for key in wanted - fresh}
             if fresh:
                 self._learn(fresh)
             get = self.known.__getitem__
