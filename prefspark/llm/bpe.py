@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Leaves of the largest trees that step together; longer pieces have one of their own.
 WIDE = 64
 #: Chunks that a worker remembers before it starts afresh with those in use.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -300,7 +300,7 @@ def tokenizer(path: str) -> BytePairTokenizer:
     return BytePairTokenizer(path)
 
 
-def in_slices(batch: pa.RecordBatch, target_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def in_slices(batch: pa.RecordBatch, target_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``target_bytes``, a row at least."""
     rows = max(1, int(batch.num_rows * min(1.0, target_bytes / max(1, batch.nbytes))))
     for start in range(0, batch.num_rows, rows):
