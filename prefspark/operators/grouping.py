@@ -49,11 +49,14 @@ def group_references(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """``row_idx, part, prompt, references``: all chosen texts of each prompt.
 
     Texts are in first-seen order, and ``row_idx`` (the prompt's first row) is
-    the prompt's id; every part of a prompt carries it.
+    the prompt's id; every part of a prompt carries it.  Rows are grouped by a
+    digest, so a prompt's text is shuffled once and not with each of its rows.
     """
-    lists = ordered_lists(df, ["prompt"], "row_idx", "chosen", "references", limit)
-    return lists.select(
-        F.col("first_row_idx").alias("row_idx"), "part", "prompt", "references_from", "references"
+    keyed = df.select(F.unhex(F.md5("prompt")).alias("_prompt"), "row_idx", "chosen")
+    lists = ordered_lists(keyed, ["_prompt"], "row_idx", "chosen", "references", limit)
+    lists = lists.select(F.col("first_row_idx").alias("row_idx"), "part", "references_from", "references")
+    return lists.join(df.select("row_idx", "prompt"), "row_idx").select(
+        "row_idx", "part", "prompt", "references_from", "references"
     )
 
 
