@@ -1,8 +1,9 @@
 """Removal of byte strings that an earlier document holds, by suffix sorting (operator 10).
 
 Two equal windows of 50 bytes hold the same least-hashed substring of 20 bytes
-(their anchor) at the same place, so windows can be dealt out by anchor.  Runs of
-windows whose anchor lies in one document only repeat nowhere.  The others are
+(their anchor) at the same place, so windows can be dealt out by anchor.  A window also holds the 15 bytes
+before its anchor or the 15 behind, so a run of windows repeats nowhere unless
+another document has its anchor with the same bytes on that side.  The others are
 cut out, equal pieces are put together on the map side, and shards of pieces are
 suffix-sorted by external induced sorting (``induced.py``); neighbours that share
 50 bytes form a class, and the least doc_id of a class removes its windows from
@@ -26,11 +27,14 @@ from prefspark.session import shuffle_partitions
 
 LENGTH = 50
 ANCHOR = 20
-#: Windows in a run at most: longer runs of one anchor are cut, which changes no result.
-RUN = 64
+#: Bytes beside its anchor that every window holds on one side at least.
+SIDE = (LENGTH - ANCHOR) // 2
+#: Runs of one anchor in a batch from which on all others of it are kept unseen.
+HOT = 64
 #: Bytes of pieces that one task sorts.
 SHARD_BYTES = 4 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64((1 << 32) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,32 +57,49 @@ def substring_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, text number, first window, windows) of all runs of windows with one anchor."""
+def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: anchor, text number, first window, windows, left, right.
+
+    The anchor is the leftmost of the least substrings of a window.  ``left`` and
+    ``right`` are 16 bits of a hash of the anchor with the bytes on that side, 0
+    where the text has none.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    empty = (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
-    if len(data) < LENGTH:
-        return empty
-    low, span, window = substring_hashes(data, ANCHOR), 1, LENGTH - ANCHOR + 1
+    text = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.flatnonzero(text[: max(0, len(data) - LENGTH + 1)] == text[LENGTH - 1 :])
+    if not len(inside):
+        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 5
+    hashes, span, window = substring_hashes(data, ANCHOR), 1, LENGTH - ANCHOR + 1
+    low = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     while span < window:
         step = min(span, window - span)
         low = np.minimum(low[:-step], low[step:])
         span += step
-    text = np.repeat(np.arange(len(texts)), sizes)
-    n = len(data) - LENGTH + 1
-    inside = np.flatnonzero(text[:n] == text[LENGTH - 1 :])
-    if not len(inside):
-        return empty
-    anchor, owner = low[inside], text[inside]
-    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
+    spot = (low[inside] & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
     count = np.diff(np.append(first, len(inside)))
-    pieces = -(-count // RUN)
-    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = np.repeat(first, pieces) + within * RUN
-    left = np.repeat(count, pieces) - within * RUN
-    return anchor[at], owner[at], inside[at] - (ends - sizes)[owner[at]], np.minimum(left, RUN)
+    spot, start = spot[first], inside[first]
+    owner = text[start]
+    begin, end = (ends - sizes)[owner], ends[owner]
+    stretch = substring_hashes(data, ANCHOR + SIDE)
+    side = lambda at: np.maximum((stretch[np.clip(at, 0, len(stretch) - 1)] >> np.uint64(48)).astype(np.int64), 1)
+    left = np.where(spot - SIDE >= begin, side(spot - SIDE), 0)
+    right = np.where(spot + ANCHOR + SIDE <= end, side(spot), 0)
+    return hashes[spot], owner, start - begin, count, left, right
+
+
+def matched(anchor: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which runs have their anchor and this side in another document too."""
+    key = (anchor & ~np.uint64(0xFFFF)) | side.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    docs = doc[order]
+    shared = (np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)) & (side[order][first] > 0)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(shared, np.diff(np.append(first, len(key))))
+    return out
 
 
 def pack_columns(columns: list[np.ndarray]) -> bytes:
@@ -107,12 +128,14 @@ def unpack_columns(data: bytes, n_columns: int) -> list[np.ndarray]:
 
 
 def anchors(texts: DataFrame, bucket_bits: int) -> DataFrame:
-    """(bucket, data): every run as packed (anchor step, doc_id, first window, windows), by leading anchor bits.
-
-    Runs whose anchor lies in two documents of the same batch are known to
-    repeat: they come in buckets of their own, below 0, dealt out evenly, and one
-    run of no windows tells the anchor's bucket.  So an anchor that much of the
-    corpus shares adds one run per batch to a bucket, not one per document.
+    """(bucket, lead, data): every run, packed, by the leading bits of its anchor.
+
+    Runs that match another document of the same batch are known to repeat: they
+    come in buckets of their own, below 0, dealt out evenly, and one run of no
+    windows for each side tells the anchor's bucket.  Anchors with ``HOT`` runs in
+    a batch are known as a whole, and one run without sides tells that.  So what
+    much of the corpus shares adds a run or two per batch to a bucket, not one
+    per document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,35 +143,46 @@ def anchors(texts: DataFrame, bucket_bits: int) -> DataFrame:
             found = []
             for part in in_slices(batch, 2 << 20):
                 docs = part.column(0).to_numpy()
-                anchor, owner, start, count = anchor_runs([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
-                found.append((anchor, docs[owner], start, count))
-            anchor, doc, start, count = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
-            if not len(anchor):
+                anchor, owner, *rest = anchor_runs([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
+                found.append((anchor, docs[owner], *rest))
+            columns = [np.concatenate(x) for x in zip(*found)]
+            if not columns or not len(columns[0]):
                 continue
-            order = np.lexsort((doc, anchor))
-            anchor, doc, start, count = anchor[order], doc[order], start[order], count[order]
+            order = np.argsort(columns[0], kind="stable")
+            anchor, doc, start, count, left, right = (c[order] for c in columns)
             first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            last = np.append(first[1:], len(anchor)) - 1
-            shared = doc[first] != doc[last]
-            known = np.repeat(shared, last - first + 1)
+            size = np.diff(np.append(first, len(anchor)))
+            hot = (size >= HOT) & (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
+            near = matched(anchor, left, doc) | matched(anchor, right, doc)
+            known = near | np.repeat(hot, size)
+            beacons = []
+            for side in (left, right):
+                spots = np.flatnonzero(near & (side > 0) & ~np.repeat(hot, size))
+                _, one = np.unique((anchor[spots] & ~np.uint64(0xFFFF)) | side[spots].astype(np.uint64), return_index=True)
+                beacons.append(spots[one])
+            beacons = np.unique(np.concatenate([first[hot], *beacons]))
+            sides = left << 16 | right
+            told = np.concatenate([np.flatnonzero(~known), beacons])
+            told_count = np.concatenate([count[~known], np.zeros(len(beacons), np.int64)])
+            told_sides = np.concatenate([sides[~known], np.where(np.repeat(hot, size)[beacons], 0, sides[beacons])])
+            order = np.argsort(anchor[told], kind="stable")
+            told, told_count, told_sides = told[order], told_count[order], told_sides[order]
             out = []
-            for rows, columns in ((~known, 1), (known, -1)):
-                if columns < 0:  # evenly, a few thousand runs each
-                    spots = np.flatnonzero(rows)
-                    pieces = [spots[k : k + 4096] for k in range(0, len(spots), 4096)]
-                    numbers = [-1 - (hash((turn, int(doc[p[0]]), k)) % (1 << bucket_bits)) for k, p in enumerate(pieces)]
-                else:
-                    spots = np.union1d(np.flatnonzero(rows), first[shared])
-                    bucket = (anchor[spots] >> np.uint64(64 - bucket_bits)).astype(np.int64)
-                    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-                    pieces = np.split(spots, cuts)
-                    numbers = bucket[np.concatenate([[0], cuts])].tolist() if len(spots) else []
-                for number, piece in zip(numbers, pieces):
-                    if len(piece):
-                        told = np.where(known[piece], 0, count[piece]) if columns > 0 else count[piece]
-                        steps = np.diff(anchor[piece], prepend=np.uint64(0)).view(np.int64)
-                        lead, steps = int(steps[0]), np.concatenate([[0], steps[1:]])
-                        out.append((number, lead, pack_columns([steps, doc[piece], start[piece], told])))
+
+            def add(number: int, spots: np.ndarray, counts: np.ndarray, sides_: np.ndarray) -> None:
+                steps = np.diff(anchor[spots], prepend=np.uint64(0)).view(np.int64)
+                lead, steps = int(steps[0]), np.concatenate([[0], steps[1:]])
+                out.append((number, lead, pack_columns([steps, doc[spots], start[spots], counts, sides_])))
+
+            bucket = (anchor[told] >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    add(int(bucket[a]), told[a:b], told_count[a:b], told_sides[a:b])
+            spots = np.flatnonzero(known)
+            for k in range(0, len(spots), 4096):  # evenly, a few thousand runs each
+                some = spots[k : k + 4096]
+                add(-1 - hash((turn, int(doc[some[0]]), k)) % (1 << bucket_bits), some, count[some], sides[some])
             columns = list(zip(*out))
             types = pa.int64(), pa.int64(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "lead", "data"])
@@ -157,7 +191,7 @@ def anchors(texts: DataFrame, bucket_bits: int) -> DataFrame:
 
 
 def repeated_runs(packed: DataFrame) -> DataFrame:
-    """The runs whose anchor lies in two documents or more: doc_id, anchor, start, windows."""
+    """The runs that match another document: doc_id, anchor, start, windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of_equal(batches, 0):
@@ -166,16 +200,14 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 parts = []
                 for lead, data in zip(table.column(1)[a:b].to_pylist(), table.column(2)[a:b].to_pylist()):
-                    steps, doc, start, count = unpack_columns(data, 4)
-                    parts.append((np.cumsum(steps) + lead, doc, start, count))
-                anchor, doc, start, count = (np.concatenate(x) for x in zip(*parts))
+                    steps, *rest = unpack_columns(data, 5)
+                    parts.append((np.cumsum(steps) + lead, *rest))
+                anchor, doc, start, count, sides = (np.concatenate(x) for x in zip(*parts))
                 if buckets[a] >= 0:
-                    order = np.argsort(anchor, kind="stable")
-                    anchor, doc, start, count = anchor[order], doc[order], start[order], count[order]
-                    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-                    keep = (np.minimum.reduceat(count, first) == 0) | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
-                    mask = np.repeat(keep, np.diff(np.append(first, len(anchor)))) & (count > 0)
-                    anchor, doc, start, count = anchor[mask], doc[mask], start[mask], count[mask]
+                    keep = matched(anchor.view(np.uint64), sides >> 16, doc) | matched(anchor.view(np.uint64), sides & 0xFFFF, doc)
+                    keep |= np.isin(anchor, anchor[(count == 0) & (sides == 0)])
+                    keep &= count > 0
+                    anchor, doc, start, count = anchor[keep], doc[keep], start[keep], count[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, anchor, start, count)], names=["doc_id", "anchor", "start", "windows"])
 
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, anchor long, start long, windows long")

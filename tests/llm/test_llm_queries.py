@@ -184,6 +184,18 @@ def test_suffix_removal_on_periodic_and_overlapping_texts(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute_force_removal(documents)
 
 
+def test_suffix_removal_with_a_phrase_that_most_documents_share(spark):
+    """More runs of one anchor in a batch than are looked at one by one."""
+    draw = random.Random(5)
+    noise = lambda n: "".join(draw.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase, passage = "a phrase of some thirty letters", noise(90)
+    documents = {i: noise(80) + phrase + noise(80) for i in range(200)}
+    documents |= {300 + i: noise(40) + (passage if i % 2 else passage[20:]) + noise(draw.randint(0, 9)) for i in range(150)}
+    df = spark.createDataFrame(list(documents.items()), "doc_id long, text string").repartition(2)
+    rows = suffix_dedup.remove_repeats(df, shard_bytes=5000).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute_force_removal(documents)
+
+
 def test_induced_sorting_in_memory_and_on_disk():
     draw = np.random.default_rng(0)
     for _ in range(150):
