@@ -10,6 +10,7 @@ rate, and the largest corrected share decides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,9 +24,12 @@ from prefspark.llm.common import stored
 
 UNKNOWN = "und"
 ORDERS = (3, 4)
-#: Slots of the filters: a fixed size, so what is sent to the tasks does not grow.
+#: Least slots of the filters; there are more where a language has too many typical n-grams for the rate of false positives.
 SLOT_BITS = 20
 HASHES = 2
+FALSE_POSITIVES = 0.1
+#: Slots that a task puts together at a time.
+RANGE_BITS = 16
 #: A language contains an n-gram that it has so many times, and at this rate beside the language that has it most.
 MIN_COUNT = 3
 MIN_RATE = 0.1
@@ -89,7 +93,7 @@ def slots_of(keys: np.ndarray, slot_bits: int, hashes: int) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """Bit-sliced Bloom filters: ``slots[word, slot]`` has the bits of 64 languages."""
+    """Bit-sliced Bloom filters: ``slots[word, slot]`` has the bits of as many languages as its type has bits."""
 
     languages: list[str]
     slots: np.ndarray
@@ -99,14 +103,20 @@ class LanguageFilters:
     def slot_bits(self) -> int:
         return self.slots.shape[1].bit_length() - 1
 
+    @property
+    def width(self) -> int:
+        return 8 * self.slots.itemsize
+
+    def _bit(self, masks: np.ndarray, language: int) -> np.ndarray:
+        return masks & self.slots.dtype.type(1 << language % self.width)
+
     def false_positive_rates(self) -> np.ndarray:
         """Per language: the share of its slots that are set, to the power of the hashes."""
         size = self.slots.shape[1]
-        bit = lambda i: (self.slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-        return np.array([(int(bit(i).sum()) / size) ** self.hashes for i in range(len(self.languages))])
+        return np.array([(int(np.count_nonzero(self._bit(self.slots[i // self.width], i))) / size) ** self.hashes for i in range(len(self.languages))])
 
     def contains(self, keys: np.ndarray) -> list[np.ndarray]:
-        """For each word of 64 languages, the mask of those that contain each key."""
+        """For each word of languages, the mask of those that contain each key."""
         at = slots_of(keys, self.slot_bits, self.hashes)
         masks = []
         for word in self.slots:
@@ -122,8 +132,8 @@ class LanguageFilters:
         total = np.bincount(owner, minlength=len(texts))
         hits = np.zeros((len(texts), len(self.languages)))
         for w, mask in enumerate(self.contains(keys)):
-            for i in range(64 * w, min(64 * w + 64, len(self.languages))):
-                hits[:, i] = np.bincount(owner[(mask >> np.uint64(i % 64)) & np.uint64(1) == 1], minlength=len(texts))
+            for i in range(self.width * w, min(self.width * (w + 1), len(self.languages))):
+                hits[:, i] = np.bincount(owner[self._bit(mask, i) != 0], minlength=len(texts))
         wrong = self.false_positive_rates()
         share = (hits / np.maximum(total, 1)[:, None] - wrong) / np.maximum(1 - wrong, 1e-9)
         return np.clip(share, 0, 1), letters
@@ -152,38 +162,70 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def learn(rows: DataFrame, slot_bits: int = SLOT_BITS, hashes: int = HASHES, min_count: int = MIN_COUNT, min_rate: float = MIN_RATE) -> LanguageFilters:
+def slot_bits_for(n_keys: int, hashes: int) -> int:
+    """Least number of bits with which a filter of so many keys keeps the rate of false positives."""
+    free = 1 - FALSE_POSITIVES ** (1 / hashes)
+    return max(SLOT_BITS, math.ceil(math.log2(max(1.0, hashes * n_keys / -math.log(free)))))
+
+
+def learn(rows: DataFrame, slot_bits: int | None = None, hashes: int = HASHES, min_count: int = MIN_COUNT, min_rate: float = MIN_RATE) -> LanguageFilters:
     """Filters from all rows of (lang, text) with a language and a text.
 
-    What reaches the driver is the filter itself, at most ``2 ** slot_bits``
-    slots, and one row per language.
+    Without ``slot_bits`` the filters are as large as the language with the most
+    typical n-grams needs for ``FALSE_POSITIVES``.  What reaches the driver is
+    the filter itself, a range of slots at a time, and one row per language.
     """
     counts = stored(count_ngrams(rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")), "ngram-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     order = {r["lang"]: r["total"] for r in totals.collect()}
     languages = sorted(order, key=lambda x: (-order[x], x))
-    words = max(1, -(-len(languages) // 64))
-    slots = np.zeros((words, 1 << slot_bits), np.uint64)
-    if languages:
-        rate = F.col("n") / F.col("total")
-        typical = (
-            counts.join(F.broadcast(totals), "lang")
-            .withColumn("best", F.max(rate).over(Window.partitionBy("key")))
-            .where((F.col("n") >= min_count) & (rate >= min_rate * F.col("best")))
-        )
-        number = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-                at = np.concatenate(slots_of(keys, slot_bits, hashes))
-                lang = np.tile(batch.column(0).to_numpy(zero_copy_only=False), hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(lang // 64), pa.array(at), pa.array(np.left_shift(1, lang % 64))], names=["word", "slot", "bits"])
-
-        placed = typical.select(number[F.col("lang")].cast("long").alias("lang"), "key").mapInArrow(place, "word long, slot long, bits long")
-        table = placed.groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-        slots[table["word"].to_numpy(), table["slot"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    return LanguageFilters(languages, slots, hashes)
+    width = next((w for w in (8, 16, 32) if len(languages) <= w), 64)
+    words, dtype = max(1, -(-len(languages) // width)), np.dtype(f"u{width // 8}")
+    if not languages:
+        return LanguageFilters(languages, np.zeros((words, 1 << (slot_bits or SLOT_BITS)), dtype), hashes)
+    rate = F.col("n") / F.col("total")
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+    typical = (
+        counts.join(F.broadcast(totals), "lang")
+        .withColumn("best", F.max(rate).over(Window.partitionBy("key")))
+        .where((F.col("n") >= min_count) & (rate >= min_rate * F.col("best")))
+        .select(number[F.col("lang")].cast("long").alias("lang"), "key")
+    )
+    if slot_bits is None:
+        typical = stored(typical, "typical-ngrams")
+        slot_bits = slot_bits_for(typical.groupBy("lang").count().agg(F.max("count")).first()[0] or 0, hashes)
+    range_bits = min(RANGE_BITS, slot_bits)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.concatenate(slots_of(keys, slot_bits, hashes))
+            lang = np.tile(batch.column(0).to_numpy(zero_copy_only=False), hashes)
+            part = (lang // width << (slot_bits - range_bits)) + (at >> range_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(at & ((1 << range_bits) - 1)), pa.array(lang % width)], names=["part", "slot", "bit"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            part, slot, bit = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for p in np.unique(part).tolist():
+                if p not in held and held:  # rows are sorted by part
+                    yield packed(held)
+                some = part == p
+                np.bitwise_or.at(held.setdefault(p, np.zeros(1 << range_bits, dtype)), slot[some], np.left_shift(1, bit[some].view(np.uint64)).astype(dtype))
+        if held:
+            yield packed(held)
+
+    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        p, data = held.popitem()
+        return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([data.tobytes()], pa.binary())], names=["part", "data"])
+
+    placed = typical.mapInArrow(place, "part long, slot long, bit long")
+    ranges = stored(placed.repartition("part").sortWithinPartitions("part").mapInArrow(fill, "part long, data binary"), "filter-ranges")
+    slots = np.zeros((words << (slot_bits - range_bits), 1 << range_bits), dtype)
+    for row in ranges.toLocalIterator():
+        slots[row["part"]] = np.frombuffer(row["data"], dtype)
+    return LanguageFilters(languages, slots.reshape(words, -1), hashes)
 
 
 def identify(df: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
