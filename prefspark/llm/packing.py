@@ -3,16 +3,16 @@
 Documents become pieces of at most ``capacity`` tokens.  Whole pieces fill a
 sequence each where they are.  The others are dealt over shards by a hash, and
 each shard, one Spark group, packs its pieces: best fit, longest first, then a
-local search that exchanges pieces between underfull bins - one for one, two for
-one, or a move - whenever that raises the sum of squared fills, until bins empty
-or nothing improves.  Only ids and lengths are shuffled.
+local search over all underfull bins for the exchange of each piece - one for one, two
+for one, or a move - that raises the sum of squared fills most, until no bin can
+be spared or nothing improves.  Only ids and lengths are shuffled.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +26,6 @@ from prefspark.llm.common import id_and_text, stored
 CAPACITY = 2048
 #: Part pieces that a shard packs: enough that its last bins do not matter, few enough for one task.
 SHARD_PIECES = 100_000
-#: Rounds of local search over a shard's underfull bins.
-ROUNDS = 4
-
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -91,85 +88,142 @@ class Bins:
                     bisect.insort(frees, left)
                 by_free[left].append(b)
 
-    def improve(self, lengths: np.ndarray, rounds: int) -> None:
+    def least(self, lengths: np.ndarray) -> int:
+        """No packing has fewer bins: long pieces need one each, and all tokens their space."""
+        long = lengths[2 * lengths > self.capacity]
+        return max(-(-int(lengths.sum()) // self.capacity), len(long))
+
+    def improve(self, lengths: np.ndarray, rounds: int | None = None) -> None:
         """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
         Each round goes through the bins that are not full, emptiest first.  A
-        piece moves where it fits; else it replaces a shorter piece (one for
-        one), or two pieces (two for one), of a bin at least as full, which that
-        fills better; what it replaced comes back to the emptier bin.
+        piece moves (nothing comes back), or replaces a shorter piece (one for
+        one) or two pieces (two for one) of any other such bin, where that raises
+        the sum most; what it replaced comes back to the bin it left.  Without
+        ``rounds``, until a round changes nothing or no bin can be spared.
         """
-        size = lengths.tolist()
-        for _ in range(rounds):
-            open_bins = sorted((b for b in range(len(self.fill)) if 0 < self.fill[b] < self.capacity), key=self.fill.__getitem__)
-            if len(open_bins) < 2:
-                return
-            holds: dict[int, set[int]] = defaultdict(set)  # free space -> bins
-            for b in open_bins:
-                holds[self.capacity - self.fill[b]].add(b)
-            frees = sorted(holds)
+        size, least = lengths.tolist(), self.least(lengths)
+        used = sum(1 for fill in self.fill if fill)
+        if used <= least or rounds == 0:
+            return
+        index = _Exchanges(self, size)
+        done = 0
+        while rounds is None or done < rounds:
+            done += 1
             changed = False
-
-            def refill(b: int, fill: int) -> None:
-                old = self.capacity - self.fill[b]
-                holds[old].discard(b)
-                if not holds[old]:
-                    frees.pop(bisect.bisect_left(frees, old))
-                self.fill[b] = fill
-                new = self.capacity - fill
-                if 0 < new < self.capacity:
-                    if not holds[new]:
-                        bisect.insort(frees, new)
-                    holds[new].add(b)
-
+            open_bins = sorted((b for b in range(len(self.fill)) if 0 < self.fill[b] < self.capacity), key=self.fill.__getitem__)
             for b in open_bins:
+                if not 0 < self.fill[b] < self.capacity:
+                    continue
+                index.remove(b)
                 for i in sorted(self.content[b], key=size.__getitem__, reverse=True):
-                    if self._place(i, b, size, holds, frees, refill):
-                        changed = True
+                    found = index.best(size[i], self.fill[b])
+                    if found is None:
+                        continue
+                    c, back = found
+                    index.remove(c)
+                    self._shift(b, c, i, back, size)
+                    index.add(c)
+                    changed = True
+                index.add(b)
+                if not self.fill[b]:
+                    used -= 1
+                    if used <= least:
+                        return
             if not changed:
                 return
 
-    def _place(self, i, b, size, holds, frees, refill) -> bool:
-        """Move or exchange piece ``i`` out of bin ``b`` if that raises the squared fill."""
-        at = bisect.bisect_left(frees, size[i])
-        for free in frees[at : at + 2]:  # tightest first
-            for c in list(holds[free])[:4]:
-                if c != b and self.fill[c] + size[i] > self.fill[b]:
-                    self._shift(b, c, [i], [], size, refill)
-                    return True
-        for free in frees[:8]:  # the fullest bins gain most from an exchange
-            if free >= size[i]:
-                break
-            for c in list(holds[free])[:2]:
-                if c == b or self.fill[c] < self.fill[b]:
-                    continue
-                need = size[i] - free  # what has to leave, at least
-                singles = [j for j in self.content[c] if need <= size[j] < size[i]]
-                if singles:
-                    self._shift(b, c, [i], [min(singles, key=size.__getitem__)], size, refill)
-                    return True
-                small = sorted((size[j], j) for j in self.content[c] if size[j] < need)
-                lo, hi = 0, len(small) - 1
-                while lo < hi:
-                    both = small[lo][0] + small[hi][0]
-                    if both < need:
-                        lo += 1
-                    elif both < size[i]:
-                        self._shift(b, c, [i], [small[lo][1], small[hi][1]], size, refill)
-                        return True
-                    else:
-                        hi -= 1
-        return False
-
-    def _shift(self, b, c, there, back, size, refill) -> None:
-        self.content[b] = [x for x in self.content[b] if x not in there] + back
-        self.content[c] = [x for x in self.content[c] if x not in back] + there
-        gain = sum(size[x] for x in there) - sum(size[x] for x in back)
-        refill(b, self.fill[b] - gain)
-        refill(c, self.fill[c] + gain)
-
-
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    def _shift(self, b: int, c: int, i: int, back: tuple[int, ...], size: list[int]) -> None:
+        self.content[b] = [x for x in self.content[b] if x != i] + list(back)
+        self.content[c] = [x for x in self.content[c] if x not in back] + [i]
+        gain = size[i] - sum(size[x] for x in back)
+        self.fill[b] -= gain
+        self.fill[c] += gain
+
+
+class _Exchanges:
+    """What open bins can give back, by its tokens and the bin's free space.
+
+    ``tight[r, d]`` is the least free space of at least ``d`` among the open bins
+    that can give back ``r`` tokens with two pieces at most: the fullest bin that
+    can take ``d`` tokens more that way.  Two to four bytes times the square of the capacity.
+    """
+
+    def __init__(self, bins: Bins, size: list[int]):
+        self.bins, self.size, self.capacity = bins, size, bins.capacity
+        self.none = self.capacity + 1
+        self.tight = np.full((self.capacity + 1, self.capacity + 2), self.none, np.int16 if self.none < 1 << 15 else np.int32)
+        self.holds: dict[tuple[int, int], dict[int, None]] = {}  # tokens given back, free space -> bins
+        self.listed: dict[int, list[int]] = {}
+        self.gains = np.arange(self.capacity + 1, dtype=np.int64)
+        for b, fill in enumerate(bins.fill):
+            if 0 < fill < self.capacity:
+                self.add(b)
+
+    def _sums(self, b: int) -> list[int]:
+        alone = sorted({*(self.size[i] for i in self.bins.content[b])})
+        counts = Counter(self.size[i] for i in self.bins.content[b])
+        out = {0, *alone}
+        for k, x in enumerate(alone):
+            if counts[x] > 1:
+                out.add(2 * x)
+            out.update(x + y for y in alone[k + 1 :])
+        return list(out)
+
+    def add(self, b: int) -> None:
+        free = self.capacity - self.bins.fill[b]
+        if not 0 < free < self.capacity:
+            return
+        self.listed[b] = sums = self._sums(b)
+        for r in sums:
+            held = self.holds.get((r, free))
+            if held is None:
+                self.holds[r, free] = {b: None}
+                row = self.tight[r]
+                row[row[: free + 1].searchsorted(free, "right") : free + 1] = free
+            else:
+                held[b] = None
+
+    def remove(self, b: int) -> None:
+        free = self.capacity - self.bins.fill[b]
+        for r in self.listed.pop(b, ()):
+            held = self.holds[r, free]
+            del held[b]
+            if not held:
+                del self.holds[r, free]
+                row = self.tight[r]
+                row[row[: free + 1].searchsorted(free, "left") : free + 1] = row[free + 1]
+
+    def best(self, length: int, fill: int) -> tuple[int, tuple[int, ...]] | None:
+        """The bin, and the pieces it gives back, with which a piece that leaves a bin of this fill gains most."""
+        gain = self.gains[1 : length + 1]
+        # tight[length - d, d] for d = 1 .. length
+        width = self.tight.shape[1]
+        free = self.tight.reshape(-1)[(length - 1) * width + 1 :: -(width - 1)][:length] if length > 1 else self.tight[0, 1:2]
+        value = gain * (self.capacity - free.astype(np.int64) - fill + gain)
+        value[free == self.none] = 0
+        at = int(value.argmax())
+        if value[at] <= 0:
+            return None
+        given, room = length - at - 1, int(free[at])
+        c = next(iter(self.holds[given, room]))
+        return c, self._pieces(c, given)
+
+    def _pieces(self, c: int, tokens: int) -> tuple[int, ...]:
+        if not tokens:
+            return ()
+        seen: dict[int, int] = {}
+        pair: tuple[int, ...] = ()
+        for j in self.bins.content[c]:
+            if self.size[j] == tokens:
+                return (j,)
+            if not pair and tokens - self.size[j] in seen:
+                pair = (seen[tokens - self.size[j]], j)
+            seen[self.size[j]] = j
+        return pair
+
+
+def pack(lengths: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each piece."""
     bins = Bins(capacity)
     bins.best_fit(lengths, np.lexsort((np.arange(len(lengths)), -lengths)))
@@ -184,7 +238,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
 
 
 def pack_documents(
-    df: DataFrame, vocabulary: str, separator: int = 0, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, vocabulary: str, separator: int = 0, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
