@@ -1,7 +1,8 @@
 """Removal of byte strings that an earlier document holds, by suffix sorting (operator 10).
 
 Two equal windows of 50 bytes hold the same least-hashed substring of 20 bytes
-(their anchor) at the same place, so windows can be dealt out by anchor.  A window also holds the 15 bytes
+(their anchor) at the same place, so windows can be dealt out by anchor - those of
+an anchor that exceeds a shard by themselves, and compared by digest.  A window also holds the 15 bytes
 before its anchor or the 15 behind, so a run of windows repeats nowhere unless
 another document has its anchor with the same bytes on that side.  The others are
 cut out, equal pieces are put together on the map side, and shards of pieces are
@@ -257,10 +258,40 @@ def first_documents(contents: list[bytes], first: np.ndarray, memory_items: int
     return list(zip(content[cuts].tolist(), offset[cuts].tolist(), offset[last].tolist(), least[cuts].tolist()))
 
 
+def window_verdicts(contents: DataFrame) -> DataFrame:
+    """(piece, from, to, least) of contents whose anchor exceeds a shard: a row per window, dealt out by its digest.
+
+    A content has at most ``LENGTH - ANCHOR + 1`` windows.  The first documents of
+    repeated windows are stored, so that the join back meets plain shuffles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_slices(batch, 1 << 20):
+                out = []
+                for content, first, n in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    piece = hashlib.md5(content).digest()
+                    out += [(piece, at, hashlib.md5(content[at : at + LENGTH]).digest(), first, n) for at in range(len(content) - LENGTH + 1)]
+                columns = list(zip(*out)) or [[]] * 5
+                types = pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["piece", "from", "window", "first", "n"])
+
+    windows = contents.select("content", "first", "n").mapInArrow(run, "piece binary, from long, window binary, first long, n long")
+    earliest = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("latest"))
+    repeated = stored(earliest.where("least < latest").select(F.col("window").alias("same_window"), "least"), "repeated-windows")
+    both = windows.join(repeated, F.col("window") == F.col("same_window"), "left").withColumn("least", F.coalesce("least", "first"))
+    # What only its own first document holds removes nothing.
+    return both.where("least < first OR n > 1").select("piece", "from", F.col("from").alias("to"), "least")
+
+
 def removed_windows(pieces: DataFrame, shard_bytes: int = SHARD_BYTES, memory_items: int = MEMORY_ITEMS) -> DataFrame:
     """(doc_id, start, end): byte intervals covered by windows of an earlier document; end is the last byte."""
     contents = stored(pieces.groupBy("content", "anchor").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "contents")
-    total = contents.agg(F.sum(F.octet_length("content") + 1)).first()[0] or 0
+    sizes = stored(contents.groupBy("anchor").agg(F.sum(F.octet_length("content") + 1).alias("size")), "anchor-sizes")
+    # At most one anchor for each shard of contents, so the list may be broadcast.
+    large = F.broadcast(sizes.where(F.col("size") > shard_bytes).select(F.col("anchor").alias("large_anchor")))
+    is_large = F.col("anchor") == F.col("large_anchor")
+    total = sizes.where(F.col("size") <= shard_bytes).agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +306,9 @@ def removed_windows(pieces: DataFrame, shard_bytes: int = SHARD_BYTES, memory_it
         arrays = [pa.array([digests[k] for k in columns[0]], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])]
         yield pa.RecordBatch.from_arrays(arrays, names=["piece", "from", "to", "least"])
 
-    dealt = contents.repartition(shards, "anchor").select("content", "first", "n")
-    verdicts = stored(dealt.mapInArrow(run, "piece binary, from long, to long, least long"), "verdicts")
+    dealt = contents.join(large, is_large, "left_anti").repartition(shards, "anchor").select("content", "first", "n")
+    sorted_out = dealt.mapInArrow(run, "piece binary, from long, to long, least long")
+    verdicts = stored(sorted_out.unionByName(window_verdicts(contents.join(large, is_large, "left_semi"))), "verdicts")
     hits = pieces.select("piece", "doc_id", "start").join(verdicts, "piece").where("least < doc_id")
     return hits.select("doc_id", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + LENGTH - 1).alias("end"))
 

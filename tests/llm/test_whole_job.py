@@ -4,8 +4,9 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from prefspark.llm import langid, packing
+from prefspark.llm import langid, packing, suffix_dedup
 
 
 def test_language_filters_grow_with_their_ngrams(spark):
@@ -47,3 +48,31 @@ def test_packing_ends_when_no_exchange_gains():
                     for back in itertools.combinations(bins.content[c], k):
                         gain = int(lengths[i]) - int(lengths[list(back)].sum())
                         assert not (0 < gain <= 100 - bins.fill[c] and bins.fill[c] - bins.fill[b] + gain > 0)
+
+
+def test_windows_of_a_hot_anchor_are_dealt_out(spark, monkeypatch):
+    """A phrase that all documents share in contexts of their own: its windows go by digest, no task sorts them all."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    phrase, texts = letters(45), []
+    for _ in range(150):
+        texts.append(letters(20) + phrase + letters(20) if rng.random() < 0.7 or not texts else letters(9) + rng.choice(texts)[rng.randrange(25) :])
+    dealt = []
+
+    def spy(contents):
+        dealt.append(contents.agg(F.sum(F.octet_length("content"))).first()[0])
+        return real(contents)
+
+    real = suffix_dedup.window_verdicts
+    monkeypatch.setattr(suffix_dedup, "window_verdicts", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.remove_repeats(df, shard_bytes=1000).collect()}
+    assert dealt[0] > 3000
+    seen = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            seen.setdefault(t[k : k + 50], i)
+    for i, t in enumerate(texts):
+        gone = {p for k in range(len(t) - 49) if seen[t[k : k + 50]] < i for p in range(k, k + 50)}
+        assert rows[i] == "".join(c for p, c in enumerate(t) if p not in gone)
+    assert any(rows[i] != t for i, t in enumerate(texts))
