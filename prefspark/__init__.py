@@ -48,7 +48,7 @@ from .operators.preference import (
     stack_sides,
     token_logps,
 )
-from .operators.turns import example_rows, messages
+from .operators.turns import example_rows, histories, messages
 from .sources.corpora import get_rows, load_preferences, scan_columns, split_name
 from .sources.records import (
     read_comparisons,

@@ -23,8 +23,8 @@ def adapt(df: DataFrame, name: str) -> DataFrame:
 
 
 def key_columns(df: DataFrame) -> list[str]:
-    """The columns that identify an example and, once assigned, its batch."""
-    return [c for c in ("row_idx", "batch_id") if c in df.columns]
+    """The columns that identify an example and, once assigned, its batch; and the mark of a cut context."""
+    return [c for c in ("row_idx", "batch_id", "context_cut") if c in df.columns]
 
 
 def _context(task: str) -> Column:
@@ -60,8 +60,10 @@ def to_prompt_only(df: DataFrame, task: str, template: str = "chatml", **marks)
     """``prompt`` with the generation cue, ``history`` and ``references``.
 
     ``tldr`` expects the rows of ``group_references``; ``hh`` has one
-    reference per prompt.
+    reference per prompt.  Needs whole contexts.
     """
+    if "context_cut" in df.columns:
+        raise ValueError("a cut context is not the history; use example_rows without max_prompt_length")
     history = _context(task)
     references = F.array(F.col("chosen")["text"]) if task == "hh" else F.col("references")
     part = F.col("part") if "part" in df.columns else F.lit(0)

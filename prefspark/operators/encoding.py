@@ -100,7 +100,8 @@ def encode(
 ) -> DataFrame:
     """Examples to truncated prompt and answer ids with their masks.
 
-    ``sides=[]`` encodes the prompt alone (generation).
+    ``sides=[]`` encodes the prompt alone (generation).  Rows with ``context_cut``
+    have no ``history``, as it would lack messages; ``turns.histories`` has it.
     """
     split = split_examples(df, sides)
     prompt = chat.render(F.col("history"), template, add_generation_prompt=True, **marks)
@@ -111,8 +112,8 @@ def encode(
     names = {"_prompt": "prompt_ids"} | {f"_{s}": f"{s}_ids" for s in sides}
     cut = truncate(tokenize(texts, names, loader, vocab_size), sides, max_prompt_length, max_length)
     return cut.select(
-        *key_columns(cut),
-        "history",
+        *[c for c in key_columns(cut) if c != "context_cut"],
+        *([] if "context_cut" in cut.columns else ["history"]),
         "reference_response",
         "prompt_ids",
         tokens.ones_like(F.col("prompt_ids")).alias("prompt_mask"),

@@ -88,6 +88,13 @@ def messages(turns: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def histories(turns: DataFrame, needed: int = 2) -> DataFrame:
+    """Whole histories of the examples of ``example_rows``, a row per message: ``row_idx, pos, role, content``."""
+    before = with_spans(turns, needed).where(F.col("turn") < F.col("last_turn"))
+    role = chat.map_role(_raw_role(F.col("role")))
+    return before.select(F.col("conv_id").alias("row_idx"), F.col("turn").alias("pos"), role.alias("role"), F.col("text").alias("content"))
+
+
 def _raw_role(role: Column) -> Column:
     """The corpus calls the user ``human``."""
     return F.when(role == "user", "human").otherwise(role)
@@ -108,7 +115,8 @@ def example_rows(
     last so many tokens of the prompt can reach: each message's tokens are
     counted with the tokenizer in its own row, and a message stays while those
     after it are fewer.  One token per message is not counted, as texts may fuse
-    where they meet.  Whole conversations of any length are ``messages``.
+    where they meet.  Such rows are marked by ``context_cut``, and what is encoded
+    from them has no ``history``: that is ``histories``, by ``row_idx``.
     """
     marked = with_spans(turns, needed).where(F.col("turn") <= F.col("last_turn"))
     if max_prompt_length is None:
@@ -124,7 +132,8 @@ def example_rows(
     kept = marked.join(reached, ["conv_id", "turn"], "left_semi")
     # The first answer is the rejected one; it may lie before all that is reached.
     opening = marked.where(F.col("turn") == F.col("first_turn")).join(reached, ["conv_id", "turn"], "left_anti")
-    return _gather(kept.withColumn("shown", F.lit(True)).unionByName(opening.withColumn("shown", F.lit(False))))
+    rows = _gather(kept.withColumn("shown", F.lit(True)).unionByName(opening.withColumn("shown", F.lit(False))))
+    return rows.withColumn("context_cut", F.lit(True))
 
 
 def _gather(turns: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def prompt_batches(
     prompts = encoded.select(
         "row_idx",
         "batch_id",
-        "history",
+        *[c for c in ("history",) if c in encoded.columns],
         "reference_response",
         F.col("prompt_ids").alias("prompt_input_ids"),
         F.col("prompt_mask").alias("prompt_attention_mask"),
