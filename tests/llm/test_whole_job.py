@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from prefspark.llm import langid, packing, suffix_dedup
+from prefspark.llm import langid, ngram_join, packing, suffix_dedup
 
 
 def test_language_filters_grow_with_their_ngrams(spark):
@@ -76,3 +76,8 @@ def test_windows_of_a_hot_anchor_are_dealt_out(spark, monkeypatch):
         gone = {p for k in range(len(t) - 49) if seen[t[k : k + 50]] < i for p in range(k, k + 50)}
         assert rows[i] == "".join(c for p, c in enumerate(t) if p not in gone)
     assert any(rows[i] != t for i, t in enumerate(texts))
+
+
+def test_prefix_does_not_depend_on_what_else_is_in_the_table():
+    forest = ngram_join.Forest()
+    assert forest.meets(0.8, forest.prefix()) >= forest.recall > forest.meets(0.8, forest.prefix() + 1)
