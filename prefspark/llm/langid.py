@@ -138,6 +138,18 @@ class LanguageFilters:
         share = (hits / np.maximum(total, 1)[:, None] - wrong) / np.maximum(1 - wrong, 1e-9)
         return np.clip(share, 0, 1), letters
 
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and margin of each text."""
+        n = len(texts)
+        if not self.languages:
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+        shares, letters = self.shares(texts)
+        first = shares.argmax(1)
+        best = np.where(letters > 0, shares[np.arange(n), first], 0.0)
+        names = [self.languages[i] if some else UNKNOWN for i, some in zip(first.tolist(), (letters > 0).tolist())]
+        shares[np.arange(n), first] = 0
+        return names, best, np.where(letters > 0, best - shares.max(1), 0.0)
+
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
     """(lang, key, n) over all rows of (lang, text); equal n-grams are counted together before the shuffle."""
@@ -238,22 +250,26 @@ def identify(df: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", te
     model = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
         for batch in batches:
             for part in in_slices(batch, SLICE):
-                n = part.num_rows
-                if not known.languages:
-                    names, best, margin = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
-                else:
-                    shares, letters = known.shares(part.column(1).to_pylist())
-                    first = shares.argmax(1)
-                    best = np.where(letters > 0, shares[np.arange(n), first], 0.0)
-                    names = [known.languages[i] if some else UNKNOWN for i, some in zip(first.tolist(), (letters > 0).tolist())]
-                    shares[np.arange(n), first] = 0
-                    margin = np.where(letters > 0, best - shares.max(1), 0.0)
+                names, best, margin = model.value.judge(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(names, pa.string()), pa.array(best), pa.array(margin)], names=["doc_id", "lang_pred", "score", "margin"]
                 )
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, margin double")
+
+
+def accepted(df: DataFrame, filters: LanguageFilters, least_share: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` of a learned language with at least this share; each is judged where it is, whatever its id."""
+    model = df.sparkSession.sparkContext.broadcast(filters)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_slices(batch, SLICE):
+                names, best, _ = model.value.judge(part.column(at).to_pylist())
+                yield part.filter(pa.array((np.array(names, object) != UNKNOWN) & (best >= least_share)))
+
+    return df.mapInArrow(run, df.schema)

@@ -2,7 +2,7 @@
 
 Each run of three consecutive non-blank lines of a document is hashed to 128
 bits.  Windows seen more than once anywhere keep their first place (smallest
-doc_id, then line); every later place is covered, overlapping covers are merged
+doc_id, then digest of the text, then line); every later place is covered, overlapping covers are merged
 and the covered lines removed.
 """
 
@@ -20,8 +20,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _text_key() -> Column:
+    """Tells texts of one doc_id, or of none, apart: a digest of the text."""
+    return F.unhex(F.md5(F.col("text")))
+
+
 def line_windows(texts: DataFrame) -> DataFrame:
-    """doc_id, start, end (line numbers of the first and last line), key (128-bit digest).
+    """doc_id, text_key, start, end (line numbers of the first and last line), key (128-bit digest).
 
     Lines are compared without blanks, tabs and carriage returns at their ends;
     blank lines are skipped.  A text of fewer than three such lines has none.
@@ -32,9 +37,9 @@ def line_windows(texts: DataFrame) -> DataFrame:
     full = F.filter(numbered, lambda x: x["line"] != "")
     rest = lambda a, start: F.slice(a, start, F.greatest(F.size(a), F.lit(1)))
     runs = bind(full, lambda a: F.arrays_zip(a, rest(a, 2), rest(a, 3)))
-    parts = texts.select("doc_id", F.inline(runs).alias("a", "b", "c")).where(F.col("c").isNotNull())
+    parts = texts.select("doc_id", _text_key().alias("text_key"), F.inline(runs).alias("a", "b", "c")).where(F.col("c").isNotNull())
     key = F.unhex(F.md5(F.concat_ws("\n", "a.line", "b.line", "c.line")))
-    return parts.select("doc_id", F.col("a.at").alias("start"), F.col("c.at").alias("end"), key.alias("key"))
+    return parts.select("doc_id", "text_key", F.col("a.at").alias("start"), F.col("c.at").alias("end"), key.alias("key"))
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -44,22 +49,22 @@ def later_windows(windows: DataFrame) -> DataFrame:
     repeated keys are stored, so that the join back meets two plain shuffles and
     a key that holds much of the rows can be split by adaptive execution.
     """
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "text_key", "start")
     repeated = stored(
         windows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"),
         "repeated-windows",
     )
-    return windows.join(repeated, "key").where(place > F.col("first")).select("doc_id", "start", "end")
+    return windows.join(repeated, "key").where(place > F.col("first")).select("doc_id", "text_key", "start", "end")
 
 
 def merged_runs(covers: DataFrame) -> DataFrame:
-    """Overlapping or touching intervals of a document merged: doc_id, runs (sorted start/end pairs)."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    """Overlapping or touching intervals of a document merged: doc_id, text_key, runs (sorted start/end pairs)."""
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col("start") > before + 1), 1).otherwise(0)
     islands = covers.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
-    runs = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    runs = islands.groupBy("doc_id", "text_key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def without_runs(text: Column, runs: Column) -> Column:
@@ -72,22 +77,22 @@ def without_runs(text: Column, runs: Column) -> Column:
 
 
 def removal_runs(texts: DataFrame) -> DataFrame:
-    """run_id, runs: the line intervals that each document loses; documents that lose none are not listed."""
+    """run_id, run_key, runs: the line intervals that each document loses; documents that lose none are not listed."""
     windows = stored(line_windows(texts), "line-windows")
-    return merged_runs(later_windows(windows)).withColumnRenamed("doc_id", "run_id")
+    return merged_runs(later_windows(windows)).withColumnsRenamed({"doc_id": "run_id", "text_key": "run_key"})
 
 
 def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text (cleaned), n_lines, n_removed.
 
     Null texts count as empty and stay empty (one line, none removed).  Rows
-    with the same doc_id are one place in the order, so a repeated row removes
-    nothing from itself; both rows lose the union of what either loses.  Windows
-    overlap, so a line repeated over and over loses what any later window covers.
+    with the same doc_id and text are one place in the order, so a repeated row
+    removes nothing from itself; other texts of that doc_id, or without one, are
+    places of their own in the order of their digests.  Windows overlap, so a line repeated over and over loses what any later window covers.
     """
     texts = id_and_text(df, id_col, text_col)
     runs = removal_runs(texts)
-    both = texts.join(runs, texts["doc_id"].eqNullSafe(runs["run_id"]), "left")
+    both = texts.join(runs, texts["doc_id"].eqNullSafe(runs["run_id"]) & (_text_key() == runs["run_key"]), "left")
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)
     n_lines = F.size(_lines(F.col("text")))
     return both.select(
@@ -100,8 +105,11 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def with_clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later occurrences of lines taken out of its texts; all rows and columns stay."""
-    runs = removal_runs(id_and_text(df, id_col, text_col)).select(F.col("run_id").alias("_run_id"), F.col("runs").alias("_runs"))
-    both = df.join(runs, df[id_col].cast("long").eqNullSafe(F.col("_run_id")), "left")
+    runs = removal_runs(id_and_text(df, id_col, text_col)).select(
+        F.col("run_id").alias("_run_id"), F.col("run_key").alias("_run_key"), F.col("runs").alias("_runs")
+    )
     text = F.col(f"`{text_col}`")
+    own = df[id_col].cast("long").eqNullSafe(F.col("_run_id")) & (F.unhex(F.md5(df[text_col])) == F.col("_run_key"))
+    both = df.join(runs, own, "left")
     clean = F.when(F.col("_runs").isNull(), text).otherwise(without_runs(text, F.col("_runs")))
     return both.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in df.columns])
