@@ -7,7 +7,21 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, quality_rules, secrets, suffix_dedup, toxicity
+from prefspark.llm import (
+    bpe,
+    exact_dedup,
+    langid,
+    line_dedup,
+    ngram_join,
+    packing,
+    phrases,
+    quality_rules,
+    search,
+    secrets,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 from prefspark.llm.common import documents, sha256, vocabulary
 
 
@@ -62,8 +76,36 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return search.search(search.build_index(docs), docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_ngram_jaccard, op4_exact_dedup, op5_toxicity, op6_best_fit_packing, op7_secret_scan, op8_bpe, op9_language_id, op10_suffix_dedup)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_line_dedup,
+        op3_ngram_jaccard,
+        op4_exact_dedup,
+        op5_toxicity,
+        op6_best_fit_packing,
+        op7_secret_scan,
+        op8_bpe,
+        op9_language_id,
+        op10_suffix_dedup,
+        op11_phrase_mining,
+        op12_simhash,
+        op13_lexical_search,
+    )
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
@@ -156,5 +198,63 @@ WITH d AS (
 ),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+""",
+    "op11_phrase_mining": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, k AS m, words[i:i + k - 1] AS words, count(*) AS f
+  FROM starts, (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE i + k - 1 <= len(words) GROUP BY 1, 2, 3
+),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, words, f AS a FROM g WHERE m > 1 AND f >= 100),
+inner_ AS (
+  SELECT lang, words[i:i + k - 1] AS words, max(a) AS f
+  FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM c), (VALUES (2), (3), (4)) AS s(k)
+  WHERE k < m AND i + k - 1 <= m GROUP BY 1, 2
+),
+left_ AS (SELECT c.*, unnest(range(1, m)) AS k FROM c LEFT JOIN inner_ USING (lang, words) WHERE f IS NULL OR f < a),
+cuts AS (
+  SELECT c.lang, c.words, c.a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM left_ AS c JOIN n USING (lang)
+  JOIN g AS x ON x.lang = c.lang AND x.words = c.words[1:k]
+  JOIN g AS y ON y.lang = c.lang AND y.words = c.words[k + 1:]
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS p FROM cuts) WHERE p = 1),
+ranked AS (
+  SELECT *, array_to_string(words, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+""",
+    "op13_lexical_search": r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+),
+q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+  ) GROUP BY 1, 2
+),
+size AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM size),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), whole
+),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * n_docs) // n_terms AS m FROM size, whole),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY 1, 2
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 """,
 }
