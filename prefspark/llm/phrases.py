@@ -16,7 +16,7 @@ integers.  Frontier phrases are sent to the tasks in blocks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prefspark.llm.common import stored
+from prefspark.session import discard, scratch_path
 
 UNKNOWN = "und"
 #: Ends a piece; no word can hold it.
@@ -37,6 +38,7 @@ _TABLE = bytes(
 )
 #: Bytes of text whose words get ids together.
 SLICE = 8 << 20
+_GROWN = ["parent", "word", "n", "low", "high"]
 #: Widest phrase that a padded slice allows for.
 PAD = 16
 
@@ -48,6 +50,7 @@ class Mining:
     first_words: first words that a language expands in its first round, and
     growth: how many times more in each later one.  They decide how much work a
     round has and never the result.  block: phrases sent to the tasks at a time.
+    shares: pairs of at most one in so many words are counted at a time.
     """
 
     longest: int = 5
@@ -56,6 +59,7 @@ class Mining:
     first_words: int = 8000
     growth: int = 4
     block: int = 200_000
+    shares: int = 4
 
 
 def _cut(text: bytes, size: int) -> Iterator[bytes]:
@@ -124,7 +128,8 @@ def coded(slices: DataFrame, frequent: DataFrame) -> DataFrame:
     Rare words end phrases as a piece's end does: no candidate holds one.
     """
     words = slices.select("slice", "lang", F.posexplode("words").alias("at", "word"))
-    known = words.join(frequent, ["lang", "word"]).groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("gid", "f", "at"))).alias("known"))
+    entry = F.when(F.col("gid").isNotNull(), F.struct("gid", "f", "at"))
+    known = words.join(frequent, ["lang", "word"], "left").groupBy("slice").agg(F.sort_array(F.collect_list(entry)).alias("known"))
     joined = slices.select("slice", "lang", "ids", F.size("words").alias("n_words")).join(known, "slice")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,48 +191,30 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
             yield Slice(lang, np.frombuffer(gids, np.int64), np.frombuffer(counts, np.int64), np.concatenate([ends, np.frombuffer(ids, np.int32), ends]))
 
 
-def _grown(slices: DataFrame, width: int, starts: Callable[[Slice], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """Phrases one word longer: parent, word, n, and the least and greatest word before them (0: none or rare).
+def _following(part: Slice, place: np.ndarray, number: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (phrase number, next word's gid) of the phrases at ``place``, and their counts."""
+    word = part.ids[place + width]
+    wide = np.int64(len(part.gids) + 1)
+    key, n = np.unique((number * wide + word)[word > 0], return_counts=True)
+    return key // wide, part.gids[key % wide - 1], n
 
-    ``starts`` gives the places of phrases of ``width`` words, a number per
-    phrase, and the parent id of each number.
-    """
+
+def _pairs(slices: DataFrame, ranges: dict[str, tuple[int, int]], block: int, blocks: int) -> DataFrame:
+    """parent, word, n: phrases of two words whose first word's count lies in the language's range; one of ``blocks`` shares of them by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            place, number, parents = starts(part)
-            following = part.ids[place + width]
-            place, number, following = place[following > 0], number[following > 0], following[following > 0]
-            if not len(place):
-                continue
-            wide = np.int64(len(part.gids) + 1)
-            key = number * wide + following
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            before = np.concatenate([[0], part.gids])[part.ids[place[order] - 1]]
-            columns = [
-                parents[key[first] // wide],
-                part.gids[key[first] % wide - 1],
-                np.diff(np.append(first, len(key))),
-                np.minimum.reduceat(before, first),
-                np.maximum.reduceat(before, first),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["parent", "word", "n", "low", "high"])
-
-    return slices.mapInArrow(run, "parent long, word long, n long, low long, high long")
-
-
-def _pairs(slices: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
-    """Phrases of two words whose first word's count lies in the language's range."""
-
-    def starts(part: Slice):
-        low, high = ranges.get(part.lang, (0, 0))
-        first = np.concatenate([[False], (part.counts >= low) & (part.counts < high)])
-        place = np.flatnonzero(first[part.ids])
-        return place, part.ids[place].astype(np.int64) - 1, part.gids
-
-    return _grown(slices, 1, starts)
+            low, high = ranges.get(part.lang, (0, 0))
+            place = np.flatnonzero(np.concatenate([[False], (part.counts >= low) & (part.counts < high)])[part.ids])
+            if blocks > 1:
+                mixed = np.concatenate([[0], part.gids]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                both = (mixed[part.ids[place]] ^ (mixed[part.ids[place + 1]] >> np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9)
+                place = place[(both >> np.uint64(33)) % np.uint64(blocks) == block]
+            number, word, n = _following(part, place, part.ids[place].astype(np.int64) - 1, 1)
+            if len(n):
+                yield pa.RecordBatch.from_arrays([pa.array(part.gids[number]), pa.array(word), pa.array(n)], names=["parent", "word", "n"])
+
+    return slices.mapInArrow(run, "parent long, word long, n long")
 
 
 def _blocks(df: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
@@ -242,16 +229,31 @@ def _matrix(grams: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _longer(slices: DataFrame, phrases: DataFrame, width: int, block: int) -> DataFrame:
-    """Phrases one word longer than the given ones of ``width`` words."""
+    """Phrases one word longer than the given ones of ``width`` words: parent, word, n.
+
+    A row with word 0 is the phrase itself, with the least and greatest word that
+    comes before it (0: none or a rare one).
+    """
     parts = []
     for part in _blocks(phrases.select("node", "grams"), "node", block):
         table = part.toArrow()
         grams, nodes = _matrix(table["grams"], width), np.asarray(table["node"])
 
-        def starts(s: Slice, grams=grams, nodes=nodes):
-            return (*s.find(grams), nodes)
-
-        parts.append(_grown(slices, width, starts))
+        def run(batches: Iterator[pa.RecordBatch], grams=grams, nodes=nodes) -> Iterator[pa.RecordBatch]:
+            low, high = np.full(len(nodes), np.iinfo(np.int64).max), np.full(len(nodes), -1)
+            for s in _slices(batches):
+                place, number = s.find(grams)
+                before = np.concatenate([[0], s.gids])[s.ids[place - 1]]
+                np.minimum.at(low, number, before)
+                np.maximum.at(high, number, before)
+                number, word, n = _following(s, place, number, width)
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[number]), pa.array(word), pa.array(n), none, none], names=_GROWN)
+            met = np.flatnonzero(high >= 0)
+            zero = pa.array(np.zeros(len(met), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[met]), zero, zero, pa.array(low[met]), pa.array(high[met])], names=_GROWN)
+
+        parts.append(slices.mapInArrow(run, "parent long, word long, n long, low long, high long"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -293,43 +295,50 @@ def _ratio(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", above.cast("decimal(38,0)"), (_whole(left) * _whole(right)).cast("decimal(38,0)"))
 
 
-def _grow(slices: DataFrame, frequent: DataFrame, ranges: dict[str, tuple[int, int]], shape: Mining) -> DataFrame:
+def _grow(slices: DataFrame, frequent: DataFrame, ranges: dict[str, tuple[int, int]], shares: int, shape: Mining) -> DataFrame:
     """All candidates whose first word lies in its language's range and that no longer candidate swallows.
 
     lang, phrase, grams (word ids), before (counts of the phrase's beginnings, its own last), singles (counts of its words).
+    Phrases of two words, by far the most, are counted in ``shares``, one after the other.
     """
     word = frequent.select(F.col("gid").alias("word"), "lang", F.col("word").alias("name"), "f")
-    level = word.select(
+    first = word.select(
         F.col("word").alias("node"), "lang", F.col("name").alias("phrase"), F.array("word").alias("grams"), F.array("f").alias("before"), F.array("f").alias("singles")
     )
-    found, surviving = _pairs(slices, ranges), []
-    for width in range(2, shape.longest + 1):
-        counted = found.groupBy("parent", "word").agg(F.sum("n").alias("a"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("a") >= shape.least)
-        here = counted.join(level.withColumnRenamed("node", "parent"), "parent").join(word.drop("lang"), "word")
-        level_new = _number(
-            here.select(
-                "lang",
-                "parent",
-                "a",
-                # All occurrences follow the same word: the phrase with that word in front occurs as often.
-                ((F.col("low") == F.col("high")) & (F.col("low") > 0)).alias("led"),
-                F.concat_ws(" ", "phrase", "name").alias("phrase"),
-                F.concat("grams", F.array("word")).alias("grams"),
-                F.concat("before", F.array("a")).alias("before"),
-                F.concat("singles", F.array("f")).alias("singles"),
-            ),
-            "node",
-            f"phrases-{width}",
+
+    def level(counted: DataFrame, shorter: DataFrame, width: int) -> DataFrame:
+        joined = counted.where(F.col("a") >= shape.least).join(shorter.withColumnRenamed("node", "parent"), "parent").join(word.drop("lang"), "word")
+        extended = joined.select(
+            "lang",
+            "parent",
+            "a",
+            F.concat_ws(" ", "phrase", "name").alias("phrase"),
+            F.concat("grams", F.array("word")).alias("grams"),
+            F.concat("before", F.array("a")).alias("before"),
+            F.concat("singles", F.array("f")).alias("singles"),
         )
-        if width > 2:  # a phrase that always goes on the same way is swallowed too
-            same = level_new.select(F.col("parent").alias("node"), "a")
-            surviving[-1] = surviving[-1].join(same, ["node", "a"], "left_anti")
-        surviving.append(level_new.where(~F.col("led")) if width < shape.longest else level_new)
-        if width == shape.longest or level_new.isEmpty():
+        return _number(extended, "node", f"phrases-{width}")
+
+    pairs = []
+    for share in range(shares):
+        counted = _pairs(slices, ranges, share, shares).groupBy("parent", "word").agg(F.sum("n").alias("a"))
+        pairs.append(stored(counted.where(F.col("a") >= shape.least), "pair-counts"))
+    here, surviving = level(reduce(DataFrame.unionByName, pairs), first, 2), []
+    for width in range(2, shape.longest):
+        if here.isEmpty():
             break
-        level, found = level_new.drop("parent", "a", "led"), _longer(slices, level_new, width, shape.block)
+        grown = _longer(slices, here, width, shape.block).groupBy("parent", "word")
+        grown = stored(grown.agg(F.sum("n").alias("a"), F.min("low").alias("low"), F.max("high").alias("high")), "grown")
+        # Every occurrence follows the same word: the phrase with that word in front occurs as often.
+        led = grown.where("word = 0 AND low = high AND low > 0").select(F.col("parent").alias("node"))
+        longer = level(grown.where("word > 0").select("parent", "word", "a"), here.drop("parent", "a"), width + 1)
+        # So it does where it always goes on the same way.
+        same = longer.select(F.col("parent").alias("node"), "a")
+        surviving.append(here.join(led, "node", "left_anti").join(same, ["node", "a"], "left_anti"))
+        here = longer
+    surviving.append(here)
     columns = ["lang", "phrase", "grams", "before", "singles"]
-    return _number(reduce(DataFrame.unionByName, [s.select(*columns) for s in surviving]), "uid", "survivors")
+    return _number(reduce(DataFrame.unionByName, [x.select(*columns) for x in surviving]), "uid", "survivors")
 
 
 def _thresholds(scored: DataFrame, top: int) -> DataFrame:
@@ -372,18 +381,19 @@ def _scored(slices: DataFrame, phrases: DataFrame, totals: DataFrame, known: Dat
 
 
 class _Frontier:
-    """What a language has not expanded yet: ranges of first-word counts with their numbers of words, rarest first."""
+    """What a language has not expanded yet: ranges of first-word counts, rarest first, with their numbers of words and occurrences."""
 
-    def __init__(self, n: int, steps: list[tuple[int, int]], shape: Mining):
-        self.n, self.steps, self.words = n, steps, shape.first_words
+    def __init__(self, n: int, shape: Mining):
+        self.n, self.steps, self.words = n, [], shape.first_words
 
-    def advance(self, growth: int) -> tuple[int, int]:
-        """The counts [low, high) to expand now."""
-        low, taken = self.steps[0][0], 0
+    def advance(self, growth: int) -> tuple[tuple[int, int], int]:
+        """The counts [low, high) to expand now, and the occurrences of their words."""
+        low, taken, occurrences = self.steps[0][0], 0, 0
         while self.steps and (not taken or taken + self.steps[0][1] <= self.words):
-            taken += self.steps.pop(0)[1]
+            _, words, some = self.steps.pop(0)
+            taken, occurrences = taken + words, occurrences + some
         self.words *= growth
-        return low, self.steps[0][0] if self.steps else 2**62
+        return (low, self.steps[0][0] if self.steps else 2**62), occurrences
 
     def settled(self, last: int | None) -> bool:
         """Whether nothing left can reach the score of the last phrase wanted, not even as a tie."""
@@ -401,27 +411,32 @@ def collocations(df: DataFrame, shape: Mining = Mining(), lang_col: str = "lang"
     if shape.longest > PAD:
         raise ValueError(f"phrases of more than {PAD} words are not supported")
     texts = df.select(F.coalesce(df[lang_col], F.lit(UNKNOWN)).alias("lang"), df[text_col].alias("text"))
-    slices = stored(tokenized(texts), "slices")
+    spark = df.sparkSession
+    path = scratch_path(spark, "slices")
+    tokenized(texts).write.option("compression", "zstd").parquet(path)
+    slices = spark.read.parquet(path)
     counts = slices.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
     totals = stored(slices.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")), "totals")
     frequent = _number(counts.where(F.col("f") >= shape.least), "gid", "words")
     slices = stored(coded(slices, frequent), "coded")
+    discard(spark, path)
+    n_words = {row.lang: row.n for row in totals.collect()}
+    open_: dict[str, _Frontier] = {}
     # Sixteen steps for each doubling of the count: a few hundred rows per language.
     step = F.floor(16 * F.log2(F.col("f") / F.lit(shape.least)))
-    steps: dict[str, list[tuple[int, int]]] = {}
-    for row in frequent.groupBy("lang", step.alias("step")).agg(F.min("f").alias("low"), F.count("*").alias("words")).orderBy("low").collect():
-        steps.setdefault(row.lang, []).append((row.low, row.words))
-    n_words = {row.lang: row.n for row in totals.collect()}
-    open_ = {lang: _Frontier(n_words[lang], s, shape) for lang, s in steps.items()}
+    for row in frequent.groupBy("lang", step.alias("step")).agg(F.min("f").alias("low"), F.count("*").alias("words"), F.sum("f").alias("n")).orderBy("low").collect():
+        open_.setdefault(row.lang, _Frontier(n_words[row.lang], shape)).steps.append((row.low, row.words, row.n))
     scored = None
     while open_:
-        ranges = {lang: f.advance(shape.growth) for lang, f in open_.items()}
-        new = _scored(slices, _grow(slices, frequent, ranges, shape), totals, scored, shape)
+        moves = {lang: f.advance(shape.growth) for lang, f in open_.items()}
+        shares = -(-sum(n for _, n in moves.values()) * shape.shares // sum(n_words.values()))
+        grown = _grow(slices, frequent, {lang: r for lang, (r, _) in moves.items()}, shares, shape)
+        new = _scored(slices, grown, totals, scored, shape)
         scored = new if scored is None else scored.unionByName(new)
         last = {row.lang: row["last"] for row in _thresholds(scored, shape.top).collect()}
         open_ = {lang: f for lang, f in open_.items() if not f.settled(last.get(lang))}
     if scored is None:
-        return df.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+        return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= shape.top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
