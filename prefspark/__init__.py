@@ -11,6 +11,7 @@ from .operators.encoding import build_labels, encode, encode_prompts, pad_batche
 from .operators.flow import flow_metrics, flow_scores
 from .operators.grouping import generation_records, group_references, ordered_lists
 from .operators.judging import (
+    judge_until,
     judge_requests,
     sample_comparisons,
     slot_win_rates,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import judging, rand
-from .numbering import first_shuffled, running_sums, shuffled_numbers
+from ..session import materialize
+from .numbering import ShuffledOrder, first_shuffled, running_sums, shuffled_numbers
 
 
 def _tagged(seed, what: str, *parts) -> Column:
@@ -119,6 +123,45 @@ def sample_comparisons(valid: DataFrame, samples: int = 300, seed: int = 0) -> D
     return first_shuffled(valid, "sample_id", seed, samples)
 
 
+def judge_until(
+    requests: DataFrame,
+    ask: Callable[[DataFrame], DataFrame],
+    task: str,
+    n: int = 1,
+    samples: int = 300,
+    seed: int = 0,
+) -> DataFrame:
+    """The first ``samples`` valid comparisons in seeded order, judging few more than it takes.
+
+    ``ask`` maps requests to completions.  Samples are released to it in rounds,
+    in the seeded order: as many as are still missing, by the share that has been
+    valid so far.  The rounds end when there are enough or none is left.  All
+    samples before the last released one have been judged, so the rows are those
+    of judging everything; whatever the partitioning, the rounds are the same.
+    Each round's answers are stored, so no request is asked twice.  ``requests``
+    is read once per round: store it first if it is dear to compute.
+    """
+    order = ShuffledOrder(requests.select("sample_id").distinct(), "sample_id", seed)
+    valid, found, released, before = None, 0, 0, None
+    while found < samples and released < order.rows:
+        missing = samples - found
+        share = 1.0 if not released else max(found, 0.5) / released
+        # Twice the spread of how many of them will be valid, so that one more round is rare.
+        wanted = missing + 2 * math.sqrt(missing * (1 - min(share, 1.0)))
+        upto = released + math.ceil(wanted / share)
+        # One round says little about a small share: go on with what it supports.
+        released = min(upto, 4 * released or samples, order.rows)
+        place = order.place(released)
+        asked = requests.where(order.upto(place) & ~order.upto(before))
+        answered = materialize(ask(asked), "completions")
+        judged = materialize(verdicts(asked, answered, task, n), "verdicts")
+        found, before = found + judged.count(), place
+        valid = judged if valid is None else valid.unionByName(judged)
+    if valid is None:
+        return verdicts(requests, ask(requests.where("false")), task, n)
+    return sample_comparisons(valid, samples, seed)
+
+
 def slot_win_rates(valid: DataFrame) -> DataFrame:
     """Mean win per output slot."""
     slots = valid.select(F.posexplode("wins").alias("slot", "win"))
@@ -144,7 +187,8 @@ def running_win_stats(valid: DataFrame, seed: int = 0) -> DataFrame:
     """
     order = shuffled_numbers(valid.select("sample_id"), "sample_id", seed)
     numbered = valid.select("sample_id", "wins").join(order, "sample_id")
-    slots = numbered.select("sample_id", "row_no", F.posexplode("wins").alias("slot", "win"))
+    # Stored, as the sums read them for the cells, the offsets and the rows.
+    slots = materialize(numbered.select("sample_id", "row_no", F.posexplode("wins").alias("slot", "win")), "slots")
     summed = running_sums(slots, "row_no", {"won": F.col("win").cast("int")}, ["slot"])
     rate = F.col("won") / F.col("row_no")
     return summed.groupBy("sample_id", "row_no").agg(

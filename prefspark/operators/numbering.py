@@ -175,15 +175,50 @@ def take_proportion(df: DataFrame, proportion: float, key: str) -> DataFrame:
     return first_rows(df, key, F.bround(rows * F.lit(float(percent)) / 100.0, 0))
 
 
+class ShuffledOrder:
+    """A seeded random order of the rows of a unique key, to be read from its start.
+
+    Rows are counted once by the leading 16 bits of their digest, so finding the
+    row at any place sorts the keys of one cell only, and the rows before it are
+    a filter: neither rows nor keys are shuffled.  Rows without key have no place.
+    """
+
+    def __init__(self, df: DataFrame, key: str, seed):
+        self._keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"))
+        self.key, self.seed = key, seed
+        cells = self._keys.groupBy(F.substring(digest(seed, F.col("key")), 1, 4).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        # At most 65,536 rows, whatever the table's size.
+        self._cells = sorted((row.cell, row.n) for row in cells.collect())
+        self.rows = sum(n for _, n in self._cells)
+
+    def place(self, how_many: int) -> tuple | None:
+        """Digest and key of the ``how_many``-th row; None before the first."""
+        left = min(how_many, self.rows)
+        if left < 1:
+            return None
+        for cell, n in self._cells:
+            if left <= n:
+                break
+            left -= n
+        keyed = self._keys.select(digest(self.seed, F.col("key")).alias("h"), "key")
+        inside = keyed.where(F.substring("h", 1, 4) == cell).orderBy("h", "key").limit(left)
+        return tuple(inside.agg(F.max(F.struct("h", "key")).alias("last")).first()["last"])
+
+    def upto(self, place: tuple | None) -> Column:
+        """Whether a row comes no later than the place."""
+        if place is None:
+            return F.lit(False)
+        h, known = digest(self.seed, F.col(self.key)), F.col(self.key).isNotNull()
+        return known & ((h < place[0]) | ((h == place[0]) & (F.col(self.key) <= F.lit(place[1]))))
+
+
 def first_shuffled(df: DataFrame, key: str, seed, how_many: int) -> DataFrame:
     """The first ``how_many`` rows of a seeded random order (a sampling operator).
 
-    The rows come unordered.  They are cut by global row number, whatever their
-    number, so a sample never gathers in one task.
+    The rows come unordered, and unshuffled: see ``ShuffledOrder``.
     """
-    numbered = shuffled_numbers(df.select(key), key, seed)
-    chosen = numbered.where(F.col("row_no") <= how_many).select(key)
-    return df.join(chosen, key, "left_semi")
+    order = ShuffledOrder(df, key, seed)
+    return df.where(order.upto(order.place(how_many)))
 
 
 def assign_batches(

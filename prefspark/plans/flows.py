@@ -98,10 +98,8 @@ def win_rate_report(
 ) -> DataFrame:
     """Win rate over the first ``samples`` valid comparisons.
 
-    ``completions`` maps the request table to a completion table.  Requests and
-    completions are stored, so a judge is asked once, whatever is retried.
+    ``completions`` maps requests to a completion table; it gets them in rounds,
+    until there are enough valid ones (``judging.judge_until``).
     """
     requests = materialize(judging.judge_requests(records, task, mode, n, seed), "requests")
-    answered = materialize(completions(requests), "completions")
-    valid = judging.verdicts(requests, answered, task, n)
-    return judging.win_summary(judging.sample_comparisons(valid, samples, seed))
+    return judging.win_summary(judging.judge_until(requests, completions, task, n, samples, seed))

@@ -492,6 +492,10 @@ w AS (SELECT unnest(wins) AS win, unnest(range(2)) AS slot FROM top),
 sr AS (SELECT slot, avg(win::INT) AS rate FROM w GROUP BY slot)
 SELECT round(avg(rate), 6) AS mean, round(stddev_pop(rate) / sqrt(count(*)), 6) AS std_err,
        round(min(rate), 6) AS "min", round(max(rate), 6) AS "max" FROM sr"""
+ORACLES["judged_until_enough"] = f"""WITH {_judged(2)}
+SELECT ok.sample_id, rq.reference AS reference_response, array_to_string(wins, ' ') AS wins
+FROM ok JOIN rq ON rq.sample_id = ok.sample_id AND rq.slot = 1
+ORDER BY md5('0|' || ok.sample_id), ok.sample_id LIMIT 25"""
 ORACLES["running_win_stats"] = f"""WITH {_judged(2)},
 o2 AS (SELECT sample_id, wins, row_number() OVER (ORDER BY md5('0|' || sample_id), sample_id) AS row_no FROM ok),
 w AS (SELECT sample_id, row_no, unnest(wins) AS win, unnest(range(2)) AS slot FROM o2),

@@ -546,6 +546,14 @@ def win_rate(spark, sf):
     return rounded(report, "mean", "std_err", "min", "max")
 
 
+@query
+def judged_until_enough(spark, sf):
+    """A judge that is asked in rounds, until 25 samples have two valid votes each."""
+    requests = materialize(_requests(spark, sf, "hh", None, 2), "requests")
+    chosen = judging.judge_until(requests, lambda asked: tables.completions(asked, "hh"), "hh", 2, 25)
+    return chosen.select("sample_id", "reference_response", joined("wins"))
+
+
 @query
 def running_win_stats(spark, sf):
     stats = judging.running_win_stats(_valid(spark, sf, 2))
