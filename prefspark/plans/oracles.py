@@ -317,6 +317,32 @@ SELECT seq_id, pos, counted::BIGINT AS counted,
          - ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE / 0.7::DOUBLE)))) ELSE 0 END, 6) AS logp
 FROM k"""
 
+_SHARDED = f"""
+e AS (
+  SELECT vec_id // 8 AS seq_id, vec_id % 8 AS place, embedding,
+         CASE WHEN (vec_id % 8) * 3 < 8 THEN -100
+              ELSE {_bits('vec_id::VARCHAR')} % len(embedding) END AS label
+  FROM embeddings),
+s AS (
+  SELECT seq_id, place AS pos, embedding, lead(label) OVER (PARTITION BY seq_id ORDER BY place) AS following,
+         lead(label, 2) OVER (PARTITION BY seq_id ORDER BY place) AS after
+  FROM e),
+k AS (
+  SELECT seq_id, pos, embedding, CASE WHEN following = -100 THEN 0 ELSE following END AS y,
+         following <> -100 OR coalesce(after <> -100, false) AS counted
+  FROM s WHERE following IS NOT NULL)"""
+
+
+def _logp(sign: str, index: str, temperature: str) -> str:
+    x = f"{sign}x::DOUBLE / {temperature}::DOUBLE"
+    return f"{sign}embedding[{index}]::DOUBLE / {temperature}::DOUBLE - ln(list_sum(list_transform(embedding, lambda x: exp({x}))))"
+
+
+ORACLES["sharded_token_logps"] = f"""WITH {_SHARDED}
+SELECT seq_id, pos, counted::BIGINT AS counted, round({_logp('', 'y + 1', '0.7')}, 6) AS logp,
+       round({_logp('', '4', '1.5')}, 6) AS end_logp
+FROM k"""
+
 _TOKENS = f"""{_ASSISTANT},
 a AS (
   SELECT conv_id AS pair_id, 'chosen' AS side, text FROM m WHERE n >= 2 AND turn = l
@@ -420,6 +446,13 @@ fs AS (
          sum(reward) / count(*) FILTER (counted) AS reward,
          sum(pi - rho) AS kl
   FROM fl GROUP BY pair_id, side)"""
+ORACLES["flow_from_logits"] = f"""WITH {_SHARDED},
+lp AS (
+  SELECT seq_id AS pair_id, CASE WHEN seq_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, pos AS t, counted,
+         {_logp('', 'y + 1', '0.7')} AS pi, {_logp('-', 'y + 1', '0.7')} AS rho,
+         {_logp('', '4', '1.0')} AS pe, {_logp('-', '4', '2.0')} AS re
+  FROM k){_FLOW.removeprefix(_TOKENS)}
+SELECT pair_id, side, round(residual_loss, 6) AS residual_loss, round(reward, 6) AS reward, round(kl, 6) AS kl FROM fs"""
 for _name, _column in (("flow_residual", "residual_loss"), ("flow_rewards", "reward"), ("flow_kl", "kl")):
     ORACLES[_name] = f"WITH {_FLOW} SELECT pair_id, side, round({_column}, 6) AS {_column} FROM fs"
 ORACLES["flow_metrics"] = f"""WITH {_FLOW}

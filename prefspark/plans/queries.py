@@ -19,6 +19,7 @@ from ..operators import (
     flow,
     grouping,
     judging,
+    logits as sharded,
     metrics,
     numbering,
     plugins,
@@ -477,6 +478,31 @@ def _flow(spark: SparkSession, sf: str) -> DataFrame:
     return flow.flow_scores(tables.token_scores(spark, sf), alpha=0.1)
 
 
+@query
+def sharded_token_logps(spark, sf):
+    """Label and end-token log-probabilities from shards of ten values, at two temperatures in one pass."""
+    shards = sharded.shard_logits(tables.logits(spark, sf), 10)
+    scored = sharded.slide_counted(sharded.sharded_logps(shards, 0.7, end_id=3, end_temperature=1.5))
+    return rounded(
+        scored.select("seq_id", F.col("pos").cast("bigint").alias("pos"), "logp", "end_logp", F.col("counted").cast("bigint").alias("counted")),
+        "logp",
+        "end_logp",
+    )
+
+
+@query
+def flow_from_logits(spark, sf):
+    """Flow scores that start from two models' logits; the reference's are the policy's, negated."""
+    made = tables.logits(spark, sf)
+    other = made.withColumn("logits", F.transform("logits", lambda row: F.transform(row, lambda x: -x)))
+    policy = sharded.slide_counted(sharded.sharded_logps(sharded.shard_logits(made, 16), 0.7, end_id=3))
+    reference = sharded.sharded_logps(sharded.shard_logits(other, 16), 0.7, end_id=3, end_temperature=2.0)
+    sequences = sharded.flow_sequences(policy, reference, ["seq_id"])
+    sided = sequences.withColumn("side", F.when(F.col("seq_id") % 2 == 0, "chosen").otherwise("rejected"))
+    scores = flow.flow_scores(sided.withColumnRenamed("seq_id", "pair_id"), alpha=0.1)
+    return rounded(scores, "residual_loss", "reward", "kl")
+
+
 @query
 def flow_residual(spark, sf):
     return rounded(_flow(spark, sf).select("pair_id", "side", "residual_loss"), "residual_loss")
