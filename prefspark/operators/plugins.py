@@ -46,24 +46,38 @@ def generate(
     top_p: float = 0.95,
     seed: int = 0,
     column: str = "prompt",
+    batch_size: int | None = None,
+    top_k: int | None = None,
+    min_new_tokens: int | None = None,
+    max_new_tokens: int | None = None,
 ) -> DataFrame:
     """``sample_id, output_idx, output`` from the user's generator.
 
-    ``column`` is what the model reads: the prompt text or ``prompt_ids``.
+    ``column`` is what the model reads: the prompt text or ``prompt_ids``; it gets
+    at most ``batch_size`` prompts at a time, or those of an Arrow batch.  The
+    limits on tokens reach the model only where they are set.
     ``output_idx`` counts a sample's texts from 0; a model that returns another
     number of texts than ``n_samples`` per prompt is an error.
     """
 
+    if batch_size is not None and batch_size < 1:
+        raise ValueError("batch_size must be positive")
+    if None not in (min_new_tokens, max_new_tokens) and min_new_tokens > max_new_tokens:
+        raise ValueError("min_new_tokens is above max_new_tokens")
+    limits = {"top_k": top_k, "min_new_tokens": min_new_tokens, "max_new_tokens": max_new_tokens}
+    sampling = {"n": n_samples, "temperature": temperature, "top_p": top_p, "seed": seed}
+    sampling |= {name: value for name, value in limits.items() if value is not None}
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = batch_size or max(1, len(batch))
+            for start in range(0, len(batch), size):
+                yield batch.iloc[start : start + size]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loader()
-        for batch in batches:
-            texts = model(
-                batch[column].tolist(),
-                n=n_samples,
-                temperature=temperature,
-                top_p=top_p,
-                seed=seed,
-            )
+        for batch in pieces(batches):
+            texts = model(batch[column].tolist(), **sampling)
             if len(texts) != len(batch) or any(len(outs) != n_samples for outs in texts):
                 raise ValueError(f"the generator must return {n_samples} texts for each prompt")
             yield pd.DataFrame(

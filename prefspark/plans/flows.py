@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import adapters, diversity, encoding, grouping, judging, numbering, plugins
-from ..session import materialize
+from ..session import materialize, shuffle_partitions
+from ..sources.ledger import Ledger
 
 
 def training_batches(
@@ -75,6 +78,64 @@ def generate_records(
     return grouping.generation_records(prompts, materialize(outputs, "outputs"))
 
 
+#: What a generation ledger holds.
+OUTPUTS = "sample_id bigint, output_idx bigint, output string, settings string"
+
+
+def generate_resumable(
+    raw: DataFrame,
+    task: str,
+    loader,
+    path: str,
+    batch_size: int = 256,
+    batches_per_commit: int = 100,
+    max_commits: int | None = None,
+    context_length: int | None = None,
+    stop: str | None = None,
+    tokenizer=None,
+    **sampling,
+) -> DataFrame:
+    """``generate_records`` that keeps what is finished in the ledger at ``path``.
+
+    Batches of prompts are generated in order, ``batches_per_commit`` of them at
+    a time, and each such commit is kept in full or not at all.  A run that was
+    killed, or ended after ``max_commits``, is continued by calling this again:
+    prompts in the ledger do not reach the model again, only those of the commit
+    that was not finished do.  New prompts are added the same way.  The records
+    are those of one undisturbed run, as far as the ledger has come.  Going on
+    with other sampling settings is an error.
+    """
+    if batches_per_commit < 1:
+        raise ValueError("batches_per_commit must be positive")
+    spark = raw.sparkSession
+    ledger = Ledger(spark, path, OUTPUTS)
+    ledger.clear_unfinished()
+    settings = json.dumps({**sampling, "context_length": context_length, "stop": stop}, sort_keys=True)
+    other = ledger.read().where(F.col("settings") != settings).select("settings").head()
+    if other is not None:
+        raise ValueError(f"the ledger at {path} was made with {other.settings}, not {settings}")
+    source = grouping.group_references(raw) if task == "tldr" else raw
+    prompts = adapters.adapt(source, f"{task}_prompt_only")
+    column, asked = "prompt", prompts
+    if context_length is not None:
+        asked, column = encoding.encode_prompts(prompts, context_length, tokenizer), "prompt_ids"
+    heads = (asked.where("part = 0") if "part" in asked.columns else asked).select("sample_id", column)
+    missing = heads.join(ledger.read().select("sample_id").distinct(), "sample_id", "left_anti")
+    todo = materialize(numbering.assign_batches(missing, batch_size, "sample_id"), "to-generate")
+    last = todo.agg(F.max("batch_id").alias("batch")).first().batch
+    for at, start in enumerate(range(0, 0 if last is None else last + 1, batches_per_commit)):
+        if max_commits is not None and at >= max_commits:
+            break
+        part = todo.where(F.col("batch_id").between(start, start + batches_per_commit - 1))
+        # A batch stays in one task; the number is given, so that small partitions are not put together.
+        dealt = part.repartition(min(batches_per_commit, shuffle_partitions(spark)), "batch_id").sortWithinPartitions("batch_id", "sample_id")
+        outputs = plugins.generate(dealt, loader, column=column, batch_size=batch_size, **sampling)
+        if stop is not None:
+            outputs = outputs.withColumn("output", F.substring_index("output", stop, 1))
+        ledger.append(outputs.withColumn("settings", F.lit(settings)))
+    return grouping.generation_records(prompts, ledger.read().drop("settings"))
+
+
 def output_rows(records: DataFrame) -> DataFrame:
     """One row per generated text of the hand-over records."""
     each = records.select("sample_id", "outputs_from", F.posexplode("outputs").alias("at", "output"))

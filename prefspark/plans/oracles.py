@@ -161,6 +161,13 @@ g AS (
   FROM t GROUP BY prompt)
 SELECT sample_id, size || ' characters, sample 0 | ' || size || ' characters, sample 1' AS outputs,
        n_references FROM g"""
+ORACLES["resumed_generation"] = f"""WITH {_TLDR},
+g AS (
+  SELECT min(row_idx) AS sample_id, count(*) AS n_references,
+         length('<|im_start|>user' || chr(10) || prompt || '<|im_end|><|im_start|>assistant' || chr(10)) AS size
+  FROM t GROUP BY prompt)
+SELECT sample_id, size || ' characters, sample 0, top 40 | ' || size || ' characters, sample 1, top 40' AS outputs,
+       n_references FROM g"""
 ORACLES["load_split"] = f"""WITH {_TLDR}
 SELECT row_idx, 'valid1' AS split, length(chosen) AS chosen_chars FROM t WHERE lang <> 'en'"""
 ORACLES["rows_by_id"] = """

@@ -638,6 +638,22 @@ def embed_outputs_diversity(spark, sf):
     return rounded(div.diversity(outputs, "sample_id", "embedding"), "diversity")
 
 
+@query
+def resumed_generation(spark, sf):
+    """Generation that ends after one commit and is then continued: the records of one run."""
+
+    def loader():
+        return lambda prompts, n, **sampling: [
+            [f"{len(p)} characters, sample {i}, top {sampling['top_k']}" for i in range(n)] for p in prompts
+        ]
+
+    path, raw = scratch_path(spark, "ledger"), tables.tldr_raw(spark, sf)
+    how = {"batch_size": 32, "n_samples": 2, "top_k": 40, "min_new_tokens": 1, "max_new_tokens": 64}
+    flows.generate_resumable(raw, "tldr", loader, path, batches_per_commit=2, max_commits=1, **how)
+    made = flows.generate_resumable(raw, "tldr", loader, path, **how)
+    return made.select("sample_id", F.array_join("outputs", " | ").alias("outputs"), F.size("references").cast("bigint").alias("n_references"))
+
+
 @query
 def generate_plugin(spark, sf):
     """A user's generator on the grouped prompts, two samples each."""
