@@ -90,8 +90,8 @@ def word_ids(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 
 
 def tokenized(texts: DataFrame, size: int = SLICE) -> DataFrame:
-    """Slices of one language each: slice, lang, words, counts, ids (int32)."""
-    names = ["slice", "lang", "words", "counts", "ids"]
+    """Slices of one language each: slice, lang, size, words, counts, ids (int32, packed, as they are shuffled once)."""
+    names = ["slice", "lang", "size", "words", "counts", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, waiting, sizes = TaskContext.get().partitionId() << 33, {}, {}
@@ -104,7 +104,7 @@ def tokenized(texts: DataFrame, size: int = SLICE) -> DataFrame:
             counts = np.bincount(ids, minlength=len(words) + 1)[1:]
             ends = pa.array([0, len(words)], pa.int32())
             lists = [pa.ListArray.from_arrays(ends, x) for x in (words, pa.array(counts, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([lang]), *lists, pa.array([ids.tobytes()], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([lang]), pa.array([len(ids)]), *lists, pa.array([pa.compress(ids, "zstd", asbytes=True)], pa.binary())], names=names)
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
@@ -119,7 +119,7 @@ def tokenized(texts: DataFrame, size: int = SLICE) -> DataFrame:
         for name in list(waiting):
             yield flush(name)
 
-    return texts.mapInArrow(run, "slice long, lang string, words array<string>, counts array<long>, ids binary")
+    return texts.mapInArrow(run, "slice long, lang string, size long, words array<string>, counts array<long>, ids binary")
 
 
 def coded(slices: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -130,13 +130,14 @@ def coded(slices: DataFrame, frequent: DataFrame) -> DataFrame:
     words = slices.select("slice", "lang", F.posexplode("words").alias("at", "word"))
     entry = F.when(F.col("gid").isNotNull(), F.struct("gid", "f", "at"))
     known = words.join(frequent, ["lang", "word"], "left").groupBy("slice").agg(F.sort_array(F.collect_list(entry)).alias("known"))
-    joined = slices.select("slice", "lang", "ids", F.size("words").alias("n_words")).join(known, "slice")
+    joined = slices.select("slice", "lang", "size", "ids", F.size("words").alias("n_words")).join(stored(known, "known"), "slice")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, raw, n_words = (batch.column(k)[i].as_py() for k in range(3))
-                entries = batch.column(3)[i].values
+                lang, size, packed, n_words = (batch.column(k)[i].as_py() for k in range(4))
+                raw = pa.decompress(packed, 4 * size, "zstd", asbytes=True) if size else b""
+                entries = batch.column(4)[i].values
                 gids, counts, at = (np.asarray(entries.field(k)) for k in range(3))
                 new = np.zeros(n_words + 1, np.int32)
                 new[at + 1] = np.arange(1, len(at) + 1)
@@ -146,7 +147,7 @@ def coded(slices: DataFrame, frequent: DataFrame) -> DataFrame:
                     names=["lang", "gids", "counts", "ids"],
                 )
 
-    return joined.select("lang", "ids", "n_words", "known").mapInArrow(run, "lang string, gids binary, counts binary, ids binary")
+    return joined.select("lang", "size", "ids", "n_words", "known").mapInArrow(run, "lang string, gids binary, counts binary, ids binary")
 
 
 @dataclass
@@ -384,20 +385,20 @@ class _Frontier:
     """What a language has not expanded yet: ranges of first-word counts, rarest first, with their numbers of words and occurrences."""
 
     def __init__(self, n: int, shape: Mining):
-        self.n, self.steps, self.words = n, [], shape.first_words
+        self.n, self.steps, self.words, self.last = n, [], shape.first_words, None
 
     def advance(self, growth: int) -> tuple[tuple[int, int], int]:
-        """The counts [low, high) to expand now, and the occurrences of their words."""
+        """The counts [low, high) to expand now, and the occurrences of their words; nothing that is below the last wanted score already."""
         low, taken, occurrences = self.steps[0][0], 0, 0
-        while self.steps and (not taken or taken + self.steps[0][1] <= self.words):
+        while not taken or not self.settled() and taken + self.steps[0][1] <= self.words:
             _, words, some = self.steps.pop(0)
             taken, occurrences = taken + words, occurrences + some
         self.words *= growth
         return (low, self.steps[0][0] if self.steps else 2**62), occurrences
 
-    def settled(self, last: int | None) -> bool:
+    def settled(self) -> bool:
         """Whether nothing left can reach the score of the last phrase wanted, not even as a tie."""
-        return not self.steps or (last is not None and 1000 * self.n // self.steps[0][0] < last)
+        return not self.steps or (self.last is not None and 1000 * self.n // self.steps[0][0] < self.last)
 
 
 def collocations(df: DataFrame, shape: Mining = Mining(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -433,8 +434,9 @@ def collocations(df: DataFrame, shape: Mining = Mining(), lang_col: str = "lang"
         grown = _grow(slices, frequent, {lang: r for lang, (r, _) in moves.items()}, shares, shape)
         new = _scored(slices, grown, totals, scored, shape)
         scored = new if scored is None else scored.unionByName(new)
-        last = {row.lang: row["last"] for row in _thresholds(scored, shape.top).collect()}
-        open_ = {lang: f for lang, f in open_.items() if not f.settled(last.get(lang))}
+        for row in _thresholds(scored, shape.top).where(F.col("lang").isin(list(open_))).collect():
+            open_[row.lang].last = row["last"]
+        open_ = {lang: f for lang, f in open_.items() if not f.settled()}
     if scored is None:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
