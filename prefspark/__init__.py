@@ -11,13 +11,14 @@ from .operators.encoding import build_labels, encode, encode_prompts, pad_batche
 from .operators.flow import flow_metrics, flow_scores
 from .operators.grouping import generation_records, group_references, ordered_lists
 from .operators.judging import (
-    judge_until,
     judge_requests,
+    judge_until,
     sample_comparisons,
     slot_win_rates,
     verdicts,
     win_summary,
 )
+from .operators.logits import flow_sequences, shard_logits, sharded_logps, slide_counted
 from .operators.metrics import (
     count_examples,
     eval_mean,
