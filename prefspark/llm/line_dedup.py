@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prefspark.functions.binding import bind
-from prefspark.llm.common import id_and_text, stored
+from prefspark.llm.common import id_and_text, stored, unused
 
 WINDOW = 3
 
@@ -105,11 +105,11 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def with_clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later occurrences of lines taken out of its texts; all rows and columns stay."""
-    runs = removal_runs(id_and_text(df, id_col, text_col)).select(
-        F.col("run_id").alias("_run_id"), F.col("run_key").alias("_run_key"), F.col("runs").alias("_runs")
-    )
+    names = {name: unused(df, name) for name in ("run_id", "run_key", "runs")}
+    runs = removal_runs(id_and_text(df, id_col, text_col)).withColumnsRenamed(names)
+    run_id, run_key, found = (F.col(name) for name in names.values())
     text = F.col(f"`{text_col}`")
-    own = df[id_col].cast("long").eqNullSafe(F.col("_run_id")) & (F.unhex(F.md5(df[text_col])) == F.col("_run_key"))
+    own = df[id_col].cast("long").eqNullSafe(run_id) & (F.unhex(F.md5(df[text_col])) == run_key)
     both = df.join(runs, own, "left")
-    clean = F.when(F.col("_runs").isNull(), text).otherwise(without_runs(text, F.col("_runs")))
+    clean = F.when(found.isNull(), text).otherwise(without_runs(text, found))
     return both.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in df.columns])

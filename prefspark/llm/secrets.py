@@ -13,7 +13,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prefspark.llm.common import id_and_text, stored
+from prefspark.llm.common import id_and_text, stored, unused
 
 KEYED = r"""(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?"""
 CANDIDATE = KEYED + r"""[^\s"']{6,}|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"""
@@ -24,8 +24,10 @@ SECRET_WORDS = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|credential|pri
 HARMLESS_WORDS = r"(?i)\b(sha\d*|hash|commit|checksum|digest|uuid|isbn|phone|tel|card|order|invoice|example|sample|dummy)\b"
 #: Characters of text on each side of a candidate that are looked at.
 BESIDE = 80
-#: Bounds of the model: labelled findings it is trained on, words of its dictionary.
-TRAINING_ROWS, DICTIONARY_WORDS = 20_000, 20_000
+#: Labelled findings that the forest is trained on: the bound of its sample.
+TRAINING_ROWS = 20_000
+#: A word is in the dictionary if it stands beside candidates so often.
+DICTIONARY_COUNT = 3
 THRESHOLD = 0.5
 FEATURES = (
     "length", "transition", "class_changes", "distinct_share", "digit_share", "upper_share", "dictionary_share", "slashes", "in_path", "keyed", "secret_words", "harmless_words", "quoted"
@@ -71,15 +73,15 @@ def _pairs(text: Column) -> Column:
 def value_features(found: DataFrame) -> DataFrame:
     """value, transition, dictionary_share of each distinct value.
 
-    Both tables that these need are bounded: 28 x 28 character pairs, and the
-    most frequent words beside candidates.
+    The odds of 28 x 28 character pairs are broadcast; the dictionary, every word
+    that is not rare beside candidates, meets the values by a shuffle.
     """
     words = found.select(F.explode(F.split(F.lower(F.concat_ws(" ", "before", "after")), "[^a-z]+")).alias("word")).where("char_length(word) >= 2")
     counted = stored(words.groupBy("word").agg(F.count("*").alias("n")), "context-words")
     pairs = counted.select("n", _pairs(F.col("word")).alias("pair")).where("char_length(pair) = 2").groupBy("pair").agg(F.sum("n").alias("n"))
     lead = Window.partitionBy(F.substring("pair", 1, 1))
     odds = pairs.select("pair", F.log2(F.col("n") / F.sum("n").over(lead)).alias("odds"))
-    dictionary = counted.where("char_length(word) >= 3").orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word")
+    dictionary = counted.where((F.char_length("word") >= 3) & (F.col("n") >= DICTIONARY_COUNT)).select("word")
     values = stored(found.select("value").distinct(), "values")
     transitions = (
         values.select("value", _pairs(_plain(F.col("value"))).alias("pair"))
@@ -88,7 +90,7 @@ def value_features(found: DataFrame) -> DataFrame:
         .agg(F.avg(F.coalesce("odds", F.lit(-12.0))).alias("transition"))
     )
     runs = F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")
-    covered = values.select("value", runs).join(F.broadcast(dictionary), "word").groupBy("value").agg(F.sum(F.char_length("word")).alias("covered"))
+    covered = values.select("value", runs).join(dictionary, "word").groupBy("value").agg(F.sum(F.char_length("word")).alias("covered"))
     share = F.coalesce("covered", F.lit(0)) / F.char_length("value")
     return transitions.join(covered, "value", "left").select("value", "transition", share.alias("dictionary_share"))
 
@@ -174,10 +176,12 @@ def redact(df: DataFrame, secrets: DataFrame, id_col: str = "doc_id", text_col:
     ``secrets``: doc_id, start, length of spans to replace.  They do not overlap;
     spans that repeated rows gave twice count once.
     """
-    spans = secrets.select(F.col("doc_id").alias("_span_id"), F.struct("start", "length").alias("span")).groupBy("_span_id").agg(F.array_sort(F.collect_set("span")).alias("_spans"))
+    span_id, found = unused(df, "span_id"), unused(df, "spans")
+    span = F.struct("start", "length")
+    spans = secrets.groupBy(F.col("doc_id").alias(span_id)).agg(F.array_sort(F.collect_set(span)).alias(found))
     text = F.col(f"`{text_col}`")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["start"] + s["length"]))
-    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(found, lambda s: s["start"] + s["length"]))
+    ends = F.concat(F.transform(found, lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-    joined = df.join(spans, df[id_col].cast("long") == F.col("_span_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(pieces, mark))).select(*[F.col(f"`{c}`") for c in df.columns])
+    joined = df.join(spans, df[id_col].cast("long") == F.col(span_id), "left")
+    return joined.withColumn(text_col, F.when(F.col(found).isNull(), text).otherwise(F.array_join(pieces, mark))).select(*[F.col(f"`{c}`") for c in df.columns])

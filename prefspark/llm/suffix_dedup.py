@@ -215,25 +215,30 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
 
 
 def cut_out(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(piece, anchor, doc_id, start, content): the bytes of each run's windows; piece is their digest."""
+    """(piece, anchor, doc_id, text_key, start, content): the bytes of each run's windows; piece is their digest.
+
+    Texts of one doc_id are told apart by ``text_key``; each is cut at the places
+    of all of them, and what is cut is judged by its own bytes.
+    """
     listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places"))
     columns = [F.col(f"places.{c}").alias(f"{c}s") for c in ("anchor", "start", "windows")]
-    joined = texts.join(listed, "doc_id").select("doc_id", "text", *columns)
+    joined = texts.join(listed, "doc_id").select("doc_id", F.xxhash64("text").alias("text_key"), "text", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, 4 << 20):
                 out = []
-                for doc, text, *runs in zip(*(part.column(k).to_pylist() for k in range(5))):
+                for doc, key, text, *runs in zip(*(part.column(k).to_pylist() for k in range(6))):
                     data = text.encode("utf-8", "surrogatepass")
                     for anchor, start, windows in zip(*runs):
                         content = data[start : start + windows + LENGTH - 1]
-                        out.append((hashlib.md5(content).digest(), anchor, doc, start, content))
-                columns = list(zip(*out)) or [[]] * 5
-                types = pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["piece", "anchor", "doc_id", "start", "content"])
+                        out.append((hashlib.md5(content).digest(), anchor, doc, key, start, content))
+                columns = list(zip(*out)) or [[]] * 6
+                types = pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+                names = ["piece", "anchor", "doc_id", "text_key", "start", "content"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return joined.mapInArrow(run, "piece binary, anchor long, doc_id long, start long, content binary")
+    return joined.mapInArrow(run, "piece binary, anchor long, doc_id long, text_key long, start long, content binary")
 
 
 def first_documents(contents: list[bytes], first: np.ndarray, memory_items: int = MEMORY_ITEMS) -> list[tuple[int, int, int, int]]:
@@ -285,7 +290,7 @@ def window_verdicts(contents: DataFrame) -> DataFrame:
 
 
 def removed_windows(pieces: DataFrame, shard_bytes: int = SHARD_BYTES, memory_items: int = MEMORY_ITEMS) -> DataFrame:
-    """(doc_id, start, end): byte intervals covered by windows of an earlier document; end is the last byte."""
+    """(doc_id, text_key, start, end): byte intervals covered by windows of an earlier document; end is the last byte."""
     contents = stored(pieces.groupBy("content", "anchor").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "contents")
     sizes = stored(contents.groupBy("anchor").agg(F.sum(F.octet_length("content") + 1).alias("size")), "anchor-sizes")
     # At most one anchor for each shard of contents, so the list may be broadcast.
@@ -309,8 +314,8 @@ def removed_windows(pieces: DataFrame, shard_bytes: int = SHARD_BYTES, memory_it
     dealt = contents.join(large, is_large, "left_anti").repartition(shards, "anchor").select("content", "first", "n")
     sorted_out = dealt.mapInArrow(run, "piece binary, from long, to long, least long")
     verdicts = stored(sorted_out.unionByName(window_verdicts(contents.join(large, is_large, "left_semi"))), "verdicts")
-    hits = pieces.select("piece", "doc_id", "start").join(verdicts, "piece").where("least < doc_id")
-    return hits.select("doc_id", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + LENGTH - 1).alias("end"))
+    hits = pieces.select("piece", "doc_id", "text_key", "start").join(verdicts, "piece").where("least < doc_id")
+    return hits.select("doc_id", "text_key", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + LENGTH - 1).alias("end"))
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -329,7 +334,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A byte goes if a 50-byte string that covers it also starts in a document with
     a smaller doc_id; strings are judged on the input.  Repeats inside a document
-    and between rows of one doc_id stay, and so does a document without doc_id.
+    and between rows of one doc_id stay, and so does a document without doc_id;
+    different texts of one doc_id lose only what is in them.
     Null texts are empty.  ``kept`` may cut a UTF-8 sequence, so it is binary.
     """
     texts = id_and_text(df, id_col, text_col)
@@ -339,8 +345,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = stored(repeated_runs(anchors(known, bucket_bits)), "repeated-runs")
     pieces = stored(cut_out(known, places), "pieces")
     covers = removed_windows(pieces, shard_bytes)
-    runs = covers.groupBy(F.col("doc_id").alias("run_id")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    runs = stored(runs.select("run_id", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends")), "removed-runs")
+    runs = covers.groupBy(F.col("doc_id").alias("run_id"), "text_key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = stored(runs.select("run_id", "text_key", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends")), "removed-runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,5 +363,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
                 )
 
-    both = texts.join(runs, F.col("doc_id") == F.col("run_id"), "left").select("doc_id", "text", "starts", "ends")
+    own = (F.col("doc_id") == F.col("run_id")) & (F.xxhash64("text") == F.col("text_key"))
+    both = texts.join(runs, own, "left").select("doc_id", "text", "starts", "ends")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -11,6 +11,7 @@ summed evidence give the score as odds.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +25,10 @@ from prefspark.llm.common import id_and_text, stored
 
 #: Shortest and longest word beginning that can become an entry.
 STEM_LENGTHS = (4, 16)
-#: Candidates and entries of the lexicon: bounds of the model, not of the data it learns from.
-CANDIDATES, ENTRIES = 4000, 500
-#: Labelled texts that the lexicon is learned from, and toxic ones from which its cover is chosen.
-LEARNING_ROWS, COVER_ROWS = 50_000, 20_000
+#: Toxic texts that a beginning needs, and new ones that it must add to the cover.
+SUPPORT, NEW_TEXTS = 3, 2
+#: Labelled texts of each label that the lexicon is learned from, and toxic ones from which its cover is chosen.
+LEARNING_ROWS, COVER_ROWS = 25_000, 20_000
 #: A beginning is this much likelier in toxic texts.
 LIFT = 8.0
 #: Entries of so many letters may be misspelled by one edit, or by two.
@@ -180,8 +181,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def learn_lexicon(rows: DataFrame) -> list[str]:
     """Entries from labelled rows (text, toxic).
 
-    All rows count for the candidates; the cover is chosen from a bounded number
-    of toxic texts, equal texts once, taken in the order of their digests.
+    All rows count for the candidates: beginnings in at least ``SUPPORT`` toxic
+    texts that are ``LIFT`` times as frequent in these, and more often than chance
+    would bring one of so many beginnings there (a likelihood ratio).  A beginning
+    that only one longer one continues in all its texts gives way to that.  The
+    cover is chosen from a bounded number of toxic texts, equal texts once, taken
+    in the order of their digests.
     """
     totals = rows.groupBy("toxic").count().collect()
     n = {int(r["toxic"]): r["count"] for r in totals}
@@ -195,12 +200,22 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
         .select(F.explode(F.transform(lengths, lambda k: F.substring("word", F.lit(1), k))).alias("stem"), "toxic", "clean")
         .groupBy("stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= max(3, n[1] // 500)) & (F.col("toxic") / n[1] >= LIFT * (F.col("clean") + 3) / n[0]))
+        .where(F.col("toxic") >= SUPPORT)
     )
-    candidates = [r["stem"] for r in stems.orderBy(F.desc("toxic"), F.desc(F.char_length("stem")), "stem").limit(CANDIDATES).collect()]
-    if not candidates:
+    stems = stored(stems, "stems")
+    tested = max(1, stems.count())
+    toxic, clean, both = F.col("toxic"), F.col("clean"), F.col("toxic") + F.col("clean")
+    rate = n[1] / (n[0] + n[1])
+    part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (both * share))).otherwise(0.0)
+    surprise = 2 * (part(toxic, rate) + part(clean, 1 - rate))
+    likely = (toxic / n[1] >= LIFT * (clean + 3) / n[0]) & (surprise >= 2 * float(np.log(tested)))
+    # The first so many letters of a longer beginning that has the same counts.
+    shorter = F.expr("substring(stem, 1, char_length(stem) - 1)").alias("shorter")
+    longer = stems.select(shorter, toxic.alias("same_toxic"), clean.alias("same_clean"))
+    same = (F.col("stem") == F.col("shorter")) & (toxic == F.col("same_toxic")) & (clean == F.col("same_clean"))
+    known = {r["stem"] for r in stems.where(likely).join(longer, same, "left_anti").select("stem").collect()}
+    if not known:
         return []
-    known = set(candidates)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,20 +242,24 @@ def greedy_cover(held: list[list[str]]) -> list[str]:
             where.setdefault(stem, set()).add(i)
     support = {stem: len(rows) for stem, rows in where.items()}
     chosen: list[str] = []
-    least = max(2, len(held) // 500)
-    left = {stem: set(rows) for stem, rows in where.items()}
-    while left and len(chosen) < ENTRIES:
-        stem = max(left, key=lambda s: (len(left[s]), len(s), s))
-        new = left.pop(stem)
-        if len(new) < least:
-            break
+    covered: set[int] = set()
+    # The number of new texts only falls, so a stem is counted again when its old number comes up.
+    order = lambda stem, new: (-new, -len(stem), [-ord(c) for c in stem], stem)
+    heap = [order(stem, len(rows)) for stem, rows in where.items()]
+    heapq.heapify(heap)
+    while heap and -heap[0][0] >= NEW_TEXTS:
+        before, *_, stem = heapq.heappop(heap)
+        new = where[stem] - covered
+        if len(new) < -before:
+            heapq.heappush(heap, order(stem, len(new)))
+            continue
         chosen.append(stem)
-        left = {s: rest for s, rows in left.items() if len(rest := rows - new) >= least}
+        covered |= new
     if chosen:
         usual = sorted(support[s] for s in chosen)[len(chosen) // 2]
         nested = lambda s: any(s.startswith(c) or c.startswith(s) for c in chosen)
         for stem in sorted(support, key=lambda s: (-support[s], -len(s), s)):
-            if 4 * support[stem] < usual or len(chosen) >= ENTRIES:
+            if 4 * support[stem] < usual:
                 break
             if not nested(stem):
                 chosen.append(stem)
@@ -248,7 +267,7 @@ def greedy_cover(held: list[list[str]]) -> list[str]:
 
 
 def find_matches(texts: DataFrame, entries: list[str]) -> DataFrame:
-    """(doc_id, entry, way, n, quoted) of every whole text; quoted: the share in a quoting context."""
+    """(text_key, entry, way, n, quoted) of every whole text; quoted: the share in a quoting context."""
     words = texts.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,28 +275,30 @@ def find_matches(texts: DataFrame, entries: list[str]) -> DataFrame:
         for batch in batches:
             for part in in_slices(batch):
                 out = [
-                    (doc, entry, way, n, quoted / n)
-                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+                    (key, entry, way, n, quoted / n)
+                    for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
                     for (entry, way), (n, quoted) in sorted(lexicon.matches(text).items())
                 ]
                 columns = list(zip(*out)) or [[]] * 5
-                types = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "entry", "way", "n", "quoted"])
+                types = pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.float64()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["text_key", "entry", "way", "n", "quoted"])
 
-    return texts.mapInArrow(run, "doc_id long, entry int, way int, n long, quoted double")
+    return texts.mapInArrow(run, "text_key binary, entry int, way int, n long, quoted double")
 
 
 def weigh(matches: DataFrame, labels: DataFrame) -> tuple[dict[tuple[int, int, int], float], float]:
     """Log-odds of each (entry, way, times) from all labelled training rows, and the factor of quoted matches.
 
+    ``labels``: text_key, toxic and clean, the numbers of training rows with that text.
+
     More matches never weigh less than fewer.
     Ways that training texts hardly show lean on the entry's exact matches, the
     less the more often clean texts have them.  What is collected is a few rows
     per entry.
     """
-    n = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    hits = matches.join(labels, "doc_id").groupBy("entry", "way", F.least("n", F.lit(TIMES)).alias("times"), (F.col("quoted") > 0.5).alias("is_quoted"))
-    rows = hits.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
+    n = labels.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    hits = matches.join(labels, "text_key").groupBy("entry", "way", F.least("n", F.lit(TIMES)).alias("times"), (F.col("quoted") > 0.5).alias("is_quoted"))
+    rows = hits.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     seen: dict[tuple[int, int, int], list[int]] = {}
     context = {True: [0, 0], False: [0, 0]}
     for r in rows:
@@ -287,7 +308,7 @@ def weigh(matches: DataFrame, labels: DataFrame) -> tuple[dict[tuple[int, int, i
         if r["way"] == EXACT:
             context[r["is_quoted"]][0] += r["toxic"]
             context[r["is_quoted"]][1] += r["clean"]
-    toxic, clean = max(1, n.get(1, 0)), max(1, n.get(0, 0))
+    toxic, clean = max(1, n["toxic"] or 0), max(1, n["clean"] or 0)
     odds = lambda t, c: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 1.5) / (clean + 1)))
     weights = {}
     for entry in {e for e, _, _ in seen}:
@@ -311,7 +332,9 @@ def toxicity(
 
     ``labels`` holds the rows to learn from; null labels and ids count for
     nothing, and a doc_id labelled twice is toxic if one label says so.  Null and
-    empty texts have no evidence and the lowest score; repeated rows score alike.
+    empty texts have no evidence and the lowest score.  A score depends on the
+    text alone, so equal texts score alike, and rows without doc_id, or different
+    texts of one doc_id, by what is in them.
     Without labels of both kinds every score is 0.  All texts are scored whole.
     """
     spark = df.sparkSession
@@ -323,29 +346,32 @@ def toxicity(
         .agg(F.max("toxic").alias("toxic"))
     )
     # A bounded number of ids, so the texts need not move to meet their labels.
-    some = stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARNING_ROWS), "learning-rows")
+    some = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARNING_ROWS) for k in (0, 1)]
+    some = stored(some[0].unionByName(some[1]), "learning-rows")
     entries = learn_lexicon(texts.join(F.broadcast(some), "doc_id").select("text", "toxic"))
     if not entries:
         return texts.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_entries"))
-    matches = stored(find_matches(texts, entries).distinct(), "lexicon-matches")
-    training = texts.select("doc_id").join(marks, "doc_id").distinct()
+    key = F.unhex(F.md5("text")).alias("text_key")
+    keys = stored(texts.select("doc_id", key), "text-keys")
+    matches = stored(find_matches(texts.select(key, "text"), entries).distinct(), "lexicon-matches")
+    labelled = keys.join(marks, "doc_id").distinct()
+    training = stored(labelled.groupBy("text_key").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")), "training-texts")
     weights, quoting = weigh(matches, training)
     table = spark.createDataFrame([(*k, v) for k, v in sorted(weights.items())], "entry int, way int, times long, weight double")
     counted = matches.withColumn("times", F.least("n", F.lit(TIMES)))
     worth = F.col("weight") * (1 - F.col("quoted") * F.lit(1 - quoting))
     evidence = (
         counted.join(F.broadcast(table), ["entry", "way", "times"])
-        .groupBy("doc_id", "entry")
+        .groupBy("text_key", "entry")
         .agg(F.max(worth).alias("worth"))
         .where("worth > 0")
-        .groupBy("doc_id")
+        .groupBy("text_key")
         .agg(F.least(F.sum("worth"), F.lit(12.0)).alias("evidence"), F.count("*").alias("n_entries"))
     )
     evidence = stored(evidence, "toxic-evidence")
     amount = F.coalesce("evidence", F.lit(0.0))
-    toxic = training.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
-    logit = amount + F.lit(float(np.log((toxic["toxic"] + 0.5) / (toxic["n"] - toxic["toxic"] + 0.5))))
-    found = evidence.withColumnRenamed("doc_id", "found_id")
-    return texts.select("doc_id").join(found, F.col("doc_id") == F.col("found_id"), "left").select(
+    seen = training.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    logit = amount + F.lit(float(np.log((seen["toxic"] + 0.5) / (seen["clean"] + 0.5))))
+    return keys.join(evidence, "text_key", "left").select(
         "doc_id", (1 / (1 + F.exp(-logit))).alias("score"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries")
     )
