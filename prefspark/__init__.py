@@ -6,8 +6,10 @@ Operators take and return DataFrames; functions take and return Columns.
 from .functions.chat import pick_template, render
 from .functions.judging import clean_response
 from .operators.adapters import adapt, register_adapter, to_paired, to_prompt_only, to_unpaired
+from .operators.asking import answers_of, ask_once
 from .operators.diversity import diversity, mean_std_err, row_diversity
 from .operators.encoding import build_labels, encode, encode_prompts, pad_batches, tokenize, truncate
+from .operators.epochs import EpochOrder, epoch_batches
 from .operators.flow import flow_metrics, flow_scores
 from .operators.grouping import generation_records, group_references, ordered_lists
 from .operators.judging import (
@@ -51,7 +53,8 @@ from .operators.preference import (
     token_logps,
 )
 from .operators.turns import example_rows, histories, messages
-from .sources.corpora import get_rows, load_preferences, scan_columns, split_name
+from .sources.corpora import dataset_len, get_rows, load_preferences, scan_columns, split_name, write_by_key
+from .sources.ledger import Ledger
 from .sources.records import (
     read_comparisons,
     read_generations,
@@ -61,6 +64,6 @@ from .sources.records import (
     write_json,
     write_metrics,
 )
-from .streaming.metrics import stream_eval_stats, stream_train_metrics
+from .streaming.metrics import stream_eval_stats, stream_train_metrics, stream_win_stats
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -279,6 +279,37 @@ SELECT doc_id, lang FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 10
 ORACLES["shuffled_batches"] = """
 SELECT event_id, (row_number() OVER (ORDER BY md5('3|' || event_id), event_id) - 1) // 16 AS batch_id
 FROM events"""
+
+
+def _epoch(epoch: int, seed: int = 3, size: int = 16) -> str:
+    """Places of an epoch: rounds in turn on both sides, and again while outside the table."""
+    push = lambda turn, side: f"('0x' || substr(md5('{seed}|{epoch}|{turn}|' || {side}), 1, 8))::BIGINT"
+
+    def image(source: str) -> str:
+        sides = f"SELECT *, x // w AS l, x % w AS r FROM ({source})"
+        for turn in range(4):
+            moved = f"(l + {push(turn, 'r')}) % h AS l" if turn % 2 == 0 else f"(r + {push(turn, 'l')}) % w AS r"
+            sides = f"SELECT * REPLACE ({moved}) FROM ({sides})"
+        return f"SELECT event_id, n, h, w, l * w + r AS x FROM ({sides})"
+
+    return (
+        f"e{epoch} AS ({image('SELECT * FROM numbered')} UNION ALL {image(f'SELECT * FROM e{epoch} WHERE x >= n')}), "
+        f"b{epoch} AS (SELECT event_id, x // {size} AS batch FROM e{epoch} WHERE x < n)"
+    )
+
+
+ORACLES["epoch_shuffled_batches"] = f"""
+WITH RECURSIVE c AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS h FROM events),
+numbered AS (
+  SELECT event_id, n, h, (n + h - 1) // h AS w, row_number() OVER (ORDER BY event_id) - 1 AS x FROM events, c),
+{_epoch(0)}, {_epoch(1)}
+SELECT event_id, row_number() OVER (ORDER BY event_id) AS row_no, b0.batch AS batch_0, b1.batch AS batch_1
+FROM b0 JOIN b1 USING (event_id)"""
+ORACLES["row_look_up"] = """
+SELECT doc_id, lang, source, (SELECT count(*) FROM documents) AS corpus_rows FROM documents
+WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY lang)"""
+ORACLES["asked_once"] = """
+SELECT conv_id, turn, len(string_split(text, ' '))::VARCHAR AS answer FROM conversations"""
 ORACLES["running_eval_stats"] = """
 WITH c AS (SELECT event_id, value / 3 AS value FROM events)
 SELECT event_id, count(value) OVER w AS seen, round(avg(value) OVER w, 6) AS running_mean,
@@ -536,6 +567,12 @@ ORACLES["judged_until_enough"] = f"""WITH {_judged(2)}
 SELECT ok.sample_id, rq.reference AS reference_response, array_to_string(wins, ' ') AS wins
 FROM ok JOIN rq ON rq.sample_id = ok.sample_id AND rq.slot = 1
 ORDER BY md5('0|' || ok.sample_id), ok.sample_id LIMIT 25"""
+ORACLES["stream_win_stats"] = f"""WITH {_judged(2)},
+w AS (SELECT unnest(wins) AS win, unnest(range(2)) AS slot FROM ok),
+sr AS (SELECT slot, avg(win::INT) AS rate FROM w GROUP BY slot)
+SELECT 'r0' AS run, (SELECT count(*) FROM ok) AS n, round(avg(rate), 6) AS mean,
+       round(stddev_pop(rate) / sqrt(count(*)), 6) AS std_err, round(min(rate), 6) AS "min", round(max(rate), 6) AS "max"
+FROM sr"""
 ORACLES["running_win_stats"] = f"""WITH {_judged(2)},
 o2 AS (SELECT sample_id, wins, row_number() OVER (ORDER BY md5('0|' || sample_id), sample_id) AS row_no FROM ok),
 w AS (SELECT sample_id, row_no, unnest(wins) AS win, unnest(range(2)) AS slot FROM o2),

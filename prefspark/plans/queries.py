@@ -14,8 +14,10 @@ from .. import schemas
 from ..functions import chat, judging as judging_fn
 from ..operators import (
     adapters,
+    asking,
     diversity as div,
     encoding,
+    epochs,
     flow,
     grouping,
     judging,
@@ -28,6 +30,7 @@ from ..operators import (
 )
 from ..session import materialize, scratch_path
 from ..sources import corpora, records, tables
+from ..sources.ledger import Ledger
 from ..streaming import metrics as streams
 from . import flows
 
@@ -315,6 +318,15 @@ def shuffled_batches(spark, sf):
     return numbering.assign_batches(events, 16, "event_id", seed=3)
 
 
+@query
+def epoch_shuffled_batches(spark, sf):
+    """The batches of all rows in two epochs, from numbers that are made once."""
+    events = tables.table(spark, sf, "events").select("event_id")
+    numbered = materialize(numbering.row_numbers(events, "event_id"), "numbered")
+    first = epochs.epoch_batches(numbered, 16, seed=3, epoch=0, name="batch_0")
+    return epochs.epoch_batches(first, 16, seed=3, epoch=1, name="batch_1")
+
+
 @query
 def running_eval_stats(spark, sf):
     events = tables.table(spark, sf, "events").select("event_id", (F.col("value") / 3).alias("value"))
@@ -349,6 +361,17 @@ def rows_by_id(spark, sf):
     return corpora.get_rows(docs, "doc_id", labelled)
 
 
+@query
+def row_look_up(spark, sf):
+    """The rows of a short list of ids (the first of every language), from a corpus laid out by key, and its length."""
+    path = scratch_path(spark, "by-key")
+    docs = tables.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    corpora.write_by_key(docs, path, "doc_id")
+    corpus = spark.read.schema(docs.schema).parquet(path)
+    ids = [r[0] for r in corpus.groupBy("lang").agg(F.min("doc_id")).select("min(doc_id)").collect()]
+    return corpora.get_rows(corpus, "doc_id", ids).withColumn("corpus_rows", F.lit(corpora.dataset_len(corpus)).cast("bigint"))
+
+
 @query
 def generation_records(spark, sf):
     path = scratch_path(spark, "generated")
@@ -627,6 +650,21 @@ def judge_plugin(spark, sf):
     return judged.select("request_id", "verdict", F.col("win").cast("bigint").alias("win"))
 
 
+@query
+def asked_once(spark, sf):
+    """Answers of a model about every turn's text, which it is asked about once however often it is said."""
+
+    def ask(texts: DataFrame) -> DataFrame:
+        return plugins.judge(
+            texts.select(F.col("digest").alias("request_id"), F.col("text").alias("judge_prompt")),
+            lambda: lambda texts, temperature, max_tokens: [str(len(t.split(" "))) for t in texts],
+        ).select(F.col("request_id").alias("digest"), F.col("completion").alias("answer"))
+
+    said = tables.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    ledger = Ledger(spark, scratch_path(spark, "answers"), "digest string, answer string")
+    return asking.ask_once(said, "text", ask, ledger, batches=2).drop("text")
+
+
 @query
 def embed_outputs_diversity(spark, sf):
     """A user's embedder (letter counts) on every output, then diversity."""
@@ -751,6 +789,20 @@ def stream_eval_stats(spark, sf):
     return rounded(stats, "mean", "std_err")
 
 
+@query
+def stream_win_stats(spark, sf):
+    """Comparisons as they come in, every one of them twice."""
+    path = scratch_path(spark, "compared")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("sample_id", F.lit(3600)))
+    valid = _valid(spark, sf, 2).select(F.lit("r0").alias("run"), "sample_id", at.alias("ts"), "wins")
+    for again in range(2):
+        records.write_json(valid, f"{path}/again={again}")
+    schema = "run string, sample_id bigint, ts timestamp, wins array<boolean>, again int"
+    stream = streams.read_stream(spark, path, schema, files_per_trigger=4)
+    stats = streams.latest(spark, streams.stream_win_stats(stream, 2, "1 day"), ["run"], "win-stats")
+    return rounded(stats, "mean", "std_err", "min", "max")
+
+
 @query
 def stream_train_metrics(spark, sf):
     """Window means of whole cents, whose sums are exact in any order."""

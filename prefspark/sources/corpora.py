@@ -34,8 +34,26 @@ def dataset_len(df: DataFrame) -> int:
     return df.count()
 
 
+def write_by_key(df: DataFrame, path: str, key: str, row_group_bytes: int = 8 << 20) -> None:
+    """A corpus laid out for look-ups: sorted by key over all files, in small row groups.
+
+    Footers and page indexes then tell which pages can hold an id, and a Bloom
+    filter of the key tells it of ids that lie between others.
+    """
+    options = {
+        "parquet.block.size": str(row_group_bytes),
+        f"parquet.bloom.filter.enabled#{key}": "true",
+        f"parquet.bloom.filter.adaptive.enabled#{key}": "true",
+    }
+    df.repartitionByRange(key).sortWithinPartitions(key).write.options(**options).parquet(path)
+
+
 def get_rows(df: DataFrame, key: str, ids: list[int] | DataFrame) -> DataFrame:
-    """Rows by id: a filter for a short list, a semi join for a table of ids."""
+    """Rows by id: a filter for a short list, a semi join for a table of ids.
+
+    Over a corpus of ``write_by_key`` the filter reads only the pages that can
+    hold an id.
+    """
     if isinstance(ids, DataFrame):
         return df.join(ids, key, "left_semi")
     wanted: Column = F.col(key).isin(list(ids))

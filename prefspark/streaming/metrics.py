@@ -31,6 +31,36 @@ def stream_eval_stats(stream: DataFrame) -> DataFrame:
     )
 
 
+def stream_win_stats(stream: DataFrame, slots: int, watermark: str | None = None, time: str = "ts") -> DataFrame:
+    """Running win statistics over the ``slots`` of valid comparisons, per run.
+
+    ``run, sample_id, wins`` come in; ``run, n, mean, std_err, min, max`` are over
+    the slots' win rates of the samples so far.  The state of a run is one row of
+    a counter per slot.  With a watermark on the column ``time``, a sample that is
+    there again counts once, and a row later than the watermark does not count;
+    the state then also holds the samples within the watermark.  Comparisons with
+    another number of slots, or an open one, are not valid and do not count.
+    """
+    if slots < 1:
+        raise ValueError("slots must be positive")
+    rows = stream.where((F.size("wins") == slots) & ~F.exists("wins", lambda w: w.isNull()))
+    if watermark is not None:
+        rows = rows.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["run", "sample_id"])
+    won = [F.sum(F.get("wins", F.lit(i)).cast("bigint")).alias(f"won_{i}") for i in range(slots)]
+    counted = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), *won)
+    rates = counted.select("run", "n", F.array(*[F.col(f"won_{i}") / F.col("n") for i in range(slots)]).alias("rates"))
+    mean = F.aggregate("rates", F.lit(0.0), lambda s, r: s + r) / slots
+    spread = F.aggregate("rates", F.lit(0.0), lambda s, r: s + (r - F.col("mean")) * (r - F.col("mean")))
+    return rates.withColumn("mean", mean).select(
+        "run",
+        "n",
+        "mean",
+        (F.sqrt(spread / slots) / F.sqrt(F.lit(slots))).alias("std_err"),
+        F.array_min("rates").alias("min"),
+        F.array_max("rates").alias("max"),
+    )
+
+
 def stream_train_metrics(
     stream: DataFrame, window: str = "1 hour", watermark: str = "10 minutes"
 ) -> DataFrame:
