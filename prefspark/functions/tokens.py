@@ -12,11 +12,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fixed.TOKEN_PATTERN), F.lit(0))
 
 
+def hashed(tokens: Column, vocab_size: int = 50_000) -> Column:
+    """A stable id per token."""
+    return F.transform(tokens, lambda t: F.pmod(bits32(F.md5(t)), F.lit(vocab_size)).cast("int"))
+
+
 def hashed_ids(text: Column, vocab_size: int = 50_000) -> Column:
     """Default tokenizer: a stable id per token, no vocabulary table needed."""
-    return F.transform(
-        words(text), lambda t: F.pmod(bits32(F.md5(t)), F.lit(vocab_size)).cast("int")
-    )
+    return hashed(words(text), vocab_size)
 
 
 def ones_like(ids: Column) -> Column:

@@ -45,6 +45,25 @@ def tokenize(
     )
 
 
+def token_counts(text: Column, loader: Callable[[], Tokenizer] | None = None) -> Column:
+    """Number of ids of a text column."""
+    return F.size(tokens.words(text) if loader is None else token_ids(text, loader))
+
+
+def _tokenize_cut(
+    df: DataFrame,
+    columns: dict[str, str],
+    cut: Callable[[DataFrame], DataFrame],
+    loader: Callable[[], Tokenizer] | None,
+    vocab_size: int,
+) -> DataFrame:
+    """``tokenize``, then ``cut``; ids of the default tokenizer are made only of tokens that stay."""
+    if loader is not None:
+        return cut(tokenize(df, columns, loader, vocab_size))
+    split = cut(df.withColumns({name: tokens.words(F.col(text)) for text, name in columns.items()}))
+    return split.withColumns({name: tokens.hashed(F.col(name), vocab_size) for name in columns.values()})
+
+
 def truncate(
     df: DataFrame, sides: list[str], max_prompt_length: int = 384, max_length: int = 768
 ) -> DataFrame:
@@ -70,8 +89,8 @@ def encode_prompts(
     """Add ``prompt_ids``: the last ``context_length`` ids of the prompt text."""
     if context_length < 1:
         raise ValueError("context_length must be positive")
-    ids = tokenize(prompts, {"prompt": "prompt_ids"}, loader, vocab_size)
-    return ids.withColumn("prompt_ids", tokens.keep_last(F.col("prompt_ids"), context_length))
+    last = lambda df: df.withColumn("prompt_ids", tokens.keep_last(F.col("prompt_ids"), context_length))
+    return _tokenize_cut(prompts, {"prompt": "prompt_ids"}, last, loader, vocab_size)
 
 
 def split_examples(df: DataFrame, sides: list[str]) -> DataFrame:
@@ -110,7 +129,7 @@ def encode(
         | {f"_{s}": chat.render(F.col(f"{s}_answer"), template, **marks) for s in sides}
     )
     names = {"_prompt": "prompt_ids"} | {f"_{s}": f"{s}_ids" for s in sides}
-    cut = truncate(tokenize(texts, names, loader, vocab_size), sides, max_prompt_length, max_length)
+    cut = _tokenize_cut(texts, names, lambda df: truncate(df, sides, max_prompt_length, max_length), loader, vocab_size)
     return cut.select(
         *[c for c in key_columns(cut) if c != "context_cut"],
         *([] if "context_cut" in cut.columns else ["history"]),

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import chat
+from ..session import materialize
 from . import encoding
 from .heavy import with_summary
 from .numbering import running_sums
@@ -105,7 +106,6 @@ def example_rows(
     max_prompt_length: int | None = None,
     needed: int = 2,
     loader: Callable | None = None,
-    vocab_size: int = 50_000,
     template: str = "chatml",
 ) -> DataFrame:
     """``hh`` raw rows (``row_idx, context, chosen, rejected``) of conversations with ``needed`` answers.
@@ -122,11 +122,13 @@ def example_rows(
     if max_prompt_length is None:
         return _gather(marked)
     message = chat.message(chat.map_role(_raw_role(F.col("role"))), F.col("text"))
-    ids = encoding.token_ids(chat.render(F.array(message), template), loader, vocab_size)
+    size = encoding.token_counts(chat.render(F.array(message), template), loader)
     before = F.col("turn") < F.col("last_turn")
     sized = marked.select(
-        "conv_id", (-F.col("turn")).alias("back"), F.when(before, F.greatest(F.size(ids) - 1, F.lit(0))).otherwise(0).alias("n")
+        "conv_id", (-F.col("turn")).alias("back"), F.when(before, F.greatest(size - 1, F.lit(0))).otherwise(0).alias("n")
     )
+    # Three numbers a message, stored, as the sums read them for the cells, the offsets and the rows.
+    sized = materialize(sized, "message-sizes")
     upto = running_sums(sized, "back", {"upto": F.col("n")}, ["conv_id"])
     reached = upto.where(F.col("upto") - F.col("n") < max_prompt_length).select("conv_id", (-F.col("back")).alias("turn"))
     kept = marked.join(reached, ["conv_id", "turn"], "left_semi")
