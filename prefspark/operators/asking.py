@@ -38,6 +38,6 @@ def ask_once(
 
     All rows and columns stay; a NULL text has a NULL answer.
     """
-    known = answers_of(df, text, ask, ledger, batches).select(F.col("digest").alias("__digest"), F.col("answer").alias("__answer"))
-    own = F.sha2(F.col(text).cast("binary"), 256) == F.col("__digest")
-    return df.join(known, own, "left").select(*df.columns, F.col("__answer").alias(name))
+    known = answers_of(df, text, ask, ledger, batches)
+    own = F.sha2(df[text].cast("binary"), 256) == known["digest"]
+    return df.join(known, own, "left").select(*[df[c] for c in df.columns], known["answer"].alias(name))

@@ -57,6 +57,8 @@ def test_only_new_texts_reach_the_model(spark, tmp_path):
     more = rows.unionByName(spark.createDataFrame([(6, "c")], rows.schema))
     assert {r.id: r.answer for r in ps.ask_once(more, "text", ask, ledger).collect()} == want | {6: "C"}
     assert asked.value == 4
+    clashing = rows.withColumns({"digest": F.lit(0), "answer": F.lit(1)})
+    assert ps.ask_once(clashing, "text", ask, ledger, "said").columns == ["id", "text", "digest", "answer", "said"]
 
 
 def test_a_killed_run_keeps_its_finished_parts(spark, tmp_path):
