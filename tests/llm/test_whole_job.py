@@ -78,6 +78,52 @@ def test_windows_of_a_hot_anchor_are_dealt_out(spark, monkeypatch):
     assert any(rows[i] != t for i, t in enumerate(texts))
 
 
-def test_prefix_does_not_depend_on_what_else_is_in_the_table():
-    forest = ngram_join.Forest()
-    assert forest.meets(0.8, forest.prefix()) >= forest.recall > forest.meets(0.8, forest.prefix() + 1)
+def test_pairs_at_the_threshold_meet_beside_a_huge_group(spark):
+    """What a group of near copies finds easily must not end the descent before the least similar pairs meet."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(1500):
+        copy = list(base)
+        copy[rng.randrange(120)] = word()
+        texts.append(" ".join(copy))
+    for _ in range(150):  # two changed words far apart: 10 of 106 shingles, a similarity of about 0.83
+        one = [word() for _ in range(110)]
+        two = list(one)
+        two[rng.randrange(10, 50)], two[rng.randrange(60, 100)] = word(), word()
+        texts += [" ".join(one), " ".join(two)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r for r in ngram_join.near_duplicates(df).collect()}
+    assert {rows[i].class_id for i in range(1500)} == {0}
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    alike = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    for i in range(0, 1500, 300):
+        assert rows[i].n_links == sum(alike(i, j) for j in range(1500) if texts[j] != texts[i])
+    wanted = [i for i in range(1500, len(texts), 2) if alike(i, i + 1)]
+    assert len(wanted) > 100
+    found = sum(rows[i].class_id == rows[i + 1].class_id == i for i in wanted)
+    assert found >= 0.99 * len(wanted)
+
+
+def test_members_of_a_hot_trie_node_make_a_row_each(spark, monkeypatch):
+    """Star rows are linear in the members, also where slices and blocks are smaller than the group."""
+    monkeypatch.setattr(ngram_join, "shuffle_partitions", lambda spark: 50)
+    forest = ngram_join.Forest(block=8)
+    n, labels = 200, [1] * 128
+    far = [1] * 8 + list(range(2, 122))
+    rows = [(i, labels if i < 150 else [x + 300 * (k >= 8) for k, x in enumerate(far)]) for i in range(n)]
+    leaders = spark.createDataFrame(rows, "node long, labels array<int>").repartition(3)
+    empty = spark.createDataFrame([], "node long, component long")
+    codes = F.unhex(F.array_join(F.transform("labels", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
+    coded = leaders.select(F.col("node").alias("code_node"), codes.alias("codes"))
+    entries = ngram_join.trie_level(leaders, empty, 8, forest)
+    heads = ngram_join.open_buckets(entries)
+    stars = ngram_join.star_pairs(entries, heads, coded, forest)
+    assert stars.count() == heads.agg(F.sum(F.col("n") - 1)).first()[0]
+    edges = stars.where("near").select("head", "node").collect() + ngram_join.rest_edges(stars, coded, forest).collect()
+    label = list(range(n))
+    for a, b in edges:
+        x, y = label[a], label[b]
+        label = [min(x, y) if v in (x, y) else v for v in label]
+    assert set(label[:150]) == {0} and set(label[150:]) == {150}
