@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -209,24 +210,27 @@ class BytePairTokenizer:
         """Encode the chunks of ``keys`` (see ``chunk_keys``) that are not remembered yet."""
         known = self.known
         words = {key for key in keys if key.isalpha()}  # a blank and letters: one piece
+        ended: list[tuple[str, str, str]] = []  # such a word and the marks behind it
         split: dict[str, list[str]] = {}
         for key in keys - words:
             lead, body = (" ", key) if key[:1] not in ("\n", "\0") else (key[0].strip("\0"), key[1:])
             stem = body.rstrip(MARKS)
             if lead and stem.isalpha():  # marks are neither letters, digits nor blanks: those behind a word are one piece
-                split[key] = [lead + stem] if lead == " " else [lead, stem]
-                if len(stem) < len(body):
-                    split[key].append(body[len(stem) :])
+                if lead == " ":
+                    ended.append((key, stem, body[len(stem) :]))
+                else:
+                    split[key] = [lead, stem, body[len(stem) :]] if len(stem) < len(body) else [lead, stem]
             else:
                 split[key] = self.pieces(lead + body)
-        pieces = {piece for pieces in split.values() for piece in pieces}
-        blank = {piece for piece in pieces if piece[0] == " " and piece[1:].isalpha()}
-        words.update(piece[1:] for piece in blank)
+        pieces = {piece for parts in split.values() for piece in parts}
+        pieces.update({marks for _, _, marks in ended})
+        words.update([stem for _, stem, _ in ended])
         fresh = list(words - known.keys())
         known.update(zip(fresh, self.encode_pieces([b" " + w.encode() for w in fresh])))
-        others = list(pieces - blank)
+        others = list(pieces)
         ids = dict(zip(others, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in others])))
-        ids.update((piece, known[piece[1:]]) for piece in blank)
+        for key, stem, marks in ended:
+            known[key] = known[stem] + ids[marks]
         for key, parts in split.items():
             known[key] = b"".join([ids[p] for p in parts])
 
@@ -274,9 +278,9 @@ class BytePairTokenizer:
 
 def _plain_blanks(text: str) -> bool:
     """True when all white space is single blanks and line feeds between other characters."""
-    words = text.split()
-    gaps = len(text) - sum(map(len, words))
-    return gaps == len(words) - 1 == text.count(" ") + text.count("\n") and "\0" not in text
+    if text[0] in " \n" or text[-1] in " \n" or "\0" in text or any(two in text for two in ("  ", " \n", "\n ", "\n\n")):
+        return False
+    return not any(map(text.__contains__, _ODD_ASCII)) if text.isascii() else _ODD_BLANK.search(text) is None
 
 
 def chunk_keys(text: str) -> list[str]:
@@ -306,6 +310,9 @@ def _odd_chunks(text: str) -> list[str]:
     return [k[1:] if k[0] == " " and k[1:2] not in ("\n", "\0") else k if k[0] == "\n" else "\0" + k for k in keys]
 
 
+#: White space other than blanks and line feeds.
+_ODD_ASCII = [c for c in map(chr, range(128)) if c.isspace() and c not in " \n"]
+_ODD_BLANK = re.compile(r"[^\S \n]")
 _PLAIN_BLANK = regex.compile(r"(?<=\S)[ \n](?=\S)")
 
 
