@@ -3,8 +3,8 @@
 Texts with the same words are one node.  A node's MinHash signature is cut into
 trees of labels; the prefixes of a tree's label sequences are its trie.  Nodes that
 share the longest prefixes meet first and are united; prefixes are then shortened
-a label at a time where not all that share them are united, until the recall
-measured among the least similar pairs reaches the target.
+a label at a time where not all that share them are united, until pairs of the
+least similarity meet with the probability asked for.
 Candidates that signatures do not rule out are gathered into clusters, and the
 exact Jaccard similarity of all pairs in a cluster is computed inside tasks, in
 blocks, so pairs are counted but never become rows.
@@ -31,9 +31,8 @@ from prefspark.session import shuffle_partitions
 class Forest:
     """words per shingle, similarity, and the forest's shape.
 
-    recall: share of the pairs in the least similar stratum that the prefixes must bring together.
-    stratum, sample, enough: its width above the similarity, the most pairs verified to
-    measure it, and the fewest in it that count.
+    recall: probability with which the prefixes must bring a pair of just that similarity
+    together; it sets the shortest prefix, and no count or sample of the texts does.
     margin: signatures this far below the similarity rule a pair out (over four
     standard deviations at 128 labels).
     """
@@ -44,9 +43,6 @@ class Forest:
     labels: int = 8
     recall: float = 0.9995
     margin: float = 0.15
-    stratum: float = 0.05
-    sample: int = 4096
-    enough: int = 100
     block: int = 1024
     verify_block: int = 256
 
@@ -270,44 +266,13 @@ def rest_edges(stars: DataFrame, coded: DataFrame, forest: Forest) -> DataFrame:
     return ready.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def measured_recall(edges: DataFrame, placed: DataFrame, texts: DataFrame, prefix: int, forest: Forest) -> float:
-    """Recall of ``prefix`` over exactly verified pairs of the least similar stratum.
-
-    At most ``sample`` pairs in the order of a hash are verified, one of each
-    component, so that no group of copies decides.  Fewer than ``enough`` in the
-    stratum say nothing; then the least similarity itself stands for them.
-    """
-    component = placed.select(F.col("node").alias("placed_node"), "component")
-    pairs = edges.join(component, F.col("a") == F.col("placed_node"), "left").groupBy(F.coalesce("component", "a")).agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p"))
-    pairs = stored(pairs.select("p.*").orderBy("h").limit(forest.sample), "sampled-pairs")
-    ids = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
-    sets = stored(shingle_sets(texts.join(ids, F.col("doc_id") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id"]), forest), "sampled-sets")
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("keys").alias(f"keys_{x}")) for x in "ab")
-    ready = pairs.select("a", "b").join(one, "a").join(two, "b").select("keys_a", "keys_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for pair in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = (np.frombuffer(x, np.uint64) for x in pair)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both / (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["similarity"])
-
-    least = forest.similarity_percent / 100
-    meets = 1 - F.pow(1 - F.pow("similarity", F.lit(prefix)), F.lit(forest.trees))
-    stratum = ready.mapInArrow(run, "similarity double").where(F.col("similarity").between(least, least + forest.stratum))
-    n, recall = stratum.agg(F.count("*"), F.avg(meets)).first()
-    return recall if n >= forest.enough else float(forest.meets(least, prefix))
-
-
-def forest_clusters(leaders: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
+def forest_clusters(leaders: DataFrame, forest: Forest) -> DataFrame:
     """(node, component): clusters of candidates, by descending the trees from their deepest trie nodes.
 
     Members of a trie node meet its least one; those that its signature rules
     out meet all others there.  What has met is united, and prefixes are shortened
     by a label for trie nodes whose members are not all united, until the recall
-    is reached in the least similar stratum.
+    is reached at the least similarity.
     """
     codes = F.unhex(F.array_join(F.transform("labels", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
     coded = stored(leaders.select(F.col("node").alias("code_node"), codes.alias("codes")), "codes")
@@ -326,9 +291,6 @@ def forest_clusters(leaders: DataFrame, texts: DataFrame, forest: Forest) -> Dat
             edges = fresh if edges is None else edges.unionByName(fresh)
         if forest.meets(least, prefix) >= forest.recall:
             break
-        if edges is not None and forest.meets(least + forest.stratum, prefix) >= forest.recall:
-            if measured_recall(edges, placed, texts, prefix, forest) >= forest.recall:
-                break
     return placed if edges is None else components(edges)
 
 
@@ -400,7 +362,7 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest(), id_col: str = "doc
     leaders = stored(
         worded.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"), F.first("labels").alias("labels")), "leaders"
     )
-    clusters = forest_clusters(leaders.select("node", "labels"), texts, forest)
+    clusters = forest_clusters(leaders.select("node", "labels"), forest)
     wanted = stored(clusters.select(F.col("node").alias("doc_id")), "wanted")
     sets = shingle_sets(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), forest)
     links = stored(verified_links(clusters.select("component", "node"), sets, forest), "links")

@@ -127,3 +127,17 @@ def test_members_of_a_hot_trie_node_make_a_row_each(spark, monkeypatch):
         x, y = label[a], label[b]
         label = [min(x, y) if v in (x, y) else v for v in label]
     assert set(label[:150]) == {0} and set(label[150:]) == {150}
+
+
+def test_prefixes_end_where_the_least_similarity_asks_whatever_pairs_there_are(spark, monkeypatch):
+    """Pairs of 0.844 alone meet at five labels; texts of 0.8 elsewhere would not."""
+    texts = []
+    for i in range(150):
+        words = [f"p{i}w{k}" for k in range(300)]
+        texts += [words, words[:100] + [f"p{i}v{k}" for k in range(21)] + words[121:]]
+    seen, real = [], ngram_join.trie_level
+    monkeypatch.setattr(ngram_join, "trie_level", lambda leaders, placed, prefix, forest: seen.append(prefix) or real(leaders, placed, prefix, forest))
+    df = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in ngram_join.near_duplicates(df).collect()}
+    assert seen == [8, 7, 6, 5, 4]
+    assert all(rows[i].class_id == i - i % 2 and rows[i].n_links == 1 for i in rows)
