@@ -201,6 +201,15 @@ def open_buckets(entries: DataFrame) -> DataFrame:
     return found.where("low < high").select("bucket", F.col("first.node").alias("head"), F.col("first.component").alias("head_component"), "n")
 
 
+def by_node(rows: DataFrame, coded: DataFrame) -> DataFrame:
+    """(node, codes, held): one row per node, ``held`` its rows as structs of the other columns.
+
+    So the codes meet each node once, however many trie nodes or cells it is in.
+    """
+    held = rows.groupBy("node").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "node"])).alias("held"))
+    return held.join(coded, F.col("node") == F.col("code_node")).select("node", "codes", "held")
+
+
 def star_pairs(entries: DataFrame, heads: DataFrame, coded: DataFrame, forest: Forest) -> DataFrame:
     """(bucket, node, head, n, near): every member of an open trie node with the least one, a row each.
 
@@ -217,19 +226,19 @@ def star_pairs(entries: DataFrame, heads: DataFrame, coded: DataFrame, forest: F
     copies = copies.select(F.col("bucket").alias("at"), "head", "head_component", "n", "head_codes", F.explode(F.sequence(F.lit(0), slices - 1)).alias("at_slice"))
     members = entries.join(heavy, is_heavy, "left").select("bucket", "node", "component", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"))
     met = members.join(copies, (F.col("bucket") == F.col("at")) & (F.col("slice") == F.col("at_slice"))).where("node <> head")
-    ready = met.join(coded, F.col("node") == F.col("code_node")).select(
-        "bucket", "node", "head", "n", (F.col("component") == F.col("head_component")).alias("united"), "codes", "head_codes"
-    )
+    met = met.select("node", "bucket", "head", "n", (F.col("component") == F.col("head_component")).alias("united"), "head_codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                near = _near(_codes(batch.column(5), forest), _codes(batch.column(6), forest), forest)
-                united = batch.column(4).to_numpy(zero_copy_only=False)
-                columns = [*batch.columns[:4], pa.array(near), pa.array(near | united)]
+            for start in range(0, batch.num_rows, 1024):
+                node, codes, held = batch.slice(start, 1024).columns
+                owner = np.repeat(np.arange(len(node)), held.value_lengths().to_numpy())
+                bucket, head, n, united, head_codes = held.flatten().flatten()
+                near = _near(_codes(codes, forest)[owner], _codes(head_codes, forest), forest)
+                columns = [bucket, node.take(pa.array(owner)), head, n, pa.array(near), pa.array(near | united.to_numpy(zero_copy_only=False))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "head", "n", "near", "settled"])
 
-    return ready.mapInArrow(run, "bucket long, node long, head long, n long, near boolean, settled boolean")
+    return by_node(met, coded).mapInArrow(run, "bucket long, node long, head long, n long, near boolean, settled boolean")
 
 
 def rest_edges(stars: DataFrame, coded: DataFrame, forest: Forest) -> DataFrame:
@@ -246,7 +255,7 @@ def rest_edges(stars: DataFrame, coded: DataFrame, forest: Forest) -> DataFrame:
     as_rest = placed.where("NOT settled").select("bucket", "node", F.lit(True).alias("is_rest"), own("n_rest").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n_all") - 1)).alias("j"))
     as_all = placed.select("bucket", "node", F.lit(False).alias("is_rest"), F.explode(F.sequence(F.lit(0), blocks("n_rest") - 1)).alias("i"), own("n_all").alias("j"))
     cells = as_rest.unionByName(as_all).select(F.xxhash64("bucket", "i", "j").alias("cell"), "node", "is_rest")
-    ready = cells.join(coded, F.col("node") == F.col("code_node")).select("cell", "node", "is_rest", "codes")
+    ready = by_node(cells, coded).select("node", "codes", F.explode("held").alias("at")).select("at.cell", "node", "at.is_rest", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of_equal(batches, 0):

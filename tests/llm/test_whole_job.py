@@ -141,3 +141,10 @@ def test_prefixes_end_where_the_least_similarity_asks_whatever_pairs_there_are(s
     rows = {r.doc_id: r for r in ngram_join.near_duplicates(df).collect()}
     assert seen == [8, 7, 6, 5, 4]
     assert all(rows[i].class_id == i - i % 2 and rows[i].n_links == 1 for i in rows)
+
+
+def test_codes_meet_a_node_once_however_many_trie_nodes_hold_it(spark):
+    rows = spark.createDataFrame([(bucket, node) for bucket in range(16) for node in range(40)], "bucket long, node long")
+    coded = spark.createDataFrame([(node, bytes([node])) for node in range(40)], "code_node long, codes binary")
+    got = ngram_join.by_node(rows, coded).collect()
+    assert sorted((r.node, r.codes, sorted(x.bucket for x in r.held)) for r in got) == [(k, bytes([k]), list(range(16))) for k in range(40)]
