@@ -30,7 +30,9 @@ LENGTH = 50
 ANCHOR = 20
 #: Bytes beside its anchor that every window holds on one side at least.
 SIDE = (LENGTH - ANCHOR) // 2
-#: Runs of one anchor in a batch from which on all others of it are kept unseen.
+#: Bytes of texts whose runs a task holds at a time: about a third of an Arrow batch of ordinary texts.
+BATCH_BYTES = 8 << 20
+#: Runs of one anchor in such a part from which on all others of it are kept unseen.
 HOT = 64
 #: Bytes of pieces that one task sorts.
 SHARD_BYTES = 4 << 20
@@ -131,22 +133,23 @@ def unpack_columns(data: bytes, n_columns: int) -> list[np.ndarray]:
 def anchors(texts: DataFrame, bucket_bits: int) -> DataFrame:
     """(bucket, lead, data): every run, packed, by the leading bits of its anchor.
 
-    Runs that match another document of the same batch are known to repeat: they
+    Runs that match another document of the same part (of ``BATCH_BYTES``) are known to repeat: they
     come in buckets of their own, below 0, dealt out evenly, and one run of no
     windows for each side tells the anchor's bucket.  Anchors with ``HOT`` runs in
-    a batch are known as a whole, and one run without sides tells that.  So what
-    much of the corpus shares adds a run or two per batch to a bucket, not one
+    a part are known as a whole, and one run without sides tells that.  So what
+    much of the corpus shares adds a run or two per part to a bucket, not one
     per document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, batch in enumerate(batches):
+        for turn, batch in enumerate(part for whole in batches for part in in_slices(whole, BATCH_BYTES)):
             found = []
-            for part in in_slices(batch, 2 << 20):
+            for part in in_slices(batch, BATCH_BYTES >> 4):
                 docs = part.column(0).to_numpy()
                 anchor, owner, *rest = anchor_runs([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
                 found.append((anchor, docs[owner], *rest))
             columns = [np.concatenate(x) for x in zip(*found)]
+            del found
             if not columns or not len(columns[0]):
                 continue
             order = np.argsort(columns[0], kind="stable")

@@ -2,8 +2,11 @@
 
 import itertools
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from prefspark.llm import langid, ngram_join, packing, suffix_dedup
@@ -148,3 +151,21 @@ def test_codes_meet_a_node_once_however_many_trie_nodes_hold_it(spark):
     coded = spark.createDataFrame([(node, bytes([node])) for node in range(40)], "code_node long, codes binary")
     got = ngram_join.by_node(rows, coded).collect()
     assert sorted((r.node, r.codes, sorted(x.bucket for x in r.held)) for r in got) == [(k, bytes([k]), list(range(16))) for k in range(40)]
+
+
+def test_memory_for_anchors_follows_the_part_and_not_the_arrow_batch(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 1 << 20, raising=False)
+    held = []
+    suffix_dedup.anchors(SimpleNamespace(mapInArrow=lambda run, schema: held.append(run)), 8)
+
+    def peak(n):
+        texts = [random.Random(k).randbytes(2000).hex() for k in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["doc_id", "text"])
+        tracemalloc.start()
+        found = sum(part.num_rows for part in held[0](iter([batch])))
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert found
+        return most
+
+    assert peak(2000) < 1.3 * peak(500) and peak(2000) < 64 << 20
