@@ -10,8 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: Prompts that a generator without a batch size gets at a time.
+PIECE_BYTES = 4 << 20
+
 
 def embed(
     df: DataFrame, text: str, loader: Callable[[], Callable[[list[str]], list]], name: str = "embedding"
@@ -54,7 +58,7 @@ def generate(
     """``sample_id, output_idx, output`` from the user's generator.
 
     ``column`` is what the model reads: the prompt text or ``prompt_ids``; it gets
-    at most ``batch_size`` prompts at a time, or those of an Arrow batch.  The
+    at most ``batch_size`` prompts at a time, or about ``PIECE_BYTES`` of them.  The
     limits on tokens reach the model only where they are set.
     ``output_idx`` counts a sample's texts from 0; a model that returns another
     number of texts than ``n_samples`` per prompt is an error.
@@ -68,29 +72,30 @@ def generate(
     sampling = {"n": n_samples, "temperature": temperature, "top_p": top_p, "seed": seed}
     sampling |= {name: value for name, value in limits.items() if value is not None}
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = batch_size or max(1, len(batch))
-            for start in range(0, len(batch), size):
-                yield batch.iloc[start : start + size]
+            fitting = max(1, int(batch.num_rows * min(1.0, PIECE_BYTES / max(1, batch.nbytes))))
+            size = batch_size or fitting
+            for start in range(0, batch.num_rows, size):
+                yield batch.slice(start, size)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loader()
         for batch in pieces(batches):
-            texts = model(batch[column].tolist(), **sampling)
-            if len(texts) != len(batch) or any(len(outs) != n_samples for outs in texts):
+            asked = batch.column(1)
+            is_list = pa.types.is_list(asked.type) or pa.types.is_large_list(asked.type)
+            texts = model(list(asked.to_numpy(zero_copy_only=False)) if is_list else asked.to_pylist(), **sampling)
+            if len(texts) != batch.num_rows or any(len(outs) != n_samples for outs in texts):
                 raise ValueError(f"the generator must return {n_samples} texts for each prompt")
-            yield pd.DataFrame(
-                [
-                    (sid, i, text)
-                    for sid, outs in zip(batch["sample_id"], texts)
-                    for i, text in enumerate(outs)
-                ],
-                columns=["sample_id", "output_idx", "output"],
-            )
+            columns = [
+                batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n_samples))),
+                pa.array(np.tile(np.arange(n_samples), batch.num_rows)),
+                pa.array([text for outs in texts for text in outs], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["sample_id", "output_idx", "output"])
 
     heads = prompts.where("part = 0") if "part" in prompts.columns else prompts
-    return heads.select("sample_id", column).mapInPandas(
+    return heads.select(F.col("sample_id").cast("bigint"), column).mapInArrow(
         run, "sample_id bigint, output_idx bigint, output string"
     )
 

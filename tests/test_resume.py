@@ -101,3 +101,16 @@ def test_limits_reach_the_model_where_set(spark):
     assert {x.split()[0] for x in limited} == {"1", "2"} and all("top_k" in x and "max_new_tokens" in x for x in limited)
     with pytest.raises(ValueError):
         plugins.generate(df, loader, min_new_tokens=5, max_new_tokens=4)
+
+
+def test_generator_without_a_batch_size_gets_bounded_pieces(spark):
+    """Twelve megabytes in one Arrow batch reach the model in parts; ids, numbers and null prompts stay."""
+
+    def loader():
+        return lambda prompts, n, **sampling: [[f"{len(prompts)} {p and len(p)} {i}" for i in range(n)] for p in prompts]
+
+    df = spark.range(3000).selectExpr("id AS sample_id", "IF(id = 7, NULL, repeat('x', 4000)) AS prompt").coalesce(1)
+    rows = plugins.generate(df, loader, n_samples=2).collect()
+    assert sorted((r.sample_id, r.output_idx) for r in rows) == [(k, i) for k in range(3000) for i in range(2)]
+    assert max(int(r.output.split()[0]) for r in rows) < 1200
+    assert {r.output.split(" ", 1)[1] for r in rows if r.sample_id == 7} == {"None 0", "None 1"}
