@@ -121,12 +121,13 @@ def generate_resumable(
         asked, column = encoding.encode_prompts(prompts, context_length, tokenizer), "prompt_ids"
     heads = (asked.where("part = 0") if "part" in asked.columns else asked).select("sample_id", column)
     missing = heads.join(ledger.read().select("sample_id").distinct(), "sample_id", "left_anti")
-    todo = materialize(numbering.assign_batches(missing, batch_size, "sample_id"), "to-generate")
-    last = todo.agg(F.max("batch_id").alias("batch")).first().batch
-    for at, start in enumerate(range(0, 0 if last is None else last + 1, batches_per_commit)):
-        if max_commits is not None and at >= max_commits:
-            break
-        part = todo.where(F.col("batch_id").between(start, start + batches_per_commit - 1))
+    # A folder for each commit, so that a commit reads its own prompts and not all that are missing.
+    numbered = numbering.assign_batches(missing, batch_size, "sample_id").withColumn("_commit", F.floor(F.col("batch_id") / batches_per_commit).cast("bigint"))
+    todo = materialize(numbered.repartition("_commit"), "to-generate", by="_commit")
+    last = todo.agg(F.max("_commit").alias("last")).first().last
+    commits = 0 if last is None else last + 1
+    for at in range(commits if max_commits is None else min(commits, max_commits)):
+        part = todo.where(F.col("_commit") == at).drop("_commit")
         # A batch stays in one task; the number is given, so that small partitions are not put together.
         dealt = part.repartition(min(batches_per_commit, shuffle_partitions(spark)), "batch_id").sortWithinPartitions("batch_id", "sample_id")
         outputs = plugins.generate(dealt, loader, column=column, batch_size=batch_size, **sampling)

@@ -60,14 +60,14 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a result once and go on from the stored table.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a result once and go on from the stored table, with a folder for each value of ``by``.
 
     For results that are dear to compute twice, such as model output: it cuts
     the lineage, so a lost executor costs a read and not another model run.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -114,3 +114,18 @@ def test_generator_without_a_batch_size_gets_bounded_pieces(spark):
     assert sorted((r.sample_id, r.output_idx) for r in rows) == [(k, i) for k in range(3000) for i in range(2)]
     assert max(int(r.output.split()[0]) for r in rows) < 1200
     assert {r.output.split(" ", 1)[1] for r in rows if r.sample_id == 7} == {"None 0", "None 1"}
+
+
+def test_a_commit_reads_its_own_prompts_only(spark, tmp_path, monkeypatch):
+    """Each commit's scan is cut to its folder of the stored prompts."""
+    raw = spark.range(40).selectExpr("id AS row_idx", "'train' AS split", "concat('q', id) AS prompt", "'a' AS chosen", "'b' AS rejected")
+    read, real = [], plugins.generate
+
+    def spy(dealt, *args, **how):
+        read.append("_commit" in dealt._jdf.queryExecution().executedPlan().toString().partition("PartitionFilters: [")[2].partition("]")[0])
+        return real(dealt, *args, **how)
+
+    monkeypatch.setattr(plugins, "generate", spy)
+    loader = lambda: lambda prompts, n, **sampling: [["x"] * n for _ in prompts]
+    made = flows.generate_resumable(raw, "tldr", loader, str(tmp_path / "ledger"), batch_size=2, batches_per_commit=4)
+    assert read == [True] * 5 and made.count() == 40
