@@ -2,12 +2,11 @@
 
 Suffix tuples - a position and the rank of its first symbol - wait in a queue of
 symbol ranges whose chunks go to disk beyond a memory limit.  Suffixes of the
-leftmost-S kind are sorted by induction of their substrings and, where those tie,
-by recursion on their names; they induce all L suffixes in ascending and these
-all S suffixes in descending order.  The queue hands out as many tuples at a time
-as cannot be overtaken by what they induce, so each step is a few array
-operations.  Common-prefix values follow the same way: two neighbours share
-``a + b`` symbols if they share ``a`` and what follows them shares ``b``.
+leftmost-S kind are sorted by their leading symbols, some at a time; where those
+tie for long, by induction of their substrings and recursion on the names.  They
+induce all L suffixes in ascending and these all S suffixes in descending order.
+The queue hands out as many tuples at a time as cannot be overtaken by what they
+induce, so each step is a few array operations.
 """
 
 from __future__ import annotations
@@ -19,6 +18,9 @@ import numpy as np
 
 #: Tuples that queues hold in memory before chunks are written out.
 MEMORY_ITEMS = 8 << 20
+#: Times that leftmost S suffixes are told apart by a packed number of symbols more, before their substrings are induced.
+ROUNDS = 32
+
 
 class TupleQueue:
     """A priority queue of positions by symbol value; equal values keep the order of arrival."""
@@ -31,7 +33,7 @@ class TupleQueue:
 
     def push(self, values: np.ndarray, positions: np.ndarray) -> None:
         """Add tuples, in their order of rank."""
-        ranges = values // self.width
+        ranges = values if self.width == 1 else values // self.width
         order = np.argsort(ranges, kind="stable")
         ranges, values, positions = ranges[order], values[order], positions[order]
         cuts = np.flatnonzero(ranges[1:] != ranges[:-1]) + 1
@@ -78,6 +80,9 @@ def induce(symbols: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, folder: s
     a symbol at least as large, and among equal symbols comes before the seeds.
     """
     value = 2 * symbols + ~wanted
+    # Sorting 16 bits takes a pass or two over them.
+    value = value.astype(np.uint16) if value.max() < np.iinfo(np.uint16).max else value.astype(np.int64)
+    nothing = np.iinfo(value.dtype).max
     # As many ranges as a range has tuples: few rounds, and few tuples that overtake others in one.
     queue = TupleQueue(int(value.max()), folder, memory_items, max(16, int(len(symbols) ** 0.5)))
     queue.push(value[seeds], seeds)
@@ -87,9 +92,9 @@ def induce(symbols: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, folder: s
         while len(values):
             before = positions - 1
             induces = (positions > 0) & wanted[before]
-            new = np.where(induces, value[before], np.iinfo(np.int64).max)
-            # A tuple may go out with those before it unless one of them induces a smaller one.
-            overtaken = np.flatnonzero(values[1:] > np.minimum.accumulate(new)[:-1])
+            new = np.where(induces, value[before], nothing)
+            # A tuple may go out with those before it unless one of them induces a smaller one; equal ones all do.
+            overtaken = np.flatnonzero(values[1:] > np.minimum.accumulate(new)[:-1]) if values[0] != values[-1] else ()
             stop = int(overtaken[0]) + 1 if len(overtaken) else len(values)
             out.append(positions[:stop])
             mine = induces[:stop]
@@ -111,13 +116,47 @@ def _smaller_kind(symbols: np.ndarray) -> np.ndarray:
     differs = np.flatnonzero(symbols[:-1] != symbols[1:])
     small = np.zeros(n, bool)
     small[-1] = True
-    at = np.searchsorted(differs, np.arange(n - 1))
-    inside = at < len(differs)
-    end = differs[at[inside]]
-    small[:-1][inside] = symbols[end] < symbols[end + 1]
+    if len(differs):
+        small[: differs[-1] + 1] = np.repeat(symbols[differs] < symbols[differs + 1], np.diff(differs, prepend=-1))
     return small
 
 
+def _packed(symbols: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """At each place the symbols from there on in one number, how many, and the bits of one; 0 follows the last."""
+    bits = max(1, int(symbols.max()).bit_length())
+    count = 63 // bits
+    out = np.zeros(len(symbols) + 1, np.int64)
+    for k in range(count):
+        out <<= bits
+        out[: max(0, len(symbols) - k)] |= symbols[k:]
+    return out, count, bits
+
+
+def _by_leading(symbols: np.ndarray, stars: np.ndarray) -> np.ndarray | None:
+    """The stars in the order of their suffixes, or None where some still tie after ``ROUNDS``."""
+    packed, count, _ = _packed(symbols)
+    key = packed[stars]
+    by_key = np.argsort(key)
+    order, key = stars[by_key], key[by_key]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    spots, group = np.arange(len(order)), np.cumsum(new)
+    for step in range(1, ROUNDS + 1):
+        tied = ~new | ~np.append(new[1:], True)
+        spots, group = spots[tied], group[tied]
+        if not len(spots):
+            return order
+        key = packed[np.minimum(order[spots] + step * count, len(symbols))]
+        by_key = np.argsort(key)
+        ranks = np.empty(len(key), np.int64)
+        ranks[by_key] = np.cumsum(np.diff(key[by_key], prepend=-1) != 0)
+        both = group << 32 | ranks
+        by_both = np.argsort(both)
+        order[spots], both = order[spots[by_both]], both[by_both]
+        new = np.concatenate([[True], both[1:] != both[:-1]])
+        group = np.cumsum(new)
+    return None if not new.all() else order
+
+
 def _both_ways(symbols: np.ndarray, small: np.ndarray, stars: np.ndarray, folder: str, memory_items: int) -> np.ndarray:
     """All positions in order, given the order of the leftmost S positions."""
     ascending = induce(symbols, ~small, stars, folder, memory_items)
@@ -139,6 +178,9 @@ def suffix_order(symbols: np.ndarray, folder: str, memory_items: int = MEMORY_IT
     stars = np.flatnonzero(star)
     if len(stars) <= 1:
         return _both_ways(symbols, small, stars, folder, memory_items)
+    order = _by_leading(symbols, stars)
+    if order is not None:
+        return _both_ways(symbols, small, order, folder, memory_items)
     # The substrings between stars, sorted by one induction from stars in order of their first symbols.
     order = _both_ways(symbols, small, stars[np.argsort(symbols[stars], kind="stable")], folder, memory_items)
     order = order[star[order]]
@@ -171,33 +213,21 @@ def _new_substrings(symbols: np.ndarray, small: np.ndarray, stars: np.ndarray, o
 
 
 def prefix_classes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Class of each place in ``order``; neighbours share one when ``length`` symbols agree.
-
-    Values for 1, 2, 4, ... symbols are doubled and then put together to the
-    length; a suffix that ends before counts its end mark and nothing after.
-    """
-    n = len(symbols)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    a, b = order[:-1], order[1:]
-    count = lambda agree: np.concatenate([[0], np.cumsum(~agree)])
-    single = symbols[a] == symbols[b]
-    total, have, power, agree = np.ones(n - 1, bool), 0, 1, single
-    while have < length:
-        if length & power:
-            follow = count(agree)
-            total &= follow[rank[np.minimum(a + have, n - 1)]] == follow[rank[np.minimum(b + have, n - 1)]]
-            have += power
-        if have < length:
-            follow = count(agree)
-            agree = agree & (follow[rank[np.minimum(a + power, n - 1)]] == follow[rank[np.minimum(b + power, n - 1)]])
-            power *= 2
-    return count(total)
+    """Class of each place in ``order``; neighbours share one when ``length`` symbols agree."""
+    packed, count, bits = _packed(symbols)
+    new = np.zeros(len(order), bool)
+    left = np.arange(1, len(order))
+    for done in range(0, length, count):  # some symbols at a time, for the neighbours that still agree
+        unused = bits * max(0, done + count - length)
+        a, b = (packed[np.minimum(order[x] + done, len(symbols))] >> unused for x in (left - 1, left))
+        new[left[a != b]] = True
+        left = left[a == b]
+    return np.cumsum(new)
 
 
 def sorted_windows(text: np.ndarray, length: int, memory_items: int = MEMORY_ITEMS) -> tuple[np.ndarray, np.ndarray]:
     """(positions in suffix order, class of each) for a shard's symbols, which are 1 or more."""
-    symbols = np.append(text.astype(np.int64), 0)
+    symbols = np.append(text.astype(np.int32), np.int32(0))
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
         order = suffix_order(symbols, folder, memory_items)
     return order, prefix_classes(symbols, order, length)

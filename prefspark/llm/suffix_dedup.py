@@ -6,15 +6,16 @@ an anchor that exceeds a shard by themselves, and compared by digest.  A window
 before its anchor or the 15 behind, so a run of windows repeats nowhere unless
 another document has its anchor with the same bytes on that side.  The others are
 cut out, equal pieces are put together on the map side, and shards of pieces are
-suffix-sorted by external induced sorting (``induced.py``); neighbours that share
-50 bytes form a class, and the least doc_id of a class removes its windows from
-all other documents.
+suffix-sorted by external induced sorting (``induced.py``), but for those alone
+under their anchor; neighbours that share 50 bytes form a class, and the least
+doc_id of a class removes its windows from all other documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +47,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def substring_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each substring of ``size`` bytes, from those of powers of two."""
-    power, span, out, done = _mix(data.astype(np.uint64) + np.uint64(1)), 1, None, 0
-    while done < size:
-        if size & span:
-            part = power[done:]
-            out = part if out is None else _mix(out[: len(part)] * _M + part[: len(out)])
-            done += span
-        if done < size:
-            power = _mix(power[:-span] * _M + power[span:])
-            span *= 2
-    return out
+#: A number for each byte, to start the hashes from.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def substring_hashes(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size a number for every substring of so many bytes, from those of powers of two; not mixed yet."""
+    power, span, out, done = _BYTES[data], 1, [None] * len(sizes), [0] * len(sizes)
+    while True:
+        factor = _mix(np.uint64([span]))[0] | np.uint64(1)
+        for k, size in enumerate(sizes):
+            if size & span:
+                part = power[done[k] :]
+                out[k] = part if out[k] is None else out[k][: len(part)] * factor + part
+                done[k] += span
+        if 2 * span > max(sizes):
+            return out
+        power = power[:-span] * factor + power[span:]
+        span *= 2
 
 
 def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -74,7 +81,8 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     inside = np.flatnonzero(text[: max(0, len(data) - LENGTH + 1)] == text[LENGTH - 1 :])
     if not len(inside):
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 5
-    hashes, span, window = substring_hashes(data, ANCHOR), 1, LENGTH - ANCHOR + 1
+    hashes, stretch = substring_hashes(data, ANCHOR, ANCHOR + SIDE)
+    hashes, span, window = _mix(hashes), 1, LENGTH - ANCHOR + 1
     low = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     while span < window:
         step = min(span, window - span)
@@ -86,8 +94,7 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     spot, start = spot[first], inside[first]
     owner = text[start]
     begin, end = (ends - sizes)[owner], ends[owner]
-    stretch = substring_hashes(data, ANCHOR + SIDE)
-    side = lambda at: np.maximum((stretch[np.clip(at, 0, len(stretch) - 1)] >> np.uint64(48)).astype(np.int64), 1)
+    side = lambda at: np.maximum((_mix(stretch[np.clip(at, 0, len(stretch) - 1)]) >> np.uint64(48)).astype(np.int64), 1)
     left = np.where(spot - SIDE >= begin, side(spot - SIDE), 0)
     right = np.where(spot + ANCHOR + SIDE <= end, side(spot), 0)
     return hashes[spot], owner, start - begin, count, left, right
@@ -230,16 +237,17 @@ def cut_out(texts: DataFrame, places: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, 4 << 20):
-                out = []
-                for doc, key, text, *runs in zip(*(part.column(k).to_pylist() for k in range(6))):
+                sizes = part.column(3).value_lengths().to_numpy()
+                anchor, start, windows = (part.column(k).flatten() for k in (3, 4, 5))
+                starts = start.to_numpy()
+                spans, contents = zip(starts.tolist(), (starts + windows.to_numpy() + LENGTH - 1).tolist()), []
+                for text, size in zip(part.column(2).to_pylist(), sizes.tolist()):
                     data = text.encode("utf-8", "surrogatepass")
-                    for anchor, start, windows in zip(*runs):
-                        content = data[start : start + windows + LENGTH - 1]
-                        out.append((hashlib.md5(content).digest(), anchor, doc, key, start, content))
-                columns = list(zip(*out)) or [[]] * 6
-                types = pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+                    contents += [data[a:b] for a, b in islice(spans, size)]
+                digests = pa.array([hashlib.md5(c).digest() for c in contents], pa.binary())
+                doc, key = (pa.array(np.repeat(part.column(k).to_numpy(), sizes)) for k in (0, 1))
                 names = ["piece", "anchor", "doc_id", "text_key", "start", "content"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                yield pa.RecordBatch.from_arrays([digests, anchor, doc, key, start, pa.array(contents, pa.binary())], names=names)
 
     return joined.mapInArrow(run, "piece binary, anchor long, doc_id long, text_key long, start long, content binary")
 
@@ -266,6 +274,22 @@ def first_documents(contents: list[bytes], first: np.ndarray, memory_items: int
     return list(zip(content[cuts].tolist(), offset[cuts].tolist(), offset[last].tolist(), least[cuts].tolist()))
 
 
+def shard_verdicts(anchor: np.ndarray, contents: list[bytes], first: np.ndarray, n: np.ndarray, memory_items: int = MEMORY_ITEMS) -> list[tuple[int, int, int, int]]:
+    """What ``first_documents`` finds that removes anything, for contents of whole anchors.
+
+    A content alone under its anchor shares no window with another one: all windows
+    are its own, each with the anchor at another place, so it needs no sorting.
+    """
+    _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    alone = size[group] == 1
+    among = np.flatnonzero(~alone)
+    found = first_documents([contents[k] for k in among], first[among], memory_items) if len(among) else []
+    # What only its own first document holds removes nothing.
+    found = [(k, *x) for j, *x in found if x[2] < first[k := int(among[j])] or n[k] > 1]
+    found += [(k, 0, len(contents[k]) - LENGTH, int(first[k])) for k in np.flatnonzero(alone & (n > 1)).tolist() if len(contents[k]) >= LENGTH]
+    return found
+
+
 def window_verdicts(contents: DataFrame) -> DataFrame:
     """(piece, from, to, least) of contents whose anchor exceeds a shard: a row per window, dealt out by its digest.
 
@@ -306,15 +330,14 @@ def removed_windows(pieces: DataFrame, shard_bytes: int = SHARD_BYTES, memory_it
         whole = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
         if whole is None:
             return
-        texts, first, n = whole.column(0).to_pylist(), whole.column(1).to_numpy(), whole.column(2).to_numpy()
-        # What only its own first document holds removes nothing.
-        found = [x for x in first_documents(texts, first, memory_items) if x[3] < first[x[0]] or n[x[0]] > 1]
+        texts, (anchor, first, n) = whole.column(0).to_pylist(), (whole.column(k).to_numpy() for k in (1, 2, 3))
+        found = shard_verdicts(anchor, texts, first, n, memory_items)
         digests = {k: hashlib.md5(texts[k]).digest() for k in {x[0] for x in found}}
         columns = list(zip(*found)) or [[]] * 4
         arrays = [pa.array([digests[k] for k in columns[0]], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])]
         yield pa.RecordBatch.from_arrays(arrays, names=["piece", "from", "to", "least"])
 
-    dealt = contents.join(large, is_large, "left_anti").repartition(shards, "anchor").select("content", "first", "n")
+    dealt = contents.join(large, is_large, "left_anti").repartition(shards, "anchor").select("content", "anchor", "first", "n")
     sorted_out = dealt.mapInArrow(run, "piece binary, from long, to long, least long")
     verdicts = stored(sorted_out.unionByName(window_verdicts(contents.join(large, is_large, "left_semi"))), "verdicts")
     hits = pieces.select("piece", "doc_id", "text_key", "start").join(verdicts, "piece").where("least < doc_id")

@@ -7,9 +7,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from prefspark.llm import langid, ngram_join, packing, suffix_dedup
+from prefspark.llm import induced, langid, ngram_join, packing, suffix_dedup
 
 
 def test_language_filters_grow_with_their_ngrams(spark):
@@ -169,3 +170,40 @@ def test_memory_for_anchors_follows_the_part_and_not_the_arrow_batch(monkeypatch
         return most
 
     assert peak(2000) < 1.3 * peak(500) and peak(2000) < 64 << 20
+
+
+def test_a_shard_is_induced_once_and_without_contents_alone_under_their_anchor(monkeypatch):
+    draw, induced_, sorted_ = random.Random(8), [], []
+    letters = lambda n: bytes(draw.choice(b"abcdefgh ") for _ in range(n))
+    contents, anchor = [], []
+    for k in range(300):  # a third of the anchors have two or three contents that share windows
+        whole = letters(80)
+        for copy in range(k % 3 and 1 or 2 + k % 2):
+            contents.append(whole[copy * 6 : 75 + copy])
+            anchor.append(k)
+    first, n = np.arange(len(contents))[::-1].copy(), np.full(len(contents), 2)
+    real, both = induced.induce, suffix_dedup.first_documents
+    monkeypatch.setattr(induced, "induce", lambda symbols, *rest: induced_.append(len(symbols)) or real(symbols, *rest))
+    monkeypatch.setattr(suffix_dedup, "first_documents", lambda texts, *rest: sorted_.append(len(texts)) or both(texts, *rest))
+    found = suffix_dedup.shard_verdicts(np.array(anchor), contents, first, n)
+    assert sorted_ == [sum(anchor.count(k) > 1 for k in anchor)] and len(induced_) == 2
+    earliest = {}
+    for text, doc in zip(contents, first.tolist()):
+        for at in range(len(text) - 49):
+            earliest[text[at : at + 50]] = min(doc, earliest.get(text[at : at + 50], doc))
+    got = {(k, at): least for k, a, b, least in found for at in range(a, b + 1)}
+    assert got == {(k, at): earliest[text[at : at + 50]] for k, text in enumerate(contents) for at in range(len(text) - 49)}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 32])
+def test_suffixes_that_tie_for_long_are_sorted_by_their_substrings(monkeypatch, rounds):
+    monkeypatch.setattr(induced, "ROUNDS", rounds)
+    draw = np.random.default_rng(3)
+    for k in range(60):
+        text = np.tile(draw.integers(1, 4, draw.integers(1, 9)), 40) * (40_000 if k % 3 == 0 else 1)
+        whole = [*text.tolist(), 0]
+        for memory_items in (1 << 20, 7):
+            order, classes = induced.sorted_windows(text, 50, memory_items)
+            assert order.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
+            same = [whole[a : a + 50] == whole[b : b + 50] for a, b in zip(order, order[1:])]
+            assert (np.diff(classes) == 0).tolist() == same
