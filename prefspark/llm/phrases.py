@@ -122,15 +122,26 @@ def tokenized(texts: DataFrame, size: int = SLICE) -> DataFrame:
     return texts.mapInArrow(run, "slice long, lang string, size long, words array<string>, counts array<long>, ids binary")
 
 
-def coded(slices: DataFrame, frequent: DataFrame) -> DataFrame:
+def frequent_words(slices: DataFrame, least: int) -> DataFrame:
+    """lang, word, f, gid, slice, at, id: each place where a slice lists a word that occurs so often; gid is the word's least id.
+
+    Counting, numbering and placing share one shuffle, whatever the size of the
+    vocabulary.  A slice lists a word once, so a word has as many places as slices at most.
+    """
+    words = slices.select("slice", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    rows = words.select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), "slice", "at", (F.monotonically_increasing_id() + 1).alias("id"))
+    same = Window.partitionBy("lang", "word")
+    counted = rows.withColumn("f", F.sum("n").over(same)).withColumn("gid", F.min("id").over(same))
+    return counted.where(F.col("f") >= least).drop("n")
+
+
+def coded(slices: DataFrame, places: DataFrame) -> DataFrame:
     """Slices in which only frequent words are left: lang, gids and counts (int64, by gid), ids (int32 places in gids, from 1).
 
-    Rare words end phrases as a piece's end does: no candidate holds one.
+    Rare words end phrases as a piece's end does: no candidate holds one, and slices without others go.
     """
-    words = slices.select("slice", "lang", F.posexplode("words").alias("at", "word"))
-    entry = F.when(F.col("gid").isNotNull(), F.struct("gid", "f", "at"))
-    known = words.join(frequent, ["lang", "word"], "left").groupBy("slice").agg(F.sort_array(F.collect_list(entry)).alias("known"))
-    joined = slices.select("slice", "lang", "size", "ids", F.size("words").alias("n_words")).join(stored(known, "known"), "slice")
+    known = places.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("gid", "f", "at"))).alias("known"))
+    joined = slices.select("slice", "lang", "size", "ids", F.size("words").alias("n_words")).join(known, "slice")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,10 +427,10 @@ def collocations(df: DataFrame, shape: Mining = Mining(), lang_col: str = "lang"
     path = scratch_path(spark, "slices")
     tokenized(texts).write.option("compression", "zstd").parquet(path)
     slices = spark.read.parquet(path)
-    counts = slices.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
     totals = stored(slices.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")), "totals")
-    frequent = _number(counts.where(F.col("f") >= shape.least), "gid", "words")
-    slices = stored(coded(slices, frequent), "coded")
+    places = stored(frequent_words(slices, shape.least), "places")
+    frequent = stored(places.where("id = gid").select("gid", "lang", "word", "f"), "words")
+    slices = stored(coded(slices, places), "coded")
     discard(spark, path)
     n_words = {row.lang: row.n for row in totals.collect()}
     open_: dict[str, _Frontier] = {}

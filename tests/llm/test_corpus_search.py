@@ -110,6 +110,32 @@ def test_growth_stops_at_the_bound(spark, monkeypatch):
     assert {r["en"] for r in asked} == {(20, 80)}
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_words_of_slices_are_shuffled_once(spark, prose, broadcast):
+    """Counting words and placing them in slices take one shuffle of all words, also where frequent ones are too many to broadcast."""
+    texts = odd_rows(spark, [(i, t, lang, "s", 0) for i, (t, lang) in enumerate(prose)]).selectExpr("coalesce(lang, 'und') AS lang", "text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        slices = phrases.stored(phrases.tokenized(texts, 256), "slices")
+        found = phrases.frequent_words(slices, 5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        places = phrases.stored(found, "places")
+        rows, counted = places.collect(), Counter()
+        listed = {r.slice: (r.lang, r.words, r.counts) for r in slices.collect()}
+        for lang, words, counts in listed.values():
+            for word, n in zip(words, counts):
+                counted[lang, word] += n
+        assert {(r.lang, r.word): r.f for r in rows} == {k: n for k, n in counted.items() if n >= 5}
+        assert len({(r.lang, r.word, r.gid) for r in rows}) == len({r.gid for r in rows}) == sum(r.id == r.gid for r in rows) == len({(r.lang, r.word) for r in rows})
+        assert all(listed[r.slice][1][r.at] == r.word for r in rows)
+        assert len(rows) == sum(counted[lang, word] >= 5 for lang, words, _ in listed.values() for word in words)
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert phrases.coded(slices, places)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_phrases_of_nothing(spark):
     empty = odd_rows(spark, [])
     assert phrases.collocations(empty).count() == 0
