@@ -2,9 +2,9 @@
 
 Texts with the same words are one node.  A node's MinHash signature is cut into
 trees of labels; the prefixes of a tree's label sequences are its trie.  Nodes that
-share the longest prefixes meet first and are united; prefixes are then shortened
-a label at a time where not all that share them are united, until pairs of the
-least similarity meet with the probability asked for.
+share the longest prefixes meet first and are united; then all shorter prefixes,
+down to where pairs of the least similarity meet with the probability asked for,
+are gone through in one job, where not all that share them are united.
 Candidates that signatures do not rule out are gathered into clusters, and the
 exact Jaccard similarity of all pairs in a cluster is computed inside tasks, in
 blocks, so pairs are counted but never become rows.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,12 @@ class Forest:
     block: int = 1024
     verify_block: int = 256
 
+    def prefixes(self) -> list[int]:
+        """Lengths of the trie's levels, from the longest to the one that reaches the recall."""
+        lengths = range(self.labels, 0, -1)
+        enough = (k for k in lengths if self.meets(self.similarity_percent / 100, k) >= self.recall)
+        return list(range(self.labels, next(enough, 1) - 1, -1))
+
     def meets(self, similarity: np.ndarray | float, prefix: int):
         """Probability that two nodes share a prefix of this length in some tree."""
         return 1 - (1 - np.asarray(similarity, float) ** prefix) ** self.trees
@@ -185,12 +192,21 @@ def _codes(column: pa.ChunkedArray | pa.Array, forest: Forest) -> np.ndarray:
     return flat.reshape(-1, forest.trees * forest.labels)
 
 
-def trie_level(leaders: DataFrame, placed: DataFrame, prefix: int, forest: Forest) -> DataFrame:
-    """(bucket, node, component) for each tree: the trie node that ``prefix`` labels lead to."""
+def trie_level(leaders: DataFrame, placed: DataFrame | None, prefix: int, forest: Forest) -> DataFrame:
+    """(bucket, node, component) for each tree: the trie node that ``prefix`` labels lead to.
+
+    Without ``placed``, the leaders bring their components along.
+    """
     tree = F.sequence(F.lit(0), F.lit(forest.trees - 1))
     keys = F.transform(tree, lambda t: F.xxhash64(t, F.slice("labels", t * forest.labels + 1, prefix)))
-    whole = leaders.select("node", keys.alias("keys")).join(placed.withColumnRenamed("node", "placed_node"), F.col("node") == F.col("placed_node"), "left")
-    return whole.select("node", F.coalesce("component", "node").alias("component"), F.explode("keys").alias("bucket"))
+    whole = leaders if placed is None else with_component(leaders, placed)
+    return whole.select("node", "component", F.explode(keys).alias("bucket"))
+
+
+def with_component(leaders: DataFrame, placed: DataFrame) -> DataFrame:
+    """The leaders with the component they are placed in; their own where they are not."""
+    whole = leaders.join(placed.select(F.col("node").alias("placed_node"), F.col("component").alias("found")), F.col("node") == F.col("placed_node"), "left")
+    return whole.select("node", "labels", F.coalesce("found", "node").alias("component"))
 
 
 def open_buckets(entries: DataFrame) -> DataFrame:
@@ -211,7 +227,7 @@ def by_node(rows: DataFrame, coded: DataFrame) -> DataFrame:
 
 
 def star_pairs(entries: DataFrame, heads: DataFrame, coded: DataFrame, forest: Forest) -> DataFrame:
-    """(bucket, node, head, n, near): every member of an open trie node with the least one, a row each.
+    """(bucket, node, head, n, near, settled, united): every member of an open trie node with the least one, a row each.
 
     Trie nodes with more than a partition's share of the entries are dealt out in
     slices, each with a copy of the head; there are fewer of them than partitions,
@@ -235,10 +251,10 @@ def star_pairs(entries: DataFrame, heads: DataFrame, coded: DataFrame, forest: F
                 owner = np.repeat(np.arange(len(node)), held.value_lengths().to_numpy())
                 bucket, head, n, united, head_codes = held.flatten().flatten()
                 near = _near(_codes(codes, forest)[owner], _codes(head_codes, forest), forest)
-                columns = [bucket, node.take(pa.array(owner)), head, n, pa.array(near), pa.array(near | united.to_numpy(zero_copy_only=False))]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "head", "n", "near", "settled"])
+                columns = [bucket, node.take(pa.array(owner)), head, n, pa.array(near), pa.array(near | united.to_numpy(zero_copy_only=False)), united]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "head", "n", "near", "settled", "united"])
 
-    return by_node(met, coded).mapInArrow(run, "bucket long, node long, head long, n long, near boolean, settled boolean")
+    return by_node(met, coded).mapInArrow(run, "bucket long, node long, head long, n long, near boolean, settled boolean, united boolean")
 
 
 def rest_edges(stars: DataFrame, coded: DataFrame, forest: Forest) -> DataFrame:
@@ -275,32 +291,36 @@ def rest_edges(stars: DataFrame, coded: DataFrame, forest: Forest) -> DataFrame:
     return ready.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
+def candidate_edges(entries: DataFrame, coded: DataFrame, forest: Forest) -> DataFrame:
+    """Edges (a, b) that unite the candidates within trie nodes, beyond what is united already.
+
+    Members of a trie node meet its least one; those that its signature rules
+    out meet all others there.
+    """
+    heads = stored(open_buckets(entries), "trie-nodes")
+    stars = stored(star_pairs(entries, heads, coded, forest), "stars")
+    return stars.where("near AND NOT united").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(rest_edges(stars, coded, forest))
+
+
 def forest_clusters(leaders: DataFrame, forest: Forest) -> DataFrame:
     """(node, component): clusters of candidates, by descending the trees from their deepest trie nodes.
 
-    Members of a trie node meet its least one; those that its signature rules
-    out meet all others there.  What has met is united, and prefixes are shortened
-    by a label for trie nodes whose members are not all united, until the recall
-    is reached at the least similarity.
+    Most candidates share a deepest trie node in some tree and are united first.
+    The shorter prefixes, down to where the recall is reached at the least
+    similarity, then leave out trie nodes whose members are all united; as
+    they start from the same components, they are one job and not one each.
     """
     codes = F.unhex(F.array_join(F.transform("labels", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
     coded = stored(leaders.select(F.col("node").alias("code_node"), codes.alias("codes")), "codes")
-    spark, least = leaders.sparkSession, forest.similarity_percent / 100
-    placed = spark.createDataFrame([], "node long, component long")
-    edges = None
-    for prefix in range(forest.labels, 0, -1):
-        entries = trie_level(leaders, placed, prefix, forest)
-        heads = stored(open_buckets(entries), "trie-nodes")
-        stars = stored(star_pairs(entries, heads, coded, forest), "stars")
-        fresh = stars.where("near").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct().unionByName(rest_edges(stars, coded, forest))
-        fresh = stored(fresh, "candidates")
-        if not fresh.isEmpty():
-            if edges is None:  # most pairs meet at once; what later levels add is little, and united at the end
-                placed = components(fresh)
-            edges = fresh if edges is None else edges.unionByName(fresh)
-        if forest.meets(least, prefix) >= forest.recall:
-            break
-    return placed if edges is None else components(edges)
+    deepest, *shorter = forest.prefixes()
+    nowhere = leaders.sparkSession.createDataFrame([], "node long, component long")
+    placed = components(candidate_edges(trie_level(leaders, nowhere, deepest, forest), coded, forest))
+    if not shorter:
+        return placed
+    met = stored(with_component(leaders, placed), "placed")
+    entries = reduce(DataFrame.unionByName, [trie_level(met, None, prefix, forest) for prefix in shorter])
+    fresh = candidate_edges(entries, coded, forest)
+    return components(placed.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
 
 
 def _block_links(keys: list[np.ndarray], block: np.ndarray, inner: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prefspark.llm import induced, langid, ngram_join, packing, suffix_dedup
+from prefspark.llm import components, induced, langid, ngram_join, packing, suffix_dedup
 
 
 def test_language_filters_grow_with_their_ngrams(spark):
@@ -207,3 +207,30 @@ def test_suffixes_that_tie_for_long_are_sorted_by_their_substrings(monkeypatch,
             assert order.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
             same = [whole[a : a + 50] == whole[b : b + 50] for a, b in zip(order, order[1:])]
             assert (np.diff(classes) == 0).tolist() == same
+
+
+def test_shorter_prefixes_start_from_the_same_components_and_are_one_job(spark, monkeypatch):
+    seen, real = [], ngram_join.star_pairs
+    monkeypatch.setattr(ngram_join, "star_pairs", lambda *given: seen.append(1) or real(*given))
+    rng = random.Random(3)
+    bases = [[f"b{i}w{k}" for k in range(120)] for i in range(3)]
+    texts = [" ".join(f"z{rng.randrange(9)}" if rng.random() < 0.01 else w for w in bases[k % 3]) for k in range(60)]
+    rows = {r.doc_id: r for r in ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(seen) == 2
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    for i, row in rows.items():
+        assert row.n_links == len({texts[j] for j in rows if texts[j] != texts[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])})
+
+
+def test_components_write_each_round_once_and_stop_at_stars(spark, monkeypatch):
+    written, real = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or real(df, name))
+    stars = [(k % 3, 10 + k) for k in range(60)] + [(7, 7)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 7: 7, **{b: a for a, b in stars}}
+    assert written == ["edges", "components"]
+    written.clear()
+    cross = [(a, 100 + (a + s) % 40) for a in range(40) for s in (0, 1)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(cross, "a long, b long")).collect()}
+    assert len(found) == 80 and set(found.values()) == {0}
+    assert len(written) <= 2 + 7
