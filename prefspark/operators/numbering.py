@@ -27,20 +27,22 @@ def _wanted_cells(df: DataFrame) -> int:
     return CELLS_PER_PARTITION * shuffle_partitions(df.sparkSession)
 
 
-def cells_by_value(df: DataFrame, key: str) -> DataFrame:
-    """Add ``_cell``, non-decreasing in the numeric ``key``.
+def _cuts(df: DataFrame, key: str) -> list[float]:
+    """Equal-depth cuts of ``key``, one per cell.
 
-    Equal-depth cuts come from a quantile sketch of the key column alone (a job
-    that reads only that column), one per cell, so clustered or outlying keys
-    cannot pile up in one cell, however many cells the shuffle width asks for.
+    They come from a quantile sketch of the key column alone (a job that reads
+    only that column), so clustered or outlying keys cannot pile up in one cell,
+    however many cells the shuffle width asks for.
     """
     wanted = _wanted_cells(df)
-    cuts = wanted
-    probabilities = [i / cuts for i in range(cuts + 1)]
+    probabilities = [i / wanted for i in range(wanted + 1)]
     marks = df.select(F.col(key).cast("double").alias("k")).approxQuantile(
-        "k", probabilities, 1 / (2 * cuts)
+        "k", probabilities, 1 / (2 * wanted)
     )
-    marks = sorted(set(marks or [0.0]))
+    return sorted(set(marks or [0.0]))
+
+
+def _cells_between(df: DataFrame, key: str, marks: list[float]) -> DataFrame:
     keyed = df.withColumn("_key", F.col(key).cast("double"))
     if len(marks) > 2:
         splits = [-math.inf, *marks[1:-1], math.inf]
@@ -50,6 +52,11 @@ def cells_by_value(df: DataFrame, key: str) -> DataFrame:
     return bucketed.withColumn("_cell", F.col("_bucket").cast("int")).drop("_key", "_bucket")
 
 
+def cells_by_value(df: DataFrame, key: str) -> DataFrame:
+    """Add ``_cell``, non-decreasing in the numeric ``key``, by equal-depth cuts."""
+    return _cells_between(df, key, _cuts(df, key))
+
+
 def cells_by_digest(df: DataFrame, hex_key: str) -> DataFrame:
     """Add ``_cell`` for an md5 key: its leading bits are already uniform."""
     wanted = min(_wanted_cells(df), 65536)
@@ -77,8 +84,11 @@ def _with_offsets(celled: DataFrame, offsets: DataFrame, group: list[str]) -> Da
     return join_on(celled, offsets, [*group, "_cell"])
 
 
-def _number(celled: DataFrame, order: list[str], group: list[str], name: str) -> DataFrame:
-    offsets = _offsets(celled.select(*group, "_cell"), {"n": F.count(F.lit(1))}, group)
+def _number(
+    celled: DataFrame, order: list[str], group: list[str], name: str, counted: DataFrame | None = None
+) -> DataFrame:
+    counted = celled if counted is None else counted
+    offsets = _offsets(counted.select(*group, "_cell"), {"n": F.count(F.lit(1))}, group)
     inside = Window.partitionBy(*group, "_cell").orderBy(*order)
     return (
         _with_offsets(celled, offsets, group)
@@ -94,6 +104,16 @@ def row_numbers(
     return _number(cells_by_value(df, key), [key], group or [], name)
 
 
+def row_numbers_by(df: DataFrame, key: str, keys: DataFrame, name: str = "row_no") -> DataFrame:
+    """``row_numbers`` of rows that are dear to compute, whose keys are stored.
+
+    ``keys`` holds the ``key`` of every row, as often as it occurs; cells are cut
+    and counted on it, so the rows themselves are computed once.
+    """
+    marks = _cuts(keys, key)
+    return _number(_cells_between(df, key, marks), [key], [], name, _cells_between(keys, key, marks))
+
+
 def shuffled_numbers(df: DataFrame, key: str, seed, name: str = "row_no") -> DataFrame:
     """1-based position of every row in a seeded random order of ``key``."""
     keyed = df.withColumn("_h", digest(seed, F.col(key)))
@@ -222,12 +242,18 @@ def first_shuffled(df: DataFrame, key: str, seed, how_many: int) -> DataFrame:
 
 
 def assign_batches(
-    df: DataFrame, batch_size: int, key: str, seed=None, name: str = "batch_id"
+    df: DataFrame, batch_size: int, key: str, seed=None, name: str = "batch_id", keys: DataFrame | None = None
 ) -> DataFrame:
-    """Consecutive batches of ``batch_size`` in key order, or shuffled by seed."""
+    """Consecutive batches of ``batch_size`` in key order, or shuffled by seed.
+
+    ``keys``: for key order, the stored keys of ``df`` (``row_numbers_by``).
+    """
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
-    numbered = row_numbers(df, key) if seed is None else shuffled_numbers(df, key, seed)
+    if seed is not None:
+        numbered = shuffled_numbers(df, key, seed)
+    else:
+        numbered = row_numbers(df, key) if keys is None else row_numbers_by(df, key, keys)
     return numbered.withColumn(
         name, F.floor((F.col("row_no") - 1) / F.lit(batch_size)).cast("bigint")
     ).drop("row_no")

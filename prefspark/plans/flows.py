@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import adapters, diversity, encoding, grouping, judging, numbering, plugins
-from ..session import materialize, shuffle_partitions
+from ..session import materialize, shuffle_partitions, task_slots
 from ..sources.ledger import Ledger
 
 
@@ -82,6 +83,13 @@ def generate_records(
 OUTPUTS = "sample_id bigint, output_idx bigint, output string, settings string"
 
 
+def _leading(keys: DataFrame, key: str, share: float) -> Column:
+    """A condition on ``key`` that holds for the first ``share`` of the keys in order and about a hundredth more."""
+    error = 1 / 256
+    last = keys.approxQuantile(key, [min(1.0, share + 2 * error)], error)
+    return F.col(key).isNull() | (F.col(key) <= F.lit(last[0] if last else None))
+
+
 def generate_resumable(
     raw: DataFrame,
     task: str,
@@ -107,6 +115,8 @@ def generate_resumable(
     """
     if batches_per_commit < 1:
         raise ValueError("batches_per_commit must be positive")
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
     spark = raw.sparkSession
     ledger = Ledger(spark, path, OUTPUTS)
     ledger.clear_unfinished()
@@ -121,19 +131,42 @@ def generate_resumable(
         asked, column = encoding.encode_prompts(prompts, context_length, tokenizer), "prompt_ids"
     heads = (asked.where("part = 0") if "part" in asked.columns else asked).select("sample_id", column)
     missing = heads.join(ledger.read().select("sample_id").distinct(), "sample_id", "left_anti")
+    # Ids alone say how many commits there are; texts are moved once, and only those that are asked now.
+    ids = materialize(missing.select("sample_id"), "missing-ids")
+    rows, of_commit = ids.count(), batch_size * batches_per_commit
+    commits = -(-rows // of_commit)
+    if max_commits is not None:
+        commits = max(0, min(commits, max_commits))
+    if commits == 0:
+        return grouping.generation_records(prompts, ledger.read().drop("settings"))
+    if commits * of_commit < rows:
+        first = _leading(ids, "sample_id", commits * of_commit / rows)
+        if ids.where(first).count() >= commits * of_commit:
+            missing, ids = missing.where(first), ids.where(first)
+    # As many tasks as can run at once, with as many batches each.
+    tasks = min(batches_per_commit, shuffle_partitions(spark), task_slots(spark))
+    numbered = numbering.assign_batches(missing, batch_size, "sample_id", keys=ids)
+    numbered = numbered.withColumn("_commit", F.floor(F.col("batch_id") / batches_per_commit).cast("bigint"))
     # A folder for each commit, so that a commit reads its own prompts and not all that are missing.
-    numbered = numbering.assign_batches(missing, batch_size, "sample_id").withColumn("_commit", F.floor(F.col("batch_id") / batches_per_commit).cast("bigint"))
-    todo = materialize(numbered.repartition("_commit"), "to-generate", by="_commit")
-    last = todo.agg(F.max("_commit").alias("last")).first().last
-    commits = 0 if last is None else last + 1
-    for at in range(commits if max_commits is None else min(commits, max_commits)):
+    todo = materialize(numbered.where(F.col("_commit") < commits), "to-generate", by="_commit")
+
+    def outputs_of(at: int) -> DataFrame:
         part = todo.where(F.col("_commit") == at).drop("_commit")
-        # A batch stays in one task; the number is given, so that small partitions are not put together.
-        dealt = part.repartition(min(batches_per_commit, shuffle_partitions(spark)), "batch_id").sortWithinPartitions("batch_id", "sample_id")
+        # A batch stays in one task.
+        dealt = part.repartitionById(tasks, F.pmod("batch_id", F.lit(tasks)).cast("int")).sortWithinPartitions("batch_id", "sample_id")
         outputs = plugins.generate(dealt, loader, column=column, batch_size=batch_size, **sampling)
         if stop is not None:
             outputs = outputs.withColumn("output", F.substring_index("output", stop, 1))
-        ledger.append(outputs.withColumn("settings", F.lit(settings)))
+        return outputs.withColumn("settings", F.lit(settings))
+
+    # While a commit is generated the next one is planned, but not begun.
+    with ThreadPoolExecutor(1) as ahead:
+        coming = ahead.submit(outputs_of, 0)
+        for at in range(commits):
+            outputs = coming.result()
+            if at + 1 < commits:
+                coming = ahead.submit(outputs_of, at + 1)
+            ledger.append(outputs)
     return grouping.generation_records(prompts, ledger.read().drop("settings"))
 
 

@@ -73,3 +73,10 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def task_slots(spark: SparkSession) -> int:
+    """Tasks that can run at once; where executors come and go, as many as a shuffle has partitions."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return shuffle_partitions(spark)
+    return max(1, spark.sparkContext.defaultParallelism)

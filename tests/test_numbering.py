@@ -113,3 +113,11 @@ def test_batches(spark):
     assert {r["k"]: r["batch_id"] for r in got} == {k: k // 16 for k in range(50)}
     with pytest.raises(ValueError):
         numbering.assign_batches(frame(spark, [1]), 0, "k")
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_row_numbers_by_stored_keys(spark, name):
+    """Rows are numbered by cells that are cut and counted on their keys alone; keys that come twice have two numbers."""
+    df = frame(spark, KEYS[name] + KEYS[name][:3])
+    got = sorted((r["k"], r["row_no"]) for r in numbering.row_numbers_by(df, "k", df.select("k")).collect())
+    assert got == [(k, i + 1) for i, k in enumerate(sorted(KEYS[name] + KEYS[name][:3]))]

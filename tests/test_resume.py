@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from prefspark.operators import plugins
@@ -129,3 +130,45 @@ def test_a_commit_reads_its_own_prompts_only(spark, tmp_path, monkeypatch):
     loader = lambda: lambda prompts, n, **sampling: [["x"] * n for _ in prompts]
     made = flows.generate_resumable(raw, "tldr", loader, str(tmp_path / "ledger"), batch_size=2, batches_per_commit=4)
     assert read == [True] * 5 and made.count() == 40
+
+
+def test_only_prompts_of_wanted_commits_are_stored(spark, tmp_path, monkeypatch):
+    """What a run ends before is neither stored nor given a folder; a run without missing prompts stores none."""
+    stored, real = [], flows.materialize
+
+    def spy(df, name, *args, **how):
+        made = real(df, name, *args, **how)
+        if name == "to-generate":
+            stored.append((made.count(), made.select("_commit").distinct().count()))
+        return made
+
+    monkeypatch.setattr(flows, "materialize", spy)
+    log, path = tmp_path / "log", str(tmp_path / "ledger")
+    how = {"batch_size": 5, "batches_per_commit": 2}
+    made = flows.generate_resumable(raw(spark, range(1000)), "tldr", model(log), path, max_commits=3, **how)
+    assert stored == [(30, 3)]
+    assert sorted(r.sample_id for r in made.where(F.size("outputs") > 0).collect()) == list(range(0, 60, 2))
+    flows.generate_resumable(raw(spark, range(60)), "tldr", model(log, "prompt"), path, **how)
+    assert len(stored) == 1
+
+
+def test_batches_of_a_commit_are_dealt_out_evenly(spark, tmp_path):
+    """Four batches for four tasks: one each, and none is split."""
+
+    def loader():
+        return lambda prompts, n, **sampling: [[f"{TaskContext.get().partitionId()}:{len(prompts)}"] * n for _ in prompts]
+
+    made = flows.generate_resumable(raw(spark, range(96)), "tldr", loader, str(tmp_path / "ledger"), batch_size=4, batches_per_commit=4)
+    for at in range(3):
+        commit = made.where(F.floor(F.col("sample_id") / 32) == at).select(F.explode("outputs").alias("o"))
+        assert {r.o: r["count"] for r in commit.groupBy("o").count().collect()} == {f"{task}:4": 4 for task in range(4)}
+
+
+def test_repeated_ids_are_asked_as_often_as_they_occur(spark, tmp_path):
+    """Rows that come twice: the records of a resumed run are those of one run."""
+    source, path = raw(spark, [*range(40), *range(40)]), str(tmp_path / "ledger")
+    how = {"batch_size": 4, "batches_per_commit": 2, "n_samples": 2}
+    flows.generate_resumable(source, "tldr", model(tmp_path / "first"), path, max_commits=2, **how)
+    assert sum(asked(tmp_path / "first").values()) == 16
+    made = flows.generate_resumable(source, "tldr", model(tmp_path / "second"), path, **how)
+    assert rows(made) == rows(flows.generate_records(source, "tldr", model(tmp_path / "whole"), n_samples=2))
